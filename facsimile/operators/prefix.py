@@ -59,6 +59,17 @@ def value_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     return local_rows(spark, rows, "column string, bounds array<double>")
 
 
+def long_ranges(counts: DataFrame) -> DataFrame:
+    """``value_ranges`` of a long ``(column, value, ...)`` table."""
+    ranges = shuffle_width(counts.sparkSession)
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = counts.groupBy("column").agg(
+        F.percentile_approx("value", steps, max(100, 4 * ranges)).alias("bounds")
+    ).collect()
+    rows = [(r["column"], sorted(set(r["bounds"] or []))) for r in cuts]
+    return local_rows(counts.sparkSession, rows, "column string, bounds array<double>")
+
+
 def range_number(value: Column, bounds: Column, ranges: int) -> Column:
     """How many of at most ``ranges`` sorted bounds lie below the value, by bisection."""
     def halve(state: Column, _: Column) -> Column:
