@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chi_square_tail(statistic: float, freedom: float) -> float:
@@ -53,7 +54,7 @@ def kolmogorov_tail(distance: float, n: float, m: float) -> float:
     return min(1.0, max(0.0, 2 * total))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([
         None if pd.isna(s) or pd.isna(f) or f < 1 else chi_square_tail(float(s), float(f))
@@ -61,7 +62,7 @@ def chi_square_p(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def kolmogorov_p(distance: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([
         None if pd.isna(d) else kolmogorov_tail(float(d), float(a), float(b))

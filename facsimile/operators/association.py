@@ -14,6 +14,10 @@ from facsimile.operators.prefix import ordered_totals, value_ranges
 from facsimile.session import cut_lineage, local_rows
 
 
+# rank tables up to this many rows (a few megabytes) are broadcast
+BROADCAST_RANKS = 200_000
+
+
 def average_ranks(
     df: DataFrame, columns: list[str], by: list[str] | None = None, ranges: DataFrame | None = None,
 ) -> DataFrame:
@@ -31,16 +35,19 @@ def with_ranks(
     """Replace numeric columns by their average ranks within ``by``; nulls stay null.
 
     The ranks of all columns are computed once and written; then one equi-join per column against
-    its distinct values.  Small rank tables are broadcast by size; for large ones the optimizer
-    splits a value that is hot on the row side.
+    its distinct values.  Rank tables of a counted, small size are broadcast; for the others the
+    optimizer splits a value that is hot on the row side.
     """
     by = by or []
     ranks = cut_lineage(average_ranks(df, columns, by, ranges))
+    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     current = df.select(*by, *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in columns])
     for c in columns:
         one = ranks.where(F.col("column") == c).select(
             *by, F.col("value").alias(c), F.col("rank").alias(f"{c}__rank")
         )
+        if sizes.get(c, 0) <= BROADCAST_RANKS:
+            one = F.broadcast(one)
         current = current.join(one, [*by, c], "left").drop(c).withColumnRenamed(f"{c}__rank", c)
     return current
 

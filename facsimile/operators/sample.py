@@ -32,13 +32,12 @@ def correlation_factor(columns: list[str], corr: dict[tuple[str, str], float]) -
         return np.eye(k)
 
 
-def correlated_normals(columns: list[str], corr: dict[tuple[str, str], float], seed) -> dict[str, Column]:
-    """One standard normal expression per column with the given correlations."""
+def correlated_normals(columns: list[str], corr: dict[tuple[str, str], float]) -> dict[str, Column]:
+    """Standard normals with the given correlations, as sums over the ``_z`` columns of ``with_draws``."""
     factor = correlation_factor(columns, corr) if len(columns) > 1 and corr else np.eye(len(columns))
-    draws = [rng.normal(seed, f"normal:{c}", ROW) for c in columns]
     mixed = {}
     for i, c in enumerate(columns):
-        terms = [F.lit(float(factor[i, j])) * draws[j] for j in range(i + 1) if factor[i, j] != 0.0]
+        terms = [F.lit(float(factor[i, j])) * F.col(f"_z{j}") for j in range(i + 1) if factor[i, j] != 0.0]
         total = terms[0]
         for term in terms[1:]:
             total = total + term
@@ -46,6 +45,11 @@ def correlated_normals(columns: list[str], corr: dict[tuple[str, str], float], s
     return mixed
 
 
+def with_draws(rows: DataFrame, columns: list[str], seed) -> DataFrame:
+    """One independent normal per column as ``_z`` columns: each is drawn once, however often it is mixed."""
+    return rows.withColumns({f"_z{i}": rng.normal(seed, f"normal:{c}", ROW) for i, c in enumerate(columns)})
+
+
 def clipped(normal: Column, mean: float, std: float, low: float, high: float) -> Column:
     value = normal * F.lit(float(std)) + F.lit(float(mean))
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
@@ -155,7 +159,9 @@ def sample(model: Model, spark: SparkSession, num_rows: int, seed=None, keep_row
     for name in large:
         rows = joined_category_draw(rows, name, model.probs.where(F.col("column") == name), seed)
     spread = [p["column"] for p in model.of_kind("numeric", "datetime")]
-    normals = correlated_normals(spread, model.corr, seed)
+    if spread:
+        rows = with_draws(rows, spread, seed)
+    normals = correlated_normals(spread, model.corr)
 
     def draw(p: dict) -> Column:
         name, kind = p["column"], p["kind"]
