@@ -260,7 +260,7 @@ _STATUS = "CASE WHEN {0} >= 75 THEN 'passed' WHEN {0} >= 50 THEN 'warning' ELSE
 ORACLES = {
     "ks_statistic": f"{_CELLS}, {_KS} SELECT * FROM ks",
     "mean_variance": f"{_CELLS}, {_MV} SELECT * FROM mv",
-    "chi_square": f"{_TEXT.replace('m AS', 'mt AS')}, {_CHI} SELECT \"column\", categories, printf('%.7e', statistic) AS statistic, {_CHI_SIMILAR} AS similar FROM x",
+    "chi_square": f"{_TEXT.replace('m AS', 'mt AS')}, {_CHI} SELECT \"column\", categories, printf('%.7e', round(statistic, 6)) AS statistic, {_CHI_SIMILAR} AS similar FROM x",
     "histogram": f"""{_CELLS}, l AS (SELECT "column", min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 30.0::DOUBLE AS w,
             count(*) FILTER (side = 'real') AS rn, count(*) FILTER (side = 'synth') AS sn FROM m GROUP BY 1),
         g AS (SELECT m."column", side, value, lo, w, least(29, CAST(floor((value - lo) / w) AS INTEGER)) AS i FROM m JOIN l ON m."column" = l."column"),
