@@ -164,23 +164,28 @@ def budget_state(
     With a ``registry`` of dataset ids, datasets without a request are listed with a fresh budget.
     """
     accepted = ledger.where("accepted") if "accepted" in ledger.columns else ledger
+    budget = int(round(max_epsilon * MICRO))
     used = accepted.groupBy("dataset_id").agg(
-        (F.sum(micro(F.col("epsilon"))) / F.lit(float(MICRO))).alias("used"),
+        F.sum(micro(F.col("epsilon"))).alias("used"),
         F.sum("delta").alias("delta"), F.count(F.lit(1)).alias("num_queries"),
     )
     known = registry if registry is not None else ledger
-    state = known.select("dataset_id").distinct().join(used, "dataset_id", "left")
-    total = F.coalesce("used", F.lit(0.0))
-    share = F.least(F.lit(1.0), total / F.lit(float(max_epsilon)))
+    state = known.select("dataset_id").distinct().join(used, "dataset_id", "left").withColumn(
+        "used", F.coalesce("used", F.lit(0))
+    )
+    # whole-number arithmetic: a share that ends in a five is rounded up whatever its binary form
+    hundredths = F.expr(f"(20000 * least(used, {budget}) + {budget}) div {2 * budget}")
+    share = F.col("used") / F.lit(float(budget))
     warning = F.lit(None).cast("string")
     for name, bound in reversed(WARNING_LEVELS):
         warning = F.when(share >= bound, F.lit(name)).otherwise(warning)
+    epsilon = lambda m: (m / F.lit(float(MICRO)))
     return state.select(
         "dataset_id", F.lit(float(max_epsilon)).alias("max_epsilon"),
-        F.round(total, 6).alias("total_epsilon_used"),
+        epsilon(F.col("used")).alias("total_epsilon_used"),
         F.round(F.coalesce("delta", F.lit(0.0)), 10).alias("total_delta_used"),
-        F.round(F.greatest(F.lit(0.0), F.lit(float(max_epsilon)) - total), 6).alias("remaining_epsilon"),
-        F.round(share * 100.0, 2).alias("utilization_pct"),
+        epsilon(F.greatest(F.lit(0), F.lit(budget) - F.col("used"))).alias("remaining_epsilon"),
+        (hundredths / F.lit(100.0)).alias("utilization_pct"),
         warning.alias("warning_level"), F.coalesce("num_queries", F.lit(0)).alias("num_queries"),
     )
 

@@ -158,12 +158,11 @@ ORACLES = {
     "budget_admission_one_ledger": f"WITH RECURSIVE {_fold(chr(39) + 'all' + chr(39), 50_000_000)} SELECT dataset_id, seq, accepted FROM a",
     "budget_state": f"""
         WITH RECURSIVE {_fold('user_id', int(BUDGET * 1e6))},
-        s AS (SELECT dataset_id, sum(cost) / 1000000.0::DOUBLE AS used, count(*) * 1e-6::DOUBLE AS delta, count(*) AS n FROM a WHERE accepted GROUP BY 1),
-        j AS (SELECT c_custkey AS dataset_id, coalesce(used, 0) AS used, coalesce(delta, 0) AS delta, coalesce(n, 0) AS n,
-                     least(1.0::DOUBLE, coalesce(used, 0) / {BUDGET}::DOUBLE) AS share FROM customer LEFT JOIN s ON s.dataset_id = c_custkey)
-        SELECT dataset_id, {BUDGET}::DOUBLE AS max_epsilon, round(used, 6) AS total_epsilon_used, round(delta, 10) AS total_delta_used,
-               round(greatest(0, {BUDGET}::DOUBLE - used), 6) AS remaining_epsilon, round(share * 100, 2) AS utilization_pct,
-               CASE WHEN share >= 0.9 THEN 'critical' WHEN share >= 0.75 THEN 'high' WHEN share >= 0.5 THEN 'medium' END AS warning_level,
+        s AS (SELECT dataset_id, sum(cost) AS used, count(*) * 1e-6::DOUBLE AS delta, count(*) AS n FROM a WHERE accepted GROUP BY 1),
+        j AS (SELECT c_custkey AS dataset_id, coalesce(used, 0) AS used, coalesce(delta, 0) AS delta, coalesce(n, 0) AS n FROM customer LEFT JOIN s ON s.dataset_id = c_custkey)
+        SELECT dataset_id, {BUDGET}::DOUBLE AS max_epsilon, used / 1000000.0::DOUBLE AS total_epsilon_used, round(delta, 10) AS total_delta_used,
+               (2000000 - used) / 1000000.0::DOUBLE AS remaining_epsilon, ((20000 * used + 2000000) // 4000000) / 100.0::DOUBLE AS utilization_pct,
+               CASE WHEN used >= 1800000 THEN 'critical' WHEN used >= 1500000 THEN 'high' WHEN used >= 1000000 THEN 'medium' END AS warning_level,
                n AS num_queries FROM j""",
     "budget_history": f"""
         WITH RECURSIVE {_fold('user_id', int(BUDGET * 1e6))},
