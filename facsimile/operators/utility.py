@@ -95,7 +95,10 @@ def utility_pillar(
     real: DataFrame, synth: DataFrame, target: str | None, key: list[str] | None = None,
     report: DataFrame | None = None, **options,
 ) -> DataFrame:
-    """One row: applicable, score, grade, status, gaps and the reason when not applicable."""
+    """One row: applicable, score, grade, status, gaps and the reason when not applicable.
+
+    The score rests on the random forests, so only they are trained unless ``models`` says otherwise.
+    """
     schema = (
         "applicable boolean, score double, grade string, status string, reason string, accuracy_gap double,"
         " f1_gap double, auc_gap double, precision_gap double, recall_gap double"
@@ -108,6 +111,7 @@ def utility_pillar(
         reason = f"Target column '{target}' has fewer than 2 unique classes."
     if reason:
         return local_rows(spark, [(False, None, "N/A", "not_applicable", reason, *[None] * 5)], schema)
+    options = {"models": MODELS[:1], **options}
     report = report if report is not None else ml_utility(real, synth, target, key, **options)
     values = {r["metric"]: r["value"] for r in report.where(F.col("regime") == "gap").collect()}
     score = values["utility_score"]
