@@ -19,7 +19,7 @@ BROADCAST_RANKS = 200_000
 
 
 def average_ranks(
-    df: DataFrame, columns: list[str], by: list[str] | None = None, ranges: DataFrame | None = None,
+    df: DataFrame, columns: list[str], by: list[str] | None = None, ranges: list[float] | None = None,
 ) -> DataFrame:
     """``(by..., column, value, rank)``: average rank of each distinct value; ties share it."""
     ranges = ranges if ranges is not None else value_ranges(df, columns)
@@ -30,7 +30,7 @@ def average_ranks(
 
 
 def with_ranks(
-    df: DataFrame, columns: list[str], by: list[str] | None = None, ranges: DataFrame | None = None,
+    df: DataFrame, columns: list[str], by: list[str] | None = None, ranges: list[float] | None = None,
 ) -> DataFrame:
     """Replace numeric columns by their average ranks within ``by``; nulls stay null.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.operators.columns import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, kinds, missing_as_null
-from facsimile.operators.prefix import range_number, running_totals
+from facsimile.operators.prefix import running_totals, text_range
 from facsimile.operators.quantiles import quantiles
 from facsimile.session import shuffle_width
 
@@ -27,8 +27,8 @@ def dictionary(df: DataFrame, name: str) -> DataFrame:
     levels = df.select(text_level(name).alias("value")).groupBy("value").agg(F.lit(1).alias("one"))
     # the levels with the smallest digests cut the text order into ranges of similar size
     cuts = levels.orderBy(F.xxhash64("value"), "value").limit(width - 1).collect()
-    bounds = F.array(*[F.lit(r["value"]) for r in sorted(cuts)])
-    placed = running_totals(levels, [], range_number(F.col("value"), bounds, width), ["value"], ["one"])
+    bounds = sorted(r["value"] for r in cuts)
+    placed = running_totals(levels, [], text_range(F.col("value"), bounds), ["value"], ["one"])
     return placed.select("value", F.col("one_before").alias("code"))
 
 

@@ -9,10 +9,11 @@ table is one row here.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facsimile.session import local_rows, shuffle_width
+from facsimile.session import shuffle_width
 
 
 def running_totals(
@@ -42,57 +43,61 @@ def running_totals(
     return joined.drop("bucket")
 
 
-def value_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, bounds)``: cut points that hold about equally many rows each.
+def _merged(cuts: dict[str, list[float] | None]) -> list[float]:
+    return sorted({float(v) + 0.0 for values in cuts.values() for v in values or []})
 
-    One scan with mergeable quantile sketches; the result (columns x ranges numbers) is fixed on the
-    driver so that every later use sees the same cuts.  The cuts steer balance only: any list gives
-    the same running sums.
+
+def _steps(spark, columns: int) -> list[float]:
+    # ranges per column, so that all columns together fill the cluster's shuffle width
+    ranges = max(2, -(-shuffle_width(spark) // max(1, columns)))
+    return [i / ranges for i in range(1, ranges)]
+
+
+def value_ranges(df: DataFrame, columns: list[str]) -> list[float]:
+    """Sorted cut points of numeric columns, merged: between two cuts no column holds more than its share of rows.
+
+    One scan with mergeable quantile sketches.  The list is fixed on the driver, so that every later
+    use sees the same cuts.  Cuts steer balance only: any list gives the same running sums.
     """
-    spark = df.sparkSession
-    ranges = shuffle_width(spark)
-    steps = [i / ranges for i in range(1, ranges)]
+    steps = _steps(df.sparkSession, len(columns))
     cuts = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), steps, max(100, 4 * ranges)).alias(c) for c in columns
+        F.percentile_approx(F.col(c).cast("double"), steps, max(100, 4 * len(steps))).alias(c) for c in columns
     ]).first()
-    rows = [(c, sorted(set(cuts[c] or []))) for c in columns]
-    return local_rows(spark, rows, "column string, bounds array<double>")
+    return _merged(cuts.asDict())
 
 
-def long_ranges(counts: DataFrame) -> DataFrame:
+def long_ranges(counts: DataFrame) -> list[float]:
     """``value_ranges`` of a long ``(column, value, ...)`` table."""
-    ranges = shuffle_width(counts.sparkSession)
-    steps = [i / ranges for i in range(1, ranges)]
+    steps = _steps(counts.sparkSession, 2)
     cuts = counts.groupBy("column").agg(
-        F.percentile_approx("value", steps, max(100, 4 * ranges)).alias("bounds")
+        F.percentile_approx("value", steps, max(100, 4 * len(steps))).alias("cuts")
     ).collect()
-    rows = [(r["column"], sorted(set(r["bounds"] or []))) for r in cuts]
-    return local_rows(counts.sparkSession, rows, "column string, bounds array<double>")
+    return _merged({r["column"]: r["cuts"] for r in cuts})
+
 
+def text_range(value: Column, bounds: list[str]) -> Column:
+    """How many of the sorted strings lie below the value, by bisection."""
+    listed = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
 
-def range_number(value: Column, bounds: Column, ranges: int) -> Column:
-    """How many of at most ``ranges`` sorted bounds lie below the value, by bisection."""
     def halve(state: Column, _: Column) -> Column:
         middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
-        below = F.get(bounds, middle) < value
+        below = F.get(listed, middle) < value
         open_ = state["low"] < state["high"]
         return F.struct(
             F.when(open_ & below, middle + 1).otherwise(state["low"]).alias("low"),
             F.when(open_ & ~below, middle).otherwise(state["high"]).alias("high"),
         )
-    start = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
-    steps = F.sequence(F.lit(1), F.lit(ranges.bit_length()))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length())))
     return F.coalesce(F.aggregate(steps, start, halve)["low"], F.lit(0))
 
 
 def ordered_totals(
-    counts: DataFrame, ranges: DataFrame, measures: list[str], by: list[str] | None = None,
+    counts: DataFrame, ranges: list[float], measures: list[str], by: list[str] | None = None,
 ) -> DataFrame:
     """Running totals of ``(by..., column, value, measures...)`` in value order within each column."""
-    with_bounds = counts.join(F.broadcast(ranges), "column")
-    width = shuffle_width(counts.sparkSession)
-    totals = running_totals(
-        with_bounds, [*(by or []), "column"],
-        range_number(F.col("value"), F.col("bounds"), width), ["value"], measures,
-    )
-    return totals.drop("bounds")
+    splits = [float("-inf"), *ranges, float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="value", outputCol="_range", handleInvalid="keep").transform(counts) \
+        if ranges else counts.withColumn("_range", F.lit(0.0))
+    totals = running_totals(placed, [*(by or []), "column"], F.col("_range").cast("int"), ["value"], measures)
+    return totals.drop("_range")
