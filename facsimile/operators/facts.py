@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from facsimile.functions import dates
 from facsimile.operators.columns import DATETIME, STRING, kinds, long_rows, numeric_columns, string_columns
 from facsimile.operators.freq import distinct_counts, row_digest
+from facsimile.session import cut_lineage
 
+# rows of the table head that samples are read from
+HEAD_ROWS = 1000
 # Sample sizes and content patterns of the role rules
 CONTENT_SAMPLE = 25
 DATE_SAMPLE = 20
@@ -58,19 +62,29 @@ class ColumnFacts:
 def first_values(df: DataFrame, columns: list[str], size: int, order_by: list[str] | None = None) -> DataFrame:
     """``(column, place, value)``: the first non-null values per column, as text, in a stated row order.
 
-    Without an order the rows are taken by digest, so the sample is the same on every run.  Spark
-    limits each column's group inside every task before anything is shuffled.
+    Without an order the rows are taken by digest, so the sample is the same on every run.  One pass
+    keeps the head of the table in a bounded heap per task; a column that is mostly missing there
+    gets a pass of its own.  Nothing is sorted as a whole.
     """
     keys = [F.col(c) for c in order_by] if order_by else [row_digest(df)]
-    cells = [F.col(c).cast("string").alias(c) for c in columns]
-    melted = (
-        df.select(F.struct(*keys).alias("row_order"), *cells)
-        .unpivot(["row_order"], columns, "column", "value")
-        .where(F.col("value").isNotNull())
-    )
+    rows = df.select(F.struct(*keys).alias("row_order"), *[F.col(c).cast("string").alias(c) for c in columns])
+    head = cut_lineage(rows.orderBy("row_order").limit(HEAD_ROWS))
+    seen = head.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    sparse = [c for i, c in enumerate(columns) if seen["rows"] == HEAD_ROWS and seen[f"n{i}"] < size]
+    dense = [c for c in columns if c not in sparse]
+    parts = [
+        rows.where(F.col(c).isNotNull()).orderBy("row_order", c).limit(size)
+        .select("row_order", F.lit(c).alias("column"), F.col(c).alias("value"))
+        for c in sparse
+    ]
+    if dense:
+        parts.append(head.select("row_order", *dense).unpivot(["row_order"], dense, "column", "value").where(
+            F.col("value").isNotNull()))
+    # at most HEAD_ROWS rows per column reach this window
     window = Window.partitionBy("column").orderBy("row_order", "value")
     return (
-        melted.withColumn("place", F.row_number().over(window))
+        reduce(DataFrame.unionByName, parts)
+        .withColumn("place", F.row_number().over(window))
         .where(F.col("place") <= size)
         .select("column", "place", "value")
     )

@@ -36,6 +36,15 @@ def _melt(df: DataFrame, columns: list[str], cast: str, by: list[str]) -> DataFr
     )
 
 
+def _digested(melted: DataFrame, cast: str) -> DataFrame:
+    """Long texts replaced by 128-bit digests, where only equality matters: 16 bytes a value in the shuffle."""
+    if cast != "string":
+        return melted
+    return melted.withColumn("value", F.struct(
+        F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), F.col("value"), F.length("value")).alias("b")
+    ))
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """``(by..., column, value, n)`` of every non-null value, value as text.
 
@@ -65,19 +74,25 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """``(column, unique_count)``: exact numbers of distinct non-null values."""
     columns = columns or df.columns
     parts = [
-        _melt(df, cs, cast, []).groupBy("column", "value").agg(F.lit(1).alias("one"))
+        _digested(_melt(df, cs, cast, []), cast).groupBy("column", "value").agg(F.lit(1).alias("one"))
         .groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
         for cast, cs in _families(df, columns)
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def side_counts(both: DataFrame, columns: list[str], numeric: bool = False) -> DataFrame:
-    """``(column, value, n_real, n_synth)`` of a tagged union: both tables in one aggregate."""
+def side_counts(
+    both: DataFrame, columns: list[str], numeric: bool = False, digest: bool = False,
+) -> DataFrame:
+    """``(column, value, n_real, n_synth)`` of a tagged union: both tables in one aggregate.
+
+    With ``digest`` the values are only good for counting, which spares the shuffle of long texts.
+    """
     families = [("double", columns)] if numeric else _families(both, columns)
     parts = []
     for cast, cs in families:
-        counted = _melt(both, cs, cast, ["side"]).groupBy("column", "value").agg(
+        melted = _melt(both, cs, cast, ["side"])
+        counted = (_digested(melted, cast) if digest else melted).groupBy("column", "value").agg(
             F.count_if(F.col("side") == "real").alias("n_real"),
             F.count_if(F.col("side") == "synth").alias("n_synth"),
         )

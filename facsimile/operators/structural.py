@@ -153,7 +153,7 @@ def structural_fidelity(real: DataFrame, synth: DataFrame, ignore: tuple[str, ..
     ]
     dtype_rate = len(agreeing) / max(len(columns), 1)
 
-    counts = side_counts(tagged_union(real, synth, columns), columns)
+    counts = side_counts(tagged_union(real, synth, columns), columns, digest=True)
     texts = [c for c in columns if numeric[c] not in _NUMERIC]
     one = F.lit(1).alias("one")
     missing_part = null_rates(real, synth).agg(F.avg("raw_diff").alias("missing_diff")).select("*", one)
@@ -220,7 +220,7 @@ def structural_warnings(real: DataFrame, synth: DataFrame) -> DataFrame:
     by_kind = kinds(real)
     texts = [c for c in columns if by_kind[c] not in _NUMERIC]
     if texts:
-        counts = side_counts(tagged_union(real, synth, texts), texts)
+        counts = side_counts(tagged_union(real, synth, texts), texts, digest=True)
         messages = messages.unionByName(domain_overlap(counts).where(F.col("novel_categories") > 0).select(
             F.format_string("Column '%s' introduced %d novel categories not in real data.", "column", "novel_categories")
             .alias("message")

@@ -289,7 +289,7 @@ ORACLES = {
     "roles_events": " UNION ALL ".join([
         _role_row("events", "event_id", 0, "'identifier'", "'numerical'", "true"),
         _role_row("events", "ts", 1, "'datetime'", "'datetime'"),
-        _role_row("events", "user_id", 2, "'identifier'", "'numerical'", "true"),
+        _role_row("events", "user_id", 2, "'identifier'", _coarse("user_id"), "true"),
         _role_row("events", "event_type", 3, "'categorical'", "'categorical'", sensitive=_small("event_type")),
         _role_row("events", "value", 4, "'numeric'", "'numerical'"),
         _role_row("events", "props", 5, "'categorical'", "'categorical'"),

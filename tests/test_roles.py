@@ -90,3 +90,12 @@ def test_sample_order_does_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(f"v{i}", f"2024-01-{1 + i % 28:02d}") for i in range(200)], "a string, d string")
     first = collect_facts(df.repartition(1))
     assert first == collect_facts(df.repartition(7))
+
+
+def test_sparse_columns_get_their_own_sample(spark):
+    from facsimile.operators.facts import first_values
+
+    df = spark.range(3000).selectExpr("id", "case when id >= 2500 then concat('late', id) end as s", "concat('v', id) as t")
+    got = first_values(df, ["s", "t"], 2, ["id"]).collect()
+    assert sorted((r["column"], r["place"], r["value"]) for r in got) == [
+        ("s", 1, "late2500"), ("s", 2, "late2501"), ("t", 1, "v0"), ("t", 2, "v1")]
