@@ -43,12 +43,12 @@ def with_ranks(
     sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     current = df.select(*by, *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in columns])
     for c in columns:
-        one = ranks.where(F.col("column") == c).select(
+        lookup = ranks.where(F.col("column") == c).select(
             *by, F.col("value").alias(c), F.col("rank").alias(f"{c}__rank")
         )
         if sizes.get(c, 0) <= BROADCAST_RANKS:
-            one = F.broadcast(one)
-        current = current.join(one, [*by, c], "left").drop(c).withColumnRenamed(f"{c}__rank", c)
+            lookup = F.broadcast(lookup)
+        current = current.join(lookup, [*by, c], "left").drop(c).withColumnRenamed(f"{c}__rank", c)
     return current
 
 
@@ -134,7 +134,8 @@ def _all_pairs(df: DataFrame, found: DataFrame, pairs: list[tuple[str, str]], by
     listed = local_rows(df.sparkSession, pairs, "col_i string, col_j string")
     if by:
         sides = df.select(*by).distinct()
-        listed = sides.withColumn("one", F.lit(1)).join(listed.withColumn("one", F.lit(1)), "one").drop("one")
+        wanted = F.array(*[F.struct(F.lit(i).alias("col_i"), F.lit(j).alias("col_j")) for i, j in pairs])
+        listed = sides.select(*by, F.inline(wanted))
     keys = [*by, "col_i", "col_j"]
     return listed.join(found, keys, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 

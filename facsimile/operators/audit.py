@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from facsimile.operators.classifiers import (
     ATTACK_FOREST, ATTRIBUTE_FOREST, assembled, auc_of, class_list, label_index, predictions, train,
 )
-from facsimile.operators.columns import common_columns, tagged_union
+from facsimile.operators.columns import common_columns, tagged_union, with_row
 from facsimile.operators.encode import encode_table, scaled, scaling
 from facsimile.operators.facts import collect_facts
 from facsimile.operators.freq import row_digest
@@ -100,17 +100,16 @@ def reidentification(distances: DataFrame, percentile: float = REID_PERCENTILE)
     """One row of re-identification risk from ``distance_counts``."""
     totals = ordered_totals(distances, long_ranges(distances), ["n"])
     spread = quantiles_of_counts(totals, {"cut": percentile / 100.0, "median": 0.5})
-    cut = spread.where(F.col("column") == "real_to_real").select("cut", F.lit(1).alias("one"))
-    median = spread.where(F.col("column") == "synth_to_real").select("median", F.lit(1).alias("one"))
-    outward = distances.where(F.col("column") == "synth_to_real").withColumn("one", F.lit(1))
-    # one row on the other side of the join
-    found = outward.join(F.broadcast(cut), "one").groupBy("one").agg(
+    of = lambda name, field: F.max(F.when(F.col("column") == name, F.col(field))).alias(field)
+    marks = cut_lineage(spread.agg(of("real_to_real", "cut"), of("synth_to_real", "median")))
+    outward = distances.where(F.col("column") == "synth_to_real")
+    found = with_row(outward, marks).agg(
         F.coalesce(F.sum(F.when(F.col("value") < F.col("cut"), F.col("n"))), F.lit(0)).alias("records_at_risk"),
         F.sum("n").alias("total"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("value").alias("low"),
-        F.max("cut").alias("cut"),
-    ).join(median, "one")
+        F.max("cut").alias("cut"), F.max("median").alias("median"),
+    )
     share = F.round(F.col("records_at_risk") * 100.0 / F.col("total"), 2)
     return found.select(
         "records_at_risk", share.alias("records_at_risk_pct"), F.col("total").alias("total_synthetic_records"),
@@ -125,12 +124,13 @@ def distance_histogram(distances: DataFrame, bins: int = HISTOGRAM_BINS) -> Data
     """``(bin, center, synth_to_real, real_to_real)``: counts in equal bins up to the joint 95th percentile."""
     joint = distances.groupBy("value").agg(F.sum("n").alias("n")).select(F.lit("all").alias("column"), "value", "n")
     top = quantiles_of_counts(ordered_totals(joint, long_ranges(joint), ["n"]), {"top": 0.95}).select(
-        F.lit(1).alias("one"), "top", (F.col("top") / bins).alias("width")
+        "top", (F.col("top") / bins).alias("width")
     )
+    top = cut_lineage(top)
     guess = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("value"), F.col("width"))), F.lit(bins - 1)))
     down = (guess > 0) & (F.col("value") < guess * F.col("width"))
     up = (guess < bins - 1) & (F.col("value") >= (guess + 1) * F.col("width"))
-    placed = distances.withColumn("one", F.lit(1)).join(F.broadcast(top), "one").where(
+    placed = with_row(distances, top).where(
         F.col("value") <= F.col("top")
     ).withColumn("bin", F.when(down, guess - 1).when(up, guess + 1).otherwise(guess).cast("int"))
     of = lambda name: F.coalesce(F.sum(F.when(F.col("column") == name, F.col("n"))), F.lit(0)).alias(name)
@@ -260,18 +260,17 @@ def all_attacks(
         members, holdout = marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
     else:
         members = real
-    one = F.lit(1).alias("one")
     mia = membership_inference(members, holdout, synth, sample_rows=sample_rows).select(
-        one, F.col("attack_auc").alias("mia_auc"), F.col("attack_advantage").alias("mia_advantage"),
+        F.col("attack_auc").alias("mia_auc"), F.col("attack_advantage").alias("mia_advantage"),
         F.col("risk_score").alias("mia_risk"), F.col("risk_level").alias("mia_level"),
     )
     reid = reidentification(distance_counts(real, synth, sample_rows)).select(
-        one, "records_at_risk_pct", F.col("risk_score").alias("reid_risk"), F.col("risk_level").alias("reid_level"),
+        "records_at_risk_pct", F.col("risk_score").alias("reid_risk"), F.col("risk_level").alias("reid_level"),
     )
     attr = attribute_risk(attribute_inference(real, synth, order_by=order_by, sample_rows=sample_rows)).select(
-        one, "average_advantage", F.col("risk_score").alias("attr_risk"), F.col("risk_level").alias("attr_level"),
+        "average_advantage", F.col("risk_score").alias("attr_risk"), F.col("risk_level").alias("attr_level"),
     )
-    joined = mia.join(reid, "one").join(attr, "one").drop("one")
+    joined = with_row(with_row(mia, reid), attr)
     score, label = combined_risk(F.col("mia_risk"), F.col("reid_risk"), F.col("attr_risk"))
     return joined.withColumn("overall_risk_score", score).withColumn("overall_risk_level", label)
 
@@ -282,8 +281,7 @@ def privacy_pillar(real: DataFrame, synth: DataFrame, attacks: DataFrame | None
     ``attacks`` is a row of ``all_attacks`` computed before; otherwise the audits run now.
     """
     attacks = attacks if attacks is not None else all_attacks(real, synth, **options)
-    one = F.lit(1)
-    joined = exact_collisions(real, synth).withColumn("one", one).join(attacks.withColumn("one", one), "one").drop("one")
+    joined = with_row(exact_collisions(real, synth), attacks)
     penalty = F.when(F.col("exact_count") > 0, F.least(F.lit(50.0), F.col("exact_rate") * 500.0)).otherwise(F.lit(0.0))
     raw = F.round(F.least(F.lit(100.0), F.col("overall_risk_score") + penalty), 2)
     scored = joined.withColumn("raw_privacy_risk_score", raw)

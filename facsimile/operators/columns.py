@@ -96,6 +96,12 @@ def coerce(df: DataFrame, column_types: dict[str, str]) -> DataFrame:
     return df.select(*[cast(c) for c in df.columns])
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the cells of a one-row result to every row, as a scalar subquery: no join, no shuffle of ``df``."""
+    cells = row.select(F.struct(*row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", cells).select(*df.columns, *[F.col("_row")[c].alias(c) for c in row.columns])
+
+
 def long_rows(names: list[str], fields: dict[str, dict[str, Column]]) -> Column:
     """``inline``-able array with one struct per column: turns one wide aggregate into k rows."""
     return F.array(*[

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from facsimile.functions import rng
 from facsimile.operators import model as models
-from facsimile.operators.columns import kinds, missing_as_null
+from facsimile.operators.columns import kinds, missing_as_null, with_row
 from facsimile.operators.facts import collect_facts
 from facsimile.operators.mechanisms import gaussian_sigma
 from facsimile.operators.roles import identifier_columns
@@ -36,8 +36,7 @@ def combine_sites(sites: dict[str, DataFrame], order_by: list[str] | None = None
 def site_list(df: DataFrame) -> DataFrame:
     """``(site, records, weight)``."""
     sizes = df.groupBy(SITE).agg(F.count(F.lit(1)).alias("records"))
-    total = sizes.agg(F.sum("records").alias("all_records")).withColumn("one", F.lit(1))
-    return sizes.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select(
+    return with_row(sizes, df.agg(F.count(F.lit(1)).alias("all_records"))).select(
         SITE, "records", (F.col("records") / F.col("all_records")).alias("weight")
     )
 

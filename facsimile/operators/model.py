@@ -7,17 +7,16 @@ the rows of many sites at once only adds the site to the grouping keys.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.functions.dates import epoch_seconds
-from facsimile.operators.columns import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, kinds, long_rows, missing_as_null
+from facsimile.operators.columns import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, kinds, long_rows, missing_as_null, with_row
 from facsimile.operators.facts import collect_facts
 from facsimile.operators.freq import row_digest, value_counts
-from facsimile.operators.moments import correlations
+from facsimile.operators.moments import correlations, numeric_moments
 from facsimile.operators.roles import identifier_columns, semantic_type
 from facsimile.session import local_rows
 
@@ -61,10 +60,10 @@ def column_kinds(df: DataFrame, order_by: list[str] | None = None, keep: tuple[s
     """The model kind of each column: constant, boolean, datetime, text, numeric or categorical."""
     facts = collect_facts(df, order_by)
     ids = set(identifier_columns(facts, keep))
-    return {f.column: _model_kind(semantic_type(f, f.column in ids), f) for f in facts}
+    return {f.column: model_kind(semantic_type(f, f.column in ids), f) for f in facts}
 
 
-def _model_kind(semantic: str, fact) -> str:
+def model_kind(semantic: str, fact) -> str:
     if fact.n_unique <= 1:
         return "constant"
     if semantic in ("boolean", "datetime", "text", "numeric"):
@@ -94,8 +93,6 @@ def model_value(df: DataFrame, column: str) -> Column:
 
 def fit_spread(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """``(by..., column, mean, std, low, high)`` of numeric columns and of datetimes in epoch seconds."""
-    from facsimile.operators.moments import numeric_moments
-
     by = by or []
     df = missing_as_null(df)
     is_date = {c: kinds(df)[c] in (DATETIME, STRING) for c in columns}
@@ -184,8 +181,8 @@ def text_pool(df: DataFrame, column: str, order_by: list[str] | None = None, siz
 def text_frequencies(df: DataFrame, column: str, size: int = TEXT_FREQUENCIES) -> DataFrame:
     """``(category, p)`` of the most common texts, ties by text."""
     counts = value_counts(df, [column])
-    total = counts.agg(F.sum("n").alias("total")).withColumn("column", F.lit(column))
-    return counts.orderBy(F.desc("n"), "value").limit(size).join(total, "column").select(
+    total = df.agg(F.count(column).alias("total"))
+    return with_row(counts.orderBy(F.desc("n"), "value").limit(size), total).select(
         F.col("value").alias("category"), (F.col("n") / F.col("total")).alias("p")
     )
 
@@ -247,7 +244,3 @@ def fit(
     probs = fit_categorical(df, of("categorical")) if of("categorical") else None
     return Model([params[c] for c in names], probs, pools, corr)
 
-
-def merged_params(parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Outer-join per-column parameter tables of different kinds into one wide table."""
-    return reduce(lambda a, b: a.join(b, keys, "left"), parts)

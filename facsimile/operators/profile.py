@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.operators import roles
-from facsimile.operators.columns import missing_as_null, numeric_columns
+from facsimile.operators.columns import missing_as_null, numeric_columns, with_row
 from facsimile.operators.facts import collect_facts, first_values
 from facsimile.operators.freq import duplicate_counts, value_counts
 from facsimile.operators.moments import numeric_moments
@@ -43,8 +43,7 @@ def table_profile(df: DataFrame) -> DataFrame:
         memory_bytes(df).alias("memory_usage_bytes"),
     )
     repeats = duplicate_counts(df).select("duplicate_count")
-    # two one-row frames side by side
-    return cells.withColumn("one", F.lit(1)).join(repeats.withColumn("one", F.lit(1)), "one").select(
+    return with_row(cells, repeats).select(
         "row_count",
         F.lit(width).alias("column_count"),
         "missing_count",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.operators.columns import with_row
 from facsimile.operators.grades import grade
 
 # Pillar weights, readiness limits, verdicts
@@ -53,10 +54,7 @@ def verdict(fidelity, protection, collisions):
 
 def executive_summary(pillars: DataFrame, privacy: DataFrame, warnings: DataFrame) -> DataFrame:
     """One row: fidelity and privacy scores side by side, verdict and number of warnings."""
-    one = F.lit(1).alias("one")
-    joined = fidelity_score(pillars).select("*", one).join(privacy.select("*", one), "one").join(
-        warnings.agg(F.count(F.lit(1)).alias("warnings_count")).select("*", one), "one"
-    )
+    joined = with_row(with_row(fidelity_score(pillars), privacy), warnings.agg(F.count(F.lit(1)).alias("warnings_count")))
     return joined.select(
         "data_fidelity_score", "data_fidelity_grade", "privacy_protection_score",
         grade(F.col("privacy_protection_score")).alias("privacy_protection_grade"),

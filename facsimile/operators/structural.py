@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.operators.columns import BOOLEAN, FLOAT, INTEGER, common_columns, kinds, tagged_union
+from facsimile.operators.columns import BOOLEAN, FLOAT, INTEGER, common_columns, kinds, tagged_union, with_row
 from facsimile.operators.freq import duplicate_counts, side_counts
 from facsimile.operators.grades import at_least_zero
 from facsimile.session import local_rows
@@ -128,10 +128,9 @@ def duplicate_rates(real: DataFrame, synth: DataFrame) -> DataFrame:
     def rate(df: DataFrame, name: str) -> DataFrame:
         counted = duplicate_counts(df)
         return counted.select(
-            F.coalesce(F.try_divide(F.col("duplicate_count").cast("double"), F.col("num_rows")), F.lit(0.0)).alias(name),
-            F.lit(1).alias("one"),
+            F.coalesce(F.try_divide(F.col("duplicate_count").cast("double"), F.col("num_rows")), F.lit(0.0)).alias(name)
         )
-    joined = rate(real, "real_rate").join(rate(synth, "synth_rate"), "one")
+    joined = with_row(rate(real, "real_rate"), rate(synth, "synth_rate"))
     return joined.select("real_rate", "synth_rate", F.abs(F.col("real_rate") - F.col("synth_rate")).alias("diff"))
 
 
@@ -155,11 +154,10 @@ def structural_fidelity(real: DataFrame, synth: DataFrame, ignore: tuple[str, ..
 
     counts = side_counts(tagged_union(real, synth, columns), columns, digest=True)
     texts = [c for c in columns if numeric[c] not in _NUMERIC]
-    one = F.lit(1).alias("one")
-    missing_part = null_rates(real, synth).agg(F.avg("raw_diff").alias("missing_diff")).select("*", one)
+    missing_part = null_rates(real, synth).agg(F.avg("raw_diff").alias("missing_diff"))
     constant_part = constant_preservation(real, synth).agg(
         F.coalesce(F.avg(F.col("preserved").cast("int")), F.lit(1.0)).alias("constant_rate")
-    ).select("*", one)
+    )
     # one pass over the value counts serves domains and cardinality
     per_column = cardinality(counts).join(
         domain_overlap(counts.where(F.col("column").isin(texts))).select("column", "raw_overlap"), "column", "left"
@@ -167,9 +165,10 @@ def structural_fidelity(real: DataFrame, synth: DataFrame, ignore: tuple[str, ..
     domain_part = per_column.agg(
         F.coalesce(F.avg("raw_overlap"), F.lit(1.0)).alias("domain_overlap"),
         F.avg(F.least(F.lit(1.0), F.col("raw_diff"))).alias("cardinality_diff"),
-    ).select("*", one)
-    duplicates = duplicate_rates(real, synth).select("*", one)
-    joined = missing_part.join(constant_part, "one").join(domain_part, "one").join(duplicates, "one")
+    )
+    joined = missing_part
+    for part in (constant_part, domain_part, duplicate_rates(real, synth)):
+        joined = with_row(joined, part)
     score = F.round(
         F.lit(preservation * 25.0) + F.lit(dtype_rate * 20.0)
         + at_least_zero(100.0 * (1.0 - F.col("missing_diff"))) * 0.20

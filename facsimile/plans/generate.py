@@ -14,6 +14,7 @@ from facsimile.operators.facts import collect_facts
 from facsimile.operators.mechanisms import PrivacyParams, clip_bound, privacy_summary, protect
 from facsimile.operators.roles import identifier_columns, semantic_type, target_column
 from facsimile.operators.sample import ROW, sample
+from facsimile.session import local_rows
 from facsimile.sources.registry import Registry
 from facsimile.sources.tables import preview, read_table, write_table
 
@@ -48,7 +49,7 @@ def synthesize(
     facts = collect_facts(real, order_by)
     ids, target = identifier_columns(facts, keep), target_column(facts)
     working = real.drop(*ids)
-    known = {f.column: models._model_kind(semantic_type(f, False), f) for f in facts if f.column not in ids}
+    known = {f.column: models.model_kind(semantic_type(f, False), f) for f in facts if f.column not in ids}
     fitted = models.fit(working, [c for c in (order_by or []) if c in working.columns] or None, known_kinds=known)
     drawn = sample(fitted, real.sparkSession, num_rows, seed, keep_row_id=True)
     if privacy is None:
@@ -93,8 +94,6 @@ def generate(
 def model_tables(made: Generated) -> dict[str, DataFrame]:
     """The fitted model as tables: parameters, category probabilities and correlations."""
     spark = made.table.sparkSession
-    from facsimile.session import local_rows
-
     tables = {
         "params": made.model.params_table(spark),
         "corr": local_rows(
