@@ -9,8 +9,9 @@ however long the document.  Candidates are then verified on the shingles themsel
 
 Only DataFrame expressions.  Arrays are opened with ``explode_outer``: for ``explode`` the optimizer pushes a
 test of the array's size below the projections that build it, and would build it again for each element.
-The sketch table is broadcast when it is counted and has at most
-``BROADCAST_ROWS`` rows; a larger one is joined by shuffle.
+The sketch table, and then the list of candidate texts
+(64-bit hashes), are broadcast when counted at ``BROADCAST_ROWS`` rows at most; larger ones are joined by
+shuffle, with the same result.
 """
 
 from __future__ import annotations
@@ -78,10 +79,14 @@ def contained(documents: DataFrame, items: DataFrame, percent: int = THRESHOLD_P
     wanted = stored(
         pairs.join(parts, "item_id").groupBy("_doc").agg(F.collect_list(F.struct("item_id", "_parts")).alias("_items")), "candidates")
     names = [c for c in documents.columns if c not in ("item_id", "n_shared", "n_item")]
+    keys = wanted.select("_doc")
+    texts = documents.select(*names).withColumn("_doc", F.xxhash64(text))
+    if keys.count() <= BROADCAST_ROWS:  # so that only texts with a candidate are shuffled to the join below
+        texts = texts.join(F.broadcast(keys), "_doc", "left_semi")
     shared = lambda has: F.transform("_items", lambda i: F.struct(
         i["item_id"].alias("item_id"), F.size(F.array_intersect(i["_parts"], has)).cast("long").alias("n_shared"), F.size(i["_parts"]).cast("long").alias("n_item")))
     return (
-        documents.select(*names).withColumn("_doc", F.xxhash64(text)).join(wanted, "_doc")
+        texts.join(wanted, "_doc")
         .select(*names, F.explode_outer(let(whole_shingles(F.col(text), width), shared)).alias("_m")).select(*names, "_m.*")
         .where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     )
