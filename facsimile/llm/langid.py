@@ -194,13 +194,13 @@ def fit(documents: DataFrame, allowed: Column, settings: Settings = Settings(),
     return Model(settings, languages, idf, weights, bias, best_temperature(logits, y[check]))
 
 
-def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``documents`` with lang_pred and score, the probability given to it.
+def predict(documents: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``documents`` (its columns ``keep``, all by default) with lang_pred and score, the probability given to it.
 
     A null text, one without a letter, and every text under a model that knows no language get ``und`` with
     score 0.  Equal texts get equal predictions.  Columns of these names are replaced.
     """
-    names = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    names = [c for c in keep or documents.columns if c not in ("lang_pred", "score")]
     schema = documents.select(*names).schema.add("lang_pred", "string").add("score", "double")
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from facsimile.llm import decontam, mixing, pii, urls
+from facsimile.llm import decontam, langid, mixing, neighbours, pii, toxicity, urls, warc
 from facsimile.llm.common import read
 
 
+def _fold(parts: int) -> Column:
+    """crc32 of the document id as text, modulo ``parts``; a null id is in no fold that is held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(-1))
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(documents, read(spark, folder, "labels"), _fold(5) != 0)
+    scored = toxicity.score(documents.select("doc_id", "lang", "text", (_fold(5) == 0).alias("held_out")), model, keep=["doc_id", "lang", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(documents, _fold(4) != 2)
+    return langid.predict(documents.select("doc_id", "text", (_fold(4) == 2).alias("held_out")), model, keep=["doc_id", "held_out"])
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     made = mixing.mix(read(spark, folder, "documents").select("doc_id", "text", "source"))
     return made.select("doc_id", "source", "n_tokens", "weight", "copies", "block", "place")
@@ -17,6 +36,10 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(read(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.summary(warc.read(spark, warc.write(read(spark, folder, "pages").select("page_id", "url", "html"))))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, folder, "documents").select("doc_id", "text")))
 
@@ -26,13 +49,18 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return held.select("doc_id", "item_id", "n_shared", "n_item")
 
 
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(neighbours.index(vectors), neighbours.every(vectors, 50), 5)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_url_filter, op7_pii, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_mixing, op4_url_filter, op5_warc, op7_pii, op8_decontamination, op10_nearest)}
 
 ORACLES = {
     "op4_url_filter": r"""
