@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from facsimile.session import checkpoint_dir
 
+#: Rows of keys that may be broadcast; a longer table of keys is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,6 +36,11 @@ def drop_stored(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def counted(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, marked for broadcast when it is counted at ``BROADCAST_ROWS`` rows at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

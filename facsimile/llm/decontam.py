@@ -19,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import let, stored
+from facsimile.llm.common import BROADCAST_ROWS, counted, let, stored
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -60,9 +59,7 @@ def sketches(items: DataFrame, percent: int = THRESHOLD_PERCENT, width: int = SH
 def candidates(documents: DataFrame, sketch: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
     """(_doc, item_id): texts, named by a 64-bit hash, that have a sketch shingle of an item."""
     exploded = documents.select(F.xxhash64(text).alias("_doc"), F.explode_outer(hashed_shingles(F.col(text), width)).alias("hash"))
-    known = stored(sketch, "sketch")
-    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    return exploded.join(side, "hash").select("_doc", "item_id").distinct()
+    return exploded.join(counted(stored(sketch, "sketch")), "hash").select("_doc", "item_id").distinct()
 
 
 def contained(documents: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT, width: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -96,4 +93,4 @@ def clean(documents: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCE
     """``documents`` without the rows whose text holds an item."""
     marked = documents.select(F.sha2(text, 256).alias("_text"), F.col(text).alias("text"))
     held = stored(contained(marked, items, percent, width).select("_text").distinct(), "contaminated")
-    return documents.withColumn("_text", F.coalesce(F.sha2(text, 256), F.lit(""))).join(held, "_text", "left_anti").drop("_text").select(*documents.columns)
+    return documents.withColumn("_text", F.coalesce(F.sha2(text, 256), F.lit(""))).join(counted(held), "_text", "left_anti").drop("_text").select(*documents.columns)

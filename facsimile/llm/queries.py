@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import decontam, langid, mixing, neighbours, pii, toxicity, urls, warc
+from facsimile.llm import decontam, jaccard, langid, mixing, neighbours, pii, substrings, toxicity, urls, warc
 from facsimile.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.summary(warc.read(spark, warc.write(read(spark, folder, "pages").select("page_id", "url", "html"))))
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.groups(read(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, folder, "documents").select("doc_id", "text")))
 
@@ -49,6 +53,10 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return held.select("doc_id", "item_id", "n_shared", "n_item")
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicate(read(spark, folder, "documents").select("doc_id", "text"), digests=True)
+
+
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(neighbours.index(vectors), neighbours.every(vectors, 50), 5)
@@ -60,7 +68,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_mixing, op4_url_filter, op5_warc, op7_pii, op8_decontamination, op10_nearest)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_language, op3_mixing, op4_url_filter, op5_warc, op6_jaccard_join, op7_pii, op8_decontamination, op9_substring_dedup, op10_nearest, pipeline)}
 
 ORACLES = {
     "op4_url_filter": r"""
