@@ -122,11 +122,12 @@ def find(documents: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KIN
 
 
 def redact(documents: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``documents`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+    """``documents`` with every span replaced by its kind in brackets; overlapping spans become one, named by the
+    first, of equal starts the longest.
 
     Null text stays null.  Columns keep their names and order.
     """
-    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     cut = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(
         F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(
