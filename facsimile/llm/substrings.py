@@ -241,9 +241,9 @@ def repeats(texts: DataFrame) -> DataFrame:
     order = ["doc", "part", "start"]
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc", "start"), F.col("salts"))).otherwise(0)
     ranked = stored(
-        windows.withColumn("_salt", salt).withColumn("_k", F.row_number().over(W.partitionBy("window", "anchor", "_salt").orderBy(*order)))
+        windows.withColumn("_salt", salt).withColumn("_k", F.rank().over(W.partitionBy("window", "anchor", "_salt").orderBy(*order)))
         .where("_k > 1 OR salts > 1").select(*order, "window", "anchor", "_k"), "ranked")
-    firsts = ranked.where("_k = 1").withColumn("_k", F.row_number().over(W.partitionBy("window", "anchor").orderBy(*order)))
+    firsts = ranked.where("_k = 1").withColumn("_k", F.rank().over(W.partitionBy("window", "anchor").orderBy(*order)))
     later = ranked.where("_k > 1").select(*order).unionByName(firsts.where("_k > 1").select(*order))
     return stored(later.groupBy("doc", "part").agg(F.collect_list("start").alias("starts")), "repeats")
 
@@ -265,7 +265,11 @@ def deduplicate(documents: DataFrame, text: str = "text", identity: str = "doc_i
     )
     copies = stored(later, "copies")
     firsts = _picked(base, copies, "left_anti")
-    found = repeats(firsts)
+    often = stored(base.groupBy("doc", "part").count().where("count > 1").select("doc", "part"), "repeated")
+    once = firsts
+    if often.take(1):  # rows repeated whole are one document
+        once = _picked(firsts, often, "left_anti").unionByName(_picked(firsts, often, "left_semi").dropDuplicates(["doc", "part"]))
+    found = repeats(once.select("doc", "part", "_text"))
     make = _hashed_kept if digests else _kept
     schema = f"id long, n_words long, n_removed long, {'kept_sha256 string' if digests else 'kept binary'}"
     hit = found.select("doc", "part")

@@ -40,15 +40,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n at least."""
+    """base**i and base**-i for i below n at least; those of a usual block are kept."""
     size = max(BLOCK + 1024, n)
-    if n <= BLOCK + 1024 and 0 in _powers:
-        return _powers[0]
+    if size in _powers:
+        return _powers[size]
     up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     made = np.multiply.accumulate(up), np.multiply.accumulate(down)
     if size == BLOCK + 1024:
-        _powers[0] = made
+        _powers[size] = made
     return made
 
 
