@@ -35,15 +35,6 @@ def parse_date(value: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS])
 
 
-def all_parse(value: Column) -> Column:
-    """Aggregate: one single format reads every value."""
-    per_format = [F.bool_and(F.try_to_timestamp(value, F.lit(f)).isNotNull()) for f in DATE_FORMATS]
-    verdict = per_format[0]
-    for other in per_format[1:]:
-        verdict = verdict | other
-    return F.coalesce(verdict, F.lit(False))
-
-
 def epoch_seconds(column: Column, data_type: T.DataType) -> Column:
     """Whole seconds since 1970 of a date, a timestamp or a date string, whatever the session zone."""
     if isinstance(data_type, T.TimestampNTZType):

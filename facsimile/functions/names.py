@@ -8,7 +8,13 @@ import re
 STRONG_ID_NAMES = [
     "id", "uuid", "uid", "guid", "row_id", "record_id", "identifier", "ssn", "social_security",
 ]
-EXPLICIT_ID_SUFFIX = r"(^|_)(id|uuid|uid|ssn)$"
+STRONG_ID_SUFFIXES = [
+    r"(^|_)id$",
+    r"(^|_)uuid$",
+    r"(^|_)uid$",
+    r"(^|_)guid$",
+    r"(^|_)ssn$",
+]
 GUID_SUFFIX = r"(^|_)guid$"
 KNOWN_ID_PATTERNS = [
     r"^(account|policy|badge|serial|license|customer|client|user|employee|student|patient|member"
@@ -57,7 +63,7 @@ def is_strong_id_name(name: str) -> bool:
 
 
 def is_explicit_id_name(name: str) -> bool:
-    return is_strong_id_name(name) or _any_match([EXPLICIT_ID_SUFFIX], name)
+    return is_strong_id_name(name) or _any_match([p for p in STRONG_ID_SUFFIXES if p != GUID_SUFFIX], name)
 
 
 def is_known_id_name(name: str) -> bool:

@@ -28,15 +28,15 @@ def chi_square_tail(statistic: float, freedom: float) -> float:
     b = x + 1 - a
     c, d = 1e300, 1 / b
     fraction = d
-    for i in range(1, 10_000):
+    for i in range(1, 10_000_000):
         numerator = -i * (i - a)
         b += 2
         d = 1 / (numerator * d + b or 1e-300)
         c = b + numerator / c or 1e-300
         fraction *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return lead * fraction
+            return lead * fraction
+    raise ArithmeticError(f"no convergence for shape {a} at {x}")
 
 
 def kolmogorov_tail(distance: float, n: float, m: float) -> float:

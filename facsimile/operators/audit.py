@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.operators.classifiers import (
-    ATTACK_FOREST, ATTRIBUTE_FOREST, assembled, auc_of, class_list, label_index, predictions, train,
+    ATTACK_FOREST, ATTRIBUTE_FOREST, MAX_CLASSES, TooManyClasses, assembled, auc_of, class_list, label_index, predictions, train,
 )
 from facsimile.operators.columns import common_columns, tagged_union, with_row
 from facsimile.operators.encode import encode_table, scaled, scaling
@@ -29,7 +29,6 @@ REID_PERCENTILE = 5.0
 HISTOGRAM_BINS = 30
 WEIGHTS = {"membership": 0.40, "reidentification": 0.35, "attribute": 0.25}
 VULNERABLE = 0.15
-FALLBACK_COLUMNS = 3
 
 
 def exact_collisions(real: DataFrame, synth: DataFrame) -> DataFrame:
@@ -202,19 +201,26 @@ def membership_inference(
 
 def attribute_inference(
     real: DataFrame, synth: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None,
-    sample_rows: int | None = None, settings: dict | None = None,
+    sample_rows: int | None = None, settings: dict | None = None, limit: int | None = None, most_classes: int = MAX_CLASSES,
 ) -> DataFrame:
-    """``(column, accuracy, baseline_accuracy, advantage, n_classes, vulnerable)`` per sensitive column.
+    """``(column, accuracy, baseline_accuracy, advantage, n_classes, vulnerable, error)`` per sensitive column.
 
-    A shallow forest learns the column from the synthetic rows and is tested on the real ones.
+    A shallow forest learns the column from the synthetic rows and is tested on the real ones.  Without
+    ``columns`` all sensitive columns are audited, all columns where none is sensitive; ``limit`` keeps the
+    first few.  A column with more than ``most_classes`` levels is no target of a classifier: its row
+    says so in ``error``, has no figures and does not count in averages.
     """
     real, synth = _sampled(real, sample_rows), _sampled(synth, sample_rows)
     common = common_columns(real, synth)
-    chosen = columns or sensitive_columns(collect_facts(real.select(*common), order_by)) or common[:FALLBACK_COLUMNS]
+    chosen = columns or sensitive_columns(collect_facts(real.select(*common), order_by), limit) or common[:limit]
     both = tagged_union(real, synth, common)
     found = []
     for target in (c for c in chosen if c in common):
-        classes = class_list(both, target)
+        try:
+            classes = class_list(both, target, most_classes)
+        except TooManyClasses as error:
+            found.append((target, None, None, None, None, None, str(error)))
+            continue
         features = [c for c in common if c != target]
         coded = encode_table(both.withColumn("label", label_index(target, classes)), features, ["side", "label"], "zero")
         rows = cut_lineage(assembled(coded, features).select("side", "label", "features"))
@@ -223,10 +229,10 @@ def attribute_inference(
         table = confusion(predictions(model, rows.where(F.col("side") == "real")), "label", "prediction")
         accuracy = macro_scores(table).first()["accuracy"]
         advantage = max(0.0, accuracy - baseline)
-        found.append((target, accuracy, baseline, round(advantage, 4), len(classes), advantage > VULNERABLE))
+        found.append((target, accuracy, baseline, round(advantage, 4), len(classes), advantage > VULNERABLE, None))
     return local_rows(
         real.sparkSession, found,
-        "column string, accuracy double, baseline_accuracy double, advantage double, n_classes int, vulnerable boolean",
+        "column string, accuracy double, baseline_accuracy double, advantage double, n_classes int, vulnerable boolean, error string",
     )
 
 

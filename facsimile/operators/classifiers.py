@@ -20,12 +20,16 @@ TOP_FEATURES = 10
 MAX_CLASSES = 1000
 
 
-def class_list(df: DataFrame, label: str) -> list[str]:
-    """Levels of a label as text in order; refuses a label that is no classification target."""
+class TooManyClasses(ValueError):
+    """A label that is no classification target."""
+
+
+def class_list(df: DataFrame, label: str, most: int = MAX_CLASSES) -> list[str]:
+    """Levels of a label as text in order; a label with more than ``most`` raises."""
     text = F.coalesce(F.col(label).cast("string"), F.lit("nan"))
-    rows = df.select(text.alias("level")).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"'{label}' has more than {MAX_CLASSES} classes")
+    rows = df.select(text.alias("level")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise TooManyClasses(f"'{label}' has more than {most} classes")
     return sorted(r["level"] for r in rows)
 
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from facsimile.functions.dates import epoch_seconds
 from facsimile.operators.columns import BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, kinds, missing_as_null
-from facsimile.operators.prefix import running_totals, text_range
+from facsimile.operators.prefix import running_totals, text_bounds, text_range
 from facsimile.operators.quantiles import quantiles
-from facsimile.session import shuffle_width
 
 # dictionaries up to this size are carried inside the plan
 INLINE_CODES = 256
@@ -23,13 +22,8 @@ def text_level(name: str) -> Column:
 
 def dictionary(df: DataFrame, name: str) -> DataFrame:
     """``(value, code)``: distinct levels of a string column numbered from 0 in text order."""
-    spark = df.sparkSession
-    width = shuffle_width(spark)
     levels = df.select(text_level(name).alias("value")).groupBy("value").agg(F.lit(1).alias("one"))
-    # the levels with the smallest digests cut the text order into ranges of similar size
-    cuts = levels.orderBy(F.xxhash64("value"), "value").limit(width - 1).collect()
-    bounds = sorted(r["value"] for r in cuts)
-    placed = running_totals(levels, [], text_range(F.col("value"), bounds), ["value"], ["one"])
+    placed = running_totals(levels, [], text_range(F.col("value"), text_bounds(levels, "value")), ["value"], ["one"])
     return placed.select("value", F.col("one_before").alias("code"))
 
 

@@ -17,10 +17,10 @@ from facsimile.functions import rng
 from facsimile.operators.accounting import rdp_epsilon
 from facsimile.operators.columns import BOOLEAN, FLOAT, INTEGER, STRING, kinds, missing_as_null, numeric_columns
 from facsimile.operators.freq import value_counts
-from facsimile.operators.prefix import running_totals
+from facsimile.operators.prefix import running_totals, text_bounds, text_range
 from facsimile.operators.quantiles import quantiles
 from facsimile.operators.sample import INLINE_DOMAIN
-from facsimile.session import local_rows, shuffle_width
+from facsimile.session import local_rows
 
 
 @dataclass(frozen=True)
@@ -127,10 +127,9 @@ def randomized_response_joined(
 
 
 def numbered_domain(real: DataFrame, name: str) -> DataFrame:
-    """``(value, place)``: the distinct values of a column numbered from 0 without a single-task sort."""
-    width = shuffle_width(real.sparkSession)
+    """``(value, place)``: the distinct values of a column numbered from 0 in text order, without a single-task sort."""
     values = value_counts(real, [name]).select("value", F.lit(1).alias("one"))
-    placed = running_totals(values, [], F.pmod(F.xxhash64("value"), F.lit(width)).cast("int"), ["value"], ["one"])
+    placed = running_totals(values, [], text_range(F.col("value"), text_bounds(values, "value")), ["value"], ["one"])
     return placed.select("value", F.col("one_before").alias("place"))
 
 

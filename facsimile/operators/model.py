@@ -231,8 +231,9 @@ def fit(
         take(fit_constant(df, of("constant")))
     stamped = [c for c in of("datetime") if isinstance(types[c], T.StringType)]
     if stamped:
-        # a string date keeps its clock time if its first value has one
-        wide = df.agg(*[F.min(c).contains(" ").alias(c) for c in stamped]).first()
+        # a string date keeps its clock time if its first value in the stated order has one; without an order, if any has
+        first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order_by, c))) if order_by else F.max(F.when(F.contains(c, F.lit(" ")), F.col(c)))
+        wide = df.agg(*[F.coalesce(F.contains(first(c), F.lit(" ")), F.lit(False)).alias(c) for c in stamped]).first()
         for c in stamped:
             params[c]["with_time"] = bool(wide[c])
     corr = {}

@@ -41,7 +41,7 @@ def numeric_moments(df: DataFrame, columns: list[str], by: list[str] | None = No
     return wide.select(*by, F.inline(long_rows(columns, fields)))
 
 
-def pearson(x: Column, y: Column, weight: Column | None = None) -> Column:
+def pearson(x: Column, y: Column) -> Column:
     """Aggregate: correlation over the rows where both are present; null when either is constant."""
     x_seen = F.when(y.isNotNull(), x)
     y_seen = F.when(x.isNotNull(), y)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from facsimile.session import shuffle_width
 
+# characters of a text that a cut of the text order keeps
+SORT_KEY = 48
+
 
 def running_totals(
     frame: DataFrame, groups: list[str], bucket: Column, order: list[str], measures: list[str],
@@ -75,6 +78,17 @@ def long_ranges(counts: DataFrame) -> list[float]:
     return _merged({r["column"]: r["cuts"] for r in cuts})
 
 
+def text_bounds(levels: DataFrame, name: str) -> list[str]:
+    """Sorted short keys that cut the text order of ``levels`` into ranges of similar size.
+
+    They are the first characters of the levels with the smallest digests, so few and short whatever
+    the texts are.  Any list gives the same running sums.
+    """
+    wanted = shuffle_width(levels.sparkSession) - 1
+    cuts = levels.orderBy(F.xxhash64(name), name).limit(wanted).select(F.substring(name, 1, SORT_KEY).alias("cut")).collect()
+    return sorted({r["cut"] for r in cuts if r["cut"] is not None})
+
+
 def text_range(value: Column, bounds: list[str]) -> Column:
     """How many of the sorted strings lie below the value, by bisection."""
     listed = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")

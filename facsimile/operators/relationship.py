@@ -16,9 +16,8 @@ from facsimile.operators.grades import at_least_zero, status
 from facsimile.operators.moments import correlation_cells, correlations
 from facsimile.session import local_rows
 
-# Score slope, default width of the categorical matrix, warning limits
+# Score slope, warning limits
 SLOPE = 150.0
-MAX_CATEGORICAL = 30
 LIMITS = {"pearson_mae": 0.25, "cramers_v_mae": 0.3}
 
 
@@ -42,7 +41,7 @@ def spearman_delta(real: DataFrame, synth: DataFrame, columns: list[str]) -> Dat
     return side_by_side(cells, "r", ["col_i", "col_j"])
 
 
-def association_columns(real: DataFrame, columns: list[str], limit: int | None = MAX_CATEGORICAL) -> list[str]:
+def association_columns(real: DataFrame, columns: list[str], limit: int | None = None) -> list[str]:
     """Text columns with more than one level; the first ``limit`` by name when there are more."""
     texts = [c for c in string_columns(real) if c in columns]
     if not texts:
@@ -92,7 +91,7 @@ def target_delta(real: DataFrame, synth: DataFrame, target: str, columns: list[s
 
 
 def relationship_fidelity(
-    real: DataFrame, synth: DataFrame, target: str | None = None, limit: int | None = MAX_CATEGORICAL,
+    real: DataFrame, synth: DataFrame, target: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """One row: score over the applicable checks, status and one error per check."""
     columns = common_columns(real, synth)

@@ -95,7 +95,7 @@ def target_column(facts: list[ColumnFacts]) -> str | None:
     return best
 
 
-def sensitive_columns(facts: list[ColumnFacts], limit: int = MAX_SENSITIVE) -> list[str]:
+def sensitive_columns(facts: list[ColumnFacts], limit: int | None = MAX_SENSITIVE) -> list[str]:
     """Columns with a sensitive word first, then small-domain columns, never identifiers."""
     open_facts = [f for f in facts if not is_identifier(f)]
     named = [f.column for f in open_facts if names.is_sensitive_name(names.normalize_name(f.column))]

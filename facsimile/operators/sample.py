@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.functions import rng
 from facsimile.operators.model import Model
-from facsimile.operators.prefix import running_totals
+from facsimile.operators.prefix import running_totals, text_bounds, text_range
 from facsimile.session import shuffle_width
 
-# domains up to this many values are carried inside the plan; larger ones are joined
+# domains up to this many values are carried inside the plan; larger ones are joined, with the same draws
 INLINE_DOMAIN = 256
-# one whole probability in weight units of the joined draw
-WEIGHT_UNIT = 10.0**12
+# one whole probability in weight units; running sums of weights are whole numbers that doubles hold exactly
+WEIGHT_UNIT = 2.0**52
 ROW = "row_id"
 
 
@@ -90,10 +92,10 @@ def text_draw(param: dict, pool: list[str], seed) -> Column:
 
 
 def inline_category_draw(name: str, levels: list[tuple[str, float]], seed) -> Column:
-    """Inverse CDF over a small domain, categories in text order."""
+    """Inverse CDF over a small domain, categories in text order; the cuts are those of ``joined_category_draw``."""
     levels = sorted(levels)
-    bounds = np.cumsum([p for _, p in levels])
-    bounds = (bounds / bounds[-1]).tolist()
+    sums = list(accumulate(max(1, int(np.rint(p * WEIGHT_UNIT))) for _, p in levels))
+    bounds = [float(s) / float(sums[-1]) for s in sums]
     u = rng.uniform(seed, f"category:{name}", ROW)
     place = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds[:-1]]), lambda b: b <= u)) \
         if len(levels) > 1 else F.lit(0)
@@ -103,27 +105,23 @@ def inline_category_draw(name: str, levels: list[tuple[str, float]], seed) -> Co
 def joined_category_draw(rows: DataFrame, name: str, probs: DataFrame, seed) -> DataFrame:
     """Inverse CDF over a domain of any size.
 
-    Every category owns a run of whole numbers as long as its weight.  The numbers are cut into equal
-    cells; a category is listed in the cells its run touches and a row meets it through the cell of
-    its draw, an equi-join.  Draws are uniform, so cells hold equally many rows however skewed the
-    categories are.  Whole numbers leave no gap and no overlap between neighbours.
+    Categories in text order own neighbouring stretches of [0, 1), cut at running sums of whole weights,
+    so that neighbours share their cut.  The unit is divided into equal cells; a category is listed in
+    the cells its stretch touches and a row meets it through the cell of its draw, an equi-join.  Draws
+    are uniform, so cells hold equally many rows however skewed the categories are.
     """
-    width = shuffle_width(rows.sparkSession)
-    weight = F.greatest(F.lit(1), F.round(F.col("p") * F.lit(WEIGHT_UNIT)).cast("long"))
+    weight = F.greatest(F.lit(1), F.rint(F.col("p") * F.lit(WEIGHT_UNIT)).cast("long"))
     weights = probs.select("category", weight.alias("w"))
     size = weights.agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("levels")).first()
-    total, step = size["total"], -(-size["total"] // max(width, 4 * size["levels"]))
-    spread = running_totals(weights, [], F.pmod(F.xxhash64("category"), F.lit(width)).cast("int"), ["category"], ["w"])
-    intervals = spread.select(
-        F.col("category").alias(name), F.col("w_before").alias("low"), (F.col("w_before") + F.col("w")).alias("high"),
-        F.explode(F.sequence(
-            F.expr(f"w_before div {step}"), F.expr(f"(w_before + w - 1) div {step}")
-        )).alias("cell"),
-    )
-    place = F.least(F.lit(total - 1), F.floor(rng.uniform(seed, f"category:{name}", ROW) * F.lit(float(total))))
-    drawn = rows.withColumn("place", place.cast("long")).withColumn("cell", F.expr(f"place div {step}"))
-    met = drawn.join(intervals, "cell").where((F.col("low") <= F.col("place")) & (F.col("place") < F.col("high")))
-    return met.drop("place", "cell", "low", "high")
+    total, cells = float(size["total"] or 1), max(shuffle_width(rows.sparkSession), 4 * size["levels"])
+    spread = running_totals(weights, [], text_range(F.col("category"), text_bounds(weights, "category")), ["category"], ["w"])
+    low, high = F.col("w_before").cast("double") / total, (F.col("w_before") + F.col("w")).cast("double") / total
+    cell_of = lambda point: F.least(F.lit(cells - 1), F.floor(point * F.lit(float(cells))).cast("long"))
+    intervals = spread.select(F.col("category").alias(name), low.alias("_low"), high.alias("_high")).withColumn(
+        "_cell", F.explode(F.sequence(cell_of(F.col("_low")), cell_of(F.col("_high")))))
+    drawn = rows.withColumn("_place", rng.uniform(seed, f"category:{name}", ROW)).withColumn("_cell", cell_of(F.col("_place")))
+    met = drawn.join(intervals, "_cell").where((F.col("_low") <= F.col("_place")) & (F.col("_place") < F.col("_high")))
+    return met.drop("_place", "_cell", "_low", "_high")
 
 
 def with_missing(value: Column, name: str, rate: float | None, seed) -> Column:

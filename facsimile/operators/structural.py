@@ -158,7 +158,6 @@ def structural_fidelity(real: DataFrame, synth: DataFrame, ignore: tuple[str, ..
     constant_part = constant_preservation(real, synth).agg(
         F.coalesce(F.avg(F.col("preserved").cast("int")), F.lit(1.0)).alias("constant_rate")
     )
-    # one pass over the value counts serves domains and cardinality
     per_column = cardinality(counts).join(
         domain_overlap(counts.where(F.col("column").isin(texts))).select("column", "raw_overlap"), "column", "left"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from facsimile.operators import accounting, mechanisms
 from facsimile.plans.catalog.shared import SEED, laplace, normal, table, uniform
+from facsimile.session import cut_lineage
 
 EPSILON, DELTA, BUDGET = 1.0, 1e-5, 2.0
 ANSWER_EPSILON = 1.5
@@ -26,16 +27,16 @@ def gaussian_column(spark, sf):
 
 
 def randomized_response(spark, sf):
-    orders = table(spark, sf, "orders")
-    domain = sorted(r[0] for r in orders.select("o_orderpriority").distinct().collect())
-    answer = mechanisms.randomized_response(F.col("o_orderpriority"), "priority", domain, ANSWER_EPSILON, SEED, ["o_orderkey"])
-    return orders.select("o_orderkey", answer.alias("answer"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"))
+    domain = cut_lineage(mechanisms.numbered_domain(orders, "priority"))
+    answered = mechanisms.randomized_response_joined(orders, "priority", domain, domain.count(), ANSWER_EPSILON, SEED, ["o_orderkey"])
+    return answered.select("o_orderkey", F.col("priority").alias("answer"))
 
 
 def randomized_response_large(spark, sf):
     customer = table(spark, sf, "customer").select("c_custkey", "c_name")
-    domain = mechanisms.numbered_domain(customer, "c_name")
-    return mechanisms.randomized_response_joined(customer, "c_name", domain, customer.select("c_name").distinct().count(), 6.0, SEED, ["c_custkey"])
+    domain = cut_lineage(mechanisms.numbered_domain(customer, "c_name"))
+    return mechanisms.randomized_response_joined(customer, "c_name", domain, domain.count(), 6.0, SEED, ["c_custkey"])
 
 
 def column_sensitivity(spark, sf):
@@ -108,11 +109,11 @@ QUERIES = {
 _SIGMA = 50.0 * math.sqrt(2 * math.log(1.25 / DELTA)) / EPSILON
 
 
-def _answer(column, name, epsilon):
+def _answer(column, name, epsilon, key="o_orderkey"):
     """SQL: randomised response over the sorted levels ``d`` of a column."""
-    first = f"CAST(floor({uniform(SEED, f'response:{name}', 'o_orderkey')} * len(d)) AS BIGINT)"
-    step = f"CAST(floor({uniform(SEED, f'response2:{name}', 'o_orderkey')} * (len(d) - 1)) AS BIGINT)"
-    keep = f"{uniform(SEED, f'keep:{name}', 'o_orderkey')} < 1.0::DOUBLE / (1.0::DOUBLE + (len(d) - 1) * exp(-{epsilon}::DOUBLE))"
+    first = f"CAST(floor({uniform(SEED, f'response:{name}', key)} * len(d)) AS BIGINT)"
+    step = f"CAST(floor({uniform(SEED, f'response2:{name}', key)} * (len(d) - 1)) AS BIGINT)"
+    keep = f"{uniform(SEED, f'keep:{name}', key)} < 1.0::DOUBLE / (1.0::DOUBLE + (len(d) - 1) * exp(-{epsilon}::DOUBLE))"
     return (
         f"CASE WHEN {keep} THEN {column} WHEN d[1 + {first}] = {column} THEN d[1 + ({first} + {step} + 1) % len(d)] ELSE d[1 + {first}] END"
     )
@@ -137,6 +138,7 @@ ORACLES = {
     "laplace_column": f"SELECT o_orderkey, round(o_totalprice + {laplace('50.0::DOUBLE', SEED, 'price', 'o_orderkey')}, 3) AS noisy FROM orders",
     "gaussian_column": f"SELECT o_orderkey, round(o_totalprice + {_SIGMA!r}::DOUBLE * {normal(SEED, 'price', 'o_orderkey')}, 3) AS noisy FROM orders",
     "randomized_response": f"SELECT o_orderkey, {_answer('o_orderpriority', 'priority', ANSWER_EPSILON)} AS answer FROM orders, {_PRIORITIES}",
+    "randomized_response_large": f"SELECT c_custkey, {_answer('c_name', 'c_name', 6.0, 'c_custkey')} AS c_name FROM customer, (SELECT list(DISTINCT c_name ORDER BY c_name) AS d FROM customer)",
     "column_sensitivity": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", round(least(greatest(1.5::DOUBLE * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 1.0::DOUBLE), 30000.0::DOUBLE), 4) AS sensitivity FROM lineitem"
         for c in ("l_quantity", "l_extendedprice", "l_tax")),

@@ -35,7 +35,7 @@ def auc_exact(spark, sf):
 
 
 def auc_by_language(spark, sf):
-    rows = _scored(spark, sf).where(F.col("lang").isNotNull())
+    rows = _scored(spark, sf).withColumn("lang", F.coalesce("lang", F.lit("unknown")))
     return scoring.auc(rows, F.col("quality") == 1, "score", ["lang"]).withColumn("auc", F.round("auc", 6))
 
 
@@ -98,8 +98,8 @@ def membership_inference(spark, sf):
 
 def _people(spark, sf):
     """Customers with a target, and a synthetic counterpart drawn from their model."""
-    people = table(spark, sf, "customer").select(
-        "c_nationkey", "c_acctbal", "c_mktsegment", (F.col("c_acctbal") + 150 * F.col("c_nationkey") > 6000).cast("int").alias("default"))
+    people = table(spark, sf, "customer").withColumn(
+        "default", (F.col("c_acctbal") + 150 * F.col("c_nationkey") > 6000).cast("int"))
     made = generate.synthesize(people, people.count(), None, SEED)
     return people, cut_lineage(made.table)
 
@@ -172,7 +172,7 @@ ORACLES = {
         SELECT (SELECT round(avg(CASE WHEN y = g THEN 1.0::DOUBLE ELSE 0 END), 4) FROM p) AS accuracy, round(avg(CASE WHEN a + b > 0 THEN 2 * h / (a + b) ELSE 0 END), 4) AS f1_score,
                round(avg(CASE WHEN b > 0 THEN h / b ELSE 0 END), 4) AS precision, round(avg(CASE WHEN a > 0 THEN h / a ELSE 0 END), 4) AS recall FROM t""",
     "auc_exact": f"SELECT round({_AUC}, 6) AS auc FROM {_ranked()}",
-    "auc_by_language": f"SELECT lang, round({_AUC}, 6) AS auc FROM {_ranked('lang')} GROUP BY lang",
+    "auc_by_language": f"SELECT coalesce(lang, 'unknown') AS lang, round({_AUC}, 6) AS auc FROM {_ranked('lang')} GROUP BY lang",
     "roc_curve": f"""
         WITH f AS (SELECT score, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM {_LABELLED} GROUP BY 1),
         c AS (SELECT row_number() OVER w AS position, sum(p) OVER w AS cp, sum(n) OVER w AS cn, sum(p) OVER () AS tp, sum(n) OVER () AS tn,

@@ -123,6 +123,13 @@ QUERIES = {
 _PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1:]]
 
 
+def _stretches(column):
+    """SQL: levels of a customer column in text order with the cuts of whole weights."""
+    return f"""(SELECT v, (sum(w) OVER (ORDER BY v) - w)::DOUBLE / sum(w) OVER ()::DOUBLE AS low, sum(w) OVER (ORDER BY v)::DOUBLE / sum(w) OVER ()::DOUBLE AS high FROM (
+        SELECT v, greatest(1, CAST(round_even(n::DOUBLE / sum(n) OVER ()::DOUBLE * 4503599627370496.0::DOUBLE, 0) AS HUGEINT)) AS w
+        FROM (SELECT {column} AS v, count(*) AS n FROM customer GROUP BY 1)))"""
+
+
 def _levels(column):
     return f"""(SELECT {column} AS v, coalesce(lag(upto) OVER (ORDER BY v), 0) AS low, upto AS high FROM (
         SELECT {column} AS v, {column}, CAST(sum(n) OVER (ORDER BY {column}) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS upto
@@ -169,6 +176,12 @@ ORACLES = {
         a AS {_levels('o_orderstatus')}, b AS {_levels('o_orderpriority')}
         SELECT i AS row_id, a.v AS o_orderstatus, b.v AS o_orderpriority FROM u
         JOIN a ON u0 >= a.low AND u0 < a.high JOIN b ON u1 >= b.low AND u1 < b.high""",
+    "sample_large_domain": f"""
+        WITH u AS (SELECT i, {uniform(SEED, 'category:c_name', 'i')} AS u0, {uniform(SEED, 'category:c_mktsegment', 'i')} AS u1
+                   FROM range((SELECT count(*) FROM customer)) AS t(i)),
+        a AS {_stretches('c_name')}, b AS {_stretches('c_mktsegment')}
+        SELECT i AS row_id, a.v AS c_name, b.v AS c_mktsegment FROM u
+        JOIN a ON u0 >= a.low AND u0 < a.high JOIN b ON u1 >= b.low AND u1 < b.high""",
     "sample_boolean_text": f"""
         WITH j AS (SELECT doc_id, quality, text FROM labels JOIN documents USING (doc_id)),
         f AS (SELECT list(text ORDER BY first_id) AS pool FROM (SELECT text, min(doc_id) AS first_id FROM j GROUP BY text ORDER BY first_id LIMIT 100)),

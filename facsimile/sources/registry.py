@@ -47,7 +47,10 @@ class Registry:
     def table(self, name: str) -> DataFrame:
         try:
             return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            # only a table that was never written is empty; anything else must not read as a fresh budget
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def _append(self, name: str, rows: list[tuple]) -> None:

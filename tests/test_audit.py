@@ -144,3 +144,10 @@ def test_utility_with_three_classes_and_without_target(people):
     assert found.where("metric = 'roc_auc' and value between 0 and 1").count() == 4
     missing = utility.utility_pillar(real, synth, None).first()
     assert not missing["applicable"] and missing["status"] == "not_applicable"
+
+
+def test_wide_columns_get_an_error_row(spark):
+    rows = spark.createDataFrame([(f"name {k}", k % 3, float(k)) for k in range(60)], "name string, disease int, x double")
+    found = {r["column"]: r for r in audit.attribute_inference(rows, rows, ["name", "disease"], settings={"numTrees": 3, "maxDepth": 2}, most_classes=20).collect()}
+    assert found["name"]["accuracy"] is None and "more than 20 classes" in found["name"]["error"]
+    assert found["disease"]["error"] is None and found["disease"]["n_classes"] == 3

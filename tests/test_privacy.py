@@ -145,3 +145,12 @@ def test_fingerprint_ignores_order_but_not_content(spark):
     first = masking.table_fingerprint(df).first()["fingerprint"]
     assert first == masking.table_fingerprint(df.repartition(5).orderBy(F.desc("id"))).first()["fingerprint"]
     assert first != masking.table_fingerprint(df.where("id <> 5")).first()["fingerprint"]
+
+
+def test_response_does_not_depend_on_the_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"v{k % 17}") for k in range(300)], "k long, c string")
+    params = mechanisms.PrivacyParams(1.0, 1e-5, "laplace", clip_bound=1.0)
+    inline = mechanisms.protect(rows, rows, params, ["k"], seed=3)[0].collect()
+    monkeypatch.setattr(mechanisms, "INLINE_DOMAIN", 0)
+    joined = mechanisms.protect(rows, rows, params, ["k"], seed=3)[0].collect()
+    assert sorted(inline) == sorted(joined)

@@ -103,3 +103,14 @@ def test_quality_report(spark):
     assert set(summary["applicable_pillars"]) == {"structural", "statistical", "relationship", "ml_utility"}
     assert {r["pillar"] for r in found.metrics().select("pillar").distinct().collect()} == {
         "structural", "statistical", "relationship", "ml_utility", "privacy"}
+
+
+def test_a_damaged_ledger_is_no_fresh_budget(spark, tmp_path):
+    from facsimile.sources.registry import Registry
+
+    registry = Registry(spark, str(tmp_path / "r"))
+    assert registry.spend("d", 1.0, 0.0, "first") is True
+    for part in (tmp_path / "r" / "ledger").glob("part-*"):
+        part.write_bytes(b"damaged")
+    with pytest.raises(Exception):
+        registry.spend("d", 9.0, 0.0, "second")

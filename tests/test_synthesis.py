@@ -113,3 +113,25 @@ def test_demo_table(spark):
     row = demo.selectExpr("avg(age) a", "min(bmi) b", "max(glucose) g", "avg(diabetes) d", "max(hypertension) h").first()
     assert 53 < row["a"] < 57 and row["b"] >= 15 and row["g"] <= 300 and 0.1 < row["d"] < 0.9 and row["h"] == 1
     assert demo.exceptAll(demo_table(spark).repartition(3)).count() == 0
+
+
+def test_categorical_draw_does_not_depend_on_the_join(spark, monkeypatch):
+    from facsimile.operators import model, sample
+
+    levels = [(f"level {chr(97 + k % 26)}{k}", ) for k in range(12) for _ in range(k * k + 1)]
+    fitted = model.fit(spark.createDataFrame(levels, "c string"), known_kinds={"c": "categorical"})
+    inline = sample.sample(fitted, spark, 500, 7, keep_row_id=True).collect()
+    monkeypatch.setattr(sample, "INLINE_DOMAIN", 0)
+    joined = sample.sample(fitted, spark, 500, 7, keep_row_id=True).collect()
+    assert sorted(inline) == sorted(joined) and len({r["c"] for r in joined}) > 5
+
+
+def test_clock_time_of_string_dates(spark):
+    from facsimile.operators import model
+
+    df = spark.createDataFrame([(1, "2024-05-01 10:00:00"), (2, "2024-04-01"), (3, None)], "k int, d string")
+    for order, want in ((["k"], True), (None, True)):
+        fitted = model.fit(df, order, known_kinds={"k": "numeric", "d": "datetime"})
+        assert {p["column"]: p.get("with_time") for p in fitted.params}["d"] is want
+    turned = df.withColumn("k", -df["k"])
+    assert {p["column"]: p.get("with_time") for p in model.fit(turned, ["k"], known_kinds={"k": "numeric", "d": "datetime"}).params}["d"] is False
