@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,10 +32,11 @@ from pyspark.sql import functions as F
 
 from facsimile.llm.common import counted, drop_stored, stored
 from facsimile.llm.components import components
-from facsimile.llm.tokens import byte_table, hash_words, mixed, portions, runs_hashed, word_bounds
+from facsimile.llm.tokens import buffers, byte_table, hash_words, mixed, portions, runs_hashed, word_bounds
 
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 BLOCK_ROWS = 1024  # sets of a block
+FAR = 1 << 30
 _TABLE = byte_table(202, lower=True)
 _FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -136,8 +136,8 @@ def _postings(width: int, percent: int, counts: np.ndarray):
 
 
 def bitmap_bits(sizes: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: the power of two from four times its size on, 256 at least."""
-    return np.maximum(256, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+    """Bits of a set's bitmap: the power of two from twice its size on, 256 at least."""
+    return np.maximum(256, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
 
 
 def parity(values: np.ndarray, bits: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def _described(width: int, percent: int):
                 members = values[first[k] : first[k + 1]]
                 bitmap = parity(members, int(bits[k]))
                 rows.append((ids[k], sizes[k], members.tobytes(), bits[k], bitmap.tobytes(), True))
-                if bits[k] > 256 and sizes[k] * percent <= 100 * (bits[k] // 8):  # the class below ends at bits / 8
+                if bits[k] > 256 and sizes[k] * percent <= 100 * (bits[k] // 4):  # the class below ends at bits / 4
                     half = len(bitmap) // 2
                     rows.append((ids[k], sizes[k], None, bits[k] // 2, (bitmap[:half] ^ bitmap[half:]).tobytes(), False))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_()]
@@ -168,35 +168,32 @@ def _described(width: int, percent: int):
     return scan
 
 
-_ONES = np.array([bin(k).count("1") for k in range(1 << 16)], np.uint8)
-
-
-def _possible(rows: pd.DataFrame, percent: int) -> np.ndarray:
-    """(rows, rows) lower bounds of the symmetric difference; a large number where the pair cannot link."""
-    n = len(rows)
-    maps = np.frombuffer(b"".join(rows["map"]), np.uint16).reshape(n, -1)
-    sizes, low, ids = rows["size"].to_numpy(), rows["low"].to_numpy(bool), rows["id"].to_numpy()
-    out = np.full((n, n), 1 << 30, np.int32)
-    step = max(1, (1 << 22) // max(1, n * maps.shape[1]))
+def possible(maps: np.ndarray, sizes: np.ndarray, low: np.ndarray, ids: np.ndarray, percent: int) -> np.ndarray:
+    """(rows, rows) lower bounds of the symmetric difference; FAR where the pair cannot link."""
+    n = len(ids)
+    out = np.full((n, n), FAR, np.int32)
+    step = max(1, (1 << 19) // max(1, n * maps.shape[1]))
     for a in range(0, n, step):
         b = min(n, a + step)
-        apart = _ONES[maps[a:b, None] ^ maps[None]].sum(axis=2, dtype=np.int32)
         both = sizes[a:b, None] + sizes[None]
-        # 100 I >= p U with I = (s - d) / 2 and U = (s + d) / 2 for a difference of d and a sum of sizes s
-        ok = (100 * (both - apart) >= percent * (both + apart)) & (np.maximum(sizes[a:b, None], sizes[None]) * percent <= 100 * np.minimum(sizes[a:b, None], sizes[None]))
+        ok = (np.maximum(sizes[a:b, None], sizes[None]) * percent <= 100 * np.minimum(sizes[a:b, None], sizes[None]))
         ok &= (low[a:b, None] | low[None]) & (ids[a:b, None] != ids[None])
-        out[a:b] = np.where(ok, apart, 1 << 30)
+        if not ok.any():
+            continue
+        apart = np.bitwise_count(maps[a:b, None] ^ maps[None]).sum(axis=2, dtype=np.int32)
+        # 100 I >= p U with I = (s - d) / 2 and U = (s + d) / 2 for a difference of d and a sum of sizes s
+        out[a:b] = np.where(ok & (100 * (both - apart) >= percent * (both + apart)), apart, FAR)
     return out
 
 
 def forest(bounds: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest with the least bounds, by Prim's method; pairs at 2**30 are no edges."""
+    """Edges of a spanning forest with the least bounds, by Prim's method; pairs at FAR are no edges."""
     n, edges = len(bounds), []
-    best, parent, inside = np.full(n, 1 << 30, np.int32), np.full(n, -1), np.zeros(n, bool)
+    best, parent, inside = np.full(n, FAR, np.int32), np.full(n, -1), np.zeros(n, bool)
     for _ in range(n):
-        open_best = np.where(inside, (1 << 30) + 1, best)
+        open_best = np.where(inside, FAR + 1, best)
         node = int(open_best.argmin())
-        if parent[node] >= 0 and open_best[node] < 1 << 30:
+        if parent[node] >= 0 and open_best[node] < FAR:
             edges.append((int(parent[node]), node))
         inside[node] = True
         nearer = bounds[node] < best
@@ -204,28 +201,64 @@ def forest(bounds: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _pairs(ids: np.ndarray, edges) -> pd.DataFrame:
-    a = np.array([ids[i] for i, _ in edges], np.int64)
-    b = np.array([ids[j] for _, j in edges], np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+_KEYS = ["bundle", "bits", "i", "j"]
+_FOUND = "a long, b long, bundle long, bits long, i long, j long"
+
+
+def _by_group(answer):
+    """Run ``answer(columns, maps)`` on each group of rows that stand together, and join what it gives (a, b, key or None)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answered(table: pa.RecordBatch, upto: int, bounds: np.ndarray) -> pa.RecordBatch:
+            names = [n for n in table.schema.names if n != "map"]
+            columns = {n: table.column(n).to_numpy(zero_copy_only=False) for n in names}
+            data, at = buffers(table.column(table.schema.get_field_index("map")))
+            out = []
+            for a, b in zip(bounds, [*bounds[1:], upto]):
+                if b - a > 1:
+                    maps = np.ascontiguousarray(data[at[a] : at[b]]).view(np.uint64).reshape(b - a, -1)
+                    key = [int(columns[k][a]) for k in _KEYS]
+                    out += [(x, y, *key) for x, y in answer({n: c[a:b] for n, c in columns.items()}, maps)]
+            kinds = [part.split()[0] for part in _FOUND.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 6)], kinds)
+
+        held = None
+        for batch in batches:
+            if held is not None and held.num_rows:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in _KEYS])
+            bounds = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
+            if len(bounds) > 1:
+                yield answered(batch, bounds[-1], bounds[:-1])
+            held = batch.slice(bounds[-1])
+        if held is not None and held.num_rows:
+            yield answered(held, held.num_rows, np.array([0]))
+
+    return scan
 
 
 def _first_pairs(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "size"])
-        return _pairs(rows["id"].to_numpy(), forest(_possible(rows, percent)))
+    """The forest of a group; and, with null for a and b, its key if it holds more possible pairs than those."""
+
+    def run(rows: dict[str, np.ndarray], maps: np.ndarray) -> list[tuple]:
+        ids = rows["id"]
+        bounds = possible(maps, rows["size"], rows["low"].astype(bool), ids, percent)
+        edges = forest(bounds) if (bounds < FAR).any() else []
+        out = [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in edges]
+        return out + [(None, None)] if (bounds < FAR).sum() > 2 * len(edges) else out
 
     return run
 
 
 def _other_pairs(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "size"])
-        group = rows["component"].to_numpy()
+    def run(rows: dict[str, np.ndarray], maps: np.ndarray) -> list[tuple]:
+        ids, group = rows["id"], rows["component"]
         if (group == group[0]).all():
-            return _pairs(rows["id"].to_numpy(), [])
-        apart = np.triu(_possible(rows, percent) < 1 << 30, 1) & (group[:, None] != group[None])
-        return _pairs(rows["id"].to_numpy(), np.argwhere(apart))
+            return []
+        apart = np.triu(possible(maps, rows["size"], rows["low"].astype(bool), ids, percent) < FAR, 1) & (group[:, None] != group[None])
+        return [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in np.argwhere(apart)]
 
     return run
 
@@ -280,22 +313,29 @@ def join(documents: DataFrame, settings: Settings = Settings(), text: str = "tex
     sizes = stored(
         classed.groupBy("bundle", "bits").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("low").alias("_low")).where("_rows > 1 AND _low")
         .select("bundle", "bits", "_rows", F.ceil(F.col("_rows") / BLOCK_ROWS).alias("_blocks")), "classes")
-    placed = bundles.join(sets.select("id", "size", "bits", "map", "low"), "id").join(sizes, ["bundle", "bits"])
-    block = F.pmod(F.xxhash64("id"), F.col("_blocks"))
-    met = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, "_block").alias("i"), F.greatest(k, "_block").alias("j"))))
-    groups = placed.withColumn("_block", block).withColumn("_met", met)
-    keys = ["bundle", "bits", "_met"]
-    chosen = groups.groupBy(*keys).applyInPandas(_first_pairs(p), "a long, b long")
-    first = stored(chosen.distinct(), "pairs")
+    maps = sets.select("id", "size", "bits", "map", "low")
+
+    def dealt(members: DataFrame, answer) -> DataFrame:
+        """The groups (bundle, bits, pair of blocks) of ``members``, each in one task."""
+        blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, "_block").alias("i"), F.greatest(k, "_block").alias("j")))
+        rows = members.join(maps, "id").join(sizes, ["bundle", "bits"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+        rows = rows.withColumn("_met", F.explode(blocks)).select("*", "_met.i", "_met.j").drop("_met", "_block", "_blocks", "_rows")
+        return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "id", "size").mapInArrow(_by_group(answer), _FOUND)
+
+    found = stored(dealt(bundles, _first_pairs(p)), "found")
+    first = stored(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     links = stored(_linked(first, sets, p), "links")
+    open_groups = stored(found.where("a IS NULL").select(*_KEYS).distinct(), "open")
     joined = components(links).select(F.col("node").alias("id"), "component")
-    again = groups.where("_rows > 2").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    others = again.groupBy(*keys).applyInPandas(_other_pairs(p), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    again = bundles.join(counted(stored(open_groups.select("bundle").distinct(), "open-bundles")), "bundle", "left_semi")
+    again = stored(again.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "again")
+    others = dealt(again, _other_pairs(p)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     return membership, links.unionByName(_linked(stored(others, "pairs"), sets, p))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    whole = sets.where("low").select("id", "members")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
+    whole = sets.where("low").select("id", "members").join(counted(ids), "id", "left_semi")
     both = (
         pairs.join(whole.select(F.col("id").alias("a"), F.col("members").alias("_x")), "a")
         .join(whole.select(F.col("id").alias("b"), F.col("members").alias("_y")), "b").select("a", "b", "_x", "_y")
