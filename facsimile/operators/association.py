@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.operators.freq import numeric_counts
-from facsimile.operators.moments import correlations
+from facsimile.operators.moments import PAIRS_PER_SCAN, correlations
 from facsimile.operators.prefix import ordered_totals, value_ranges
 from facsimile.session import cut_lineage, local_rows
 
@@ -30,47 +30,54 @@ def average_ranks(
 
 
 def with_ranks(
-    df: DataFrame, columns: list[str], by: list[str] | None = None, ranges: list[float] | None = None,
+    df: DataFrame, columns: list[str], beside: list[str], by: list[str] | None = None,
 ) -> DataFrame:
-    """Replace numeric columns by their average ranks within ``by``; nulls stay null.
+    """Each numeric column ``c`` as ``c__r`` and ``c__r<j>``: its average rank within ``by`` over the rows where it
+    is present, and over those where the j-th column of ``beside`` is present too.
 
-    The ranks of all columns are computed once and written; then one equi-join per column against
-    its distinct values.  Rank tables of a counted, small size are broadcast; for the others the
-    optimizer splits a value that is hot on the row side.
+    One pass counts every distinct value under all these conditions at once, running counts give all
+    ranks, and one equi-join per column brings them back to the rows, so the number of jobs does not
+    depend on how many columns have nulls.  Rank tables of a counted, small size are broadcast; for
+    the others the optimizer splits a value that is hot on the row side.
     """
     by = by or []
-    ranks = cut_lineage(average_ranks(df, columns, by, ranges))
+    flags = [f"_p{j}" for j in range(len(beside))]
+    value = {c: F.col(c).cast("double") + F.lit(0.0) for c in columns}
+    current = df.select(
+        *by, *[value[c].alias(c) for c in columns], *[F.col(c).isNotNull().cast("long").alias(p) for c, p in zip(beside, flags)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    counts = (
+        current.select(*by, *flags, F.inline(cells)).where(F.col("value").isNotNull()).groupBy(*by, "column", "value")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"n{p}") for p in flags])
+    )
+    measures = ["n", *[f"n{p}" for p in flags]]
+    totals = ordered_totals(counts, value_ranges(df, columns), measures, by)
+    names = ["r", *[f"r{j}" for j in range(len(beside))]]
+    ranks = cut_lineage(totals.select(
+        *by, "column", "value", *[(F.col(f"{m}_before") + (F.col(m) + 1) / 2.0).alias(r) for m, r in zip(measures, names)]))
     sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    current = df.select(*by, *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in columns])
     for c in columns:
-        lookup = ranks.where(F.col("column") == c).select(
-            *by, F.col("value").alias(c), F.col("rank").alias(f"{c}__rank")
-        )
+        lookup = ranks.where(F.col("column") == c).select(*by, F.col("value").alias(c), *[F.col(r).alias(f"{c}__{r}") for r in names])
         if sizes.get(c, 0) <= BROADCAST_RANKS:
             lookup = F.broadcast(lookup)
-        current = current.join(lookup, [*by, c], "left").drop(c).withColumnRenamed(f"{c}__rank", c)
+        current = current.join(lookup, [*by, c], "left").drop(c)
     return current
 
 
 def spearman(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """``(by..., col_i, col_j, r)`` for i < j: Pearson over average ranks, pairwise complete.
 
-    Ranks depend on which rows take part, so pairs are grouped by the nullable columns in them: all
-    pairs of columns without nulls share one ranking, all pairs of one nullable column with those
-    share another.
+    Ranks depend on which rows take part: the rank of a value in a pair is the one among the rows where
+    the other column is present.
     """
     by = by or []
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    ranges = value_ranges(df, columns)
-    groups: dict[tuple[str, ...], list[tuple[str, str]]] = {}
-    for a, b in combinations(columns, 2):
-        groups.setdefault(tuple(c for c in (a, b) if nulls[c]), []).append((a, b))
-    parts = []
-    for nullable, pairs in groups.items():
-        used = [c for c in columns if any(c in pair for pair in pairs)]
-        complete = df.select(*by, *used).na.drop(subset=list(nullable)) if nullable else df.select(*by, *used)
-        parts.append(correlations(with_ranks(complete, used, by, ranges), used, by, pairs))
-    return reduce(DataFrame.unionByName, parts)
+    beside = [c for c in columns if nulls[c]]
+    ranked = with_ranks(df, columns, beside, by)
+    if len(columns) * (len(columns) - 1) // 2 > PAIRS_PER_SCAN:  # read more than once below
+        ranked = cut_lineage(ranked)
+    rank = lambda c, other: F.col(f"{c}__r{beside.index(other) if other in beside else ''}")
+    return correlations(ranked, columns, by, values={(a, b): (rank(a, b), rank(b, a)) for a, b in combinations(columns, 2)})
 
 
 def contingency(df: DataFrame, pairs: list[tuple[str, str]], by: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from facsimile.operators.columns import long_rows
 
 # pairs per aggregate: keeps one generated aggregate well below the code-size limits
-_PAIRS_PER_SCAN = 150
+PAIRS_PER_SCAN = 150
 
 
 def numeric_moments(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -50,16 +50,20 @@ def pearson(x: Column, y: Column) -> Column:
 
 def correlations(
     df: DataFrame, columns: list[str], by: list[str] | None = None, pairs: list[tuple[str, str]] | None = None,
+    values: dict[tuple[str, str], tuple[Column, Column]] | None = None,
 ) -> DataFrame:
-    """``(by..., col_i, col_j, r)`` for i < j in column order, or given pairs; r null where undefined."""
+    """``(by..., col_i, col_j, r)`` for i < j in column order, or given pairs; r null where undefined.
+
+    ``values`` gives the two columns to correlate for each pair where they are not the columns themselves.
+    """
     by = by or []
     pairs = pairs or list(combinations(columns, 2))
-    value = {c: F.col(c).cast("double") for c in columns}
+    values = values or {(a, b): (F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs}
     parts = []
-    for start in range(0, len(pairs), _PAIRS_PER_SCAN):
-        chunk = pairs[start:start + _PAIRS_PER_SCAN]
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        chunk = pairs[start:start + PAIRS_PER_SCAN]
         wide = df.groupBy(*by).agg(*[
-            pearson(value[a], value[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk)
+            pearson(*values[pair]).alias(f"r{i}") for i, pair in enumerate(chunk)
         ])
         rows = F.array(*[
             F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), F.col(f"r{i}").alias("r"))

@@ -137,3 +137,32 @@ def test_no_applicable_relationship(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "x double")
     row = relationship.relationship_fidelity(df, df).first()
     assert not row["applicable"] and row["score"] == 100.0
+
+
+def test_rank_correlation_with_nulls_in_a_fixed_number_of_jobs(spark):
+    import numpy as np
+
+    from facsimile.operators import association
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 12, (200, 4)).astype(float)
+    holes = rng.random((200, 4)) < 0.3
+    context, jobs = spark.sparkContext, {}
+
+    def average_rank(v):
+        order = np.sort(v)
+        return (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2
+
+    for nullable in (0, 1, 4):
+        cells = [[None if holes[k, c] and c < nullable else float(base[k, c]) for c in range(4)] for k in range(200)]
+        df = spark.createDataFrame(cells, "a double, b double, c double, d double")
+        context.setJobGroup(f"ranks-{nullable}", "ranks")
+        got = {(r["col_i"], r["col_j"]): r["r"] for r in association.spearman(df, list("abcd")).collect()}
+        context.setJobGroup("others", "others")
+        jobs[nullable] = len(context.statusTracker().getJobIdsForGroup(f"ranks-{nullable}"))
+        for i in range(4):
+            for j in range(i + 1, 4):
+                both = [(x[i], x[j]) for x in cells if x[i] is not None and x[j] is not None]
+                x, y = (average_rank(np.array(v)) for v in zip(*both))
+                assert abs(got["abcd"[i], "abcd"[j]] - np.corrcoef(x, y)[0, 1]) < 1e-9
+    assert jobs[1] == jobs[4] and jobs[4] <= jobs[0] + 2
