@@ -216,12 +216,17 @@ def column_scores(real: DataFrame, synth: DataFrame, columns: list[str] | None =
     return scores.withColumn("quality_score", F.round("raw_score", 2))
 
 
-def statistical_fidelity(real: DataFrame, synth: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: overall score, grade, status, correlation error and counts of analysed columns."""
+def statistical_fidelity(
+    real: DataFrame, synth: DataFrame, columns: list[str] | None = None, scores: DataFrame | None = None,
+) -> DataFrame:
+    """One row: overall score, grade, status, correlation error and counts of analysed columns.
+
+    ``scores`` are the ``column_scores`` of the pair where they are known already.
+    """
     columns = columns or common_columns(real, synth)
     numbers = [c for c in numeric_columns(real) if c in columns]
     texts = [c for c in string_columns(real) if c in columns]
-    scores = column_scores(real, synth, columns).select("raw_score")
+    scores = (column_scores(real, synth, columns) if scores is None else scores).select("raw_score")
     if len(numbers) >= 2:
         error = correlation_error(correlation_delta(real, synth, numbers))
     else:

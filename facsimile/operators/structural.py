@@ -87,6 +87,33 @@ def constant_preservation(real: DataFrame, synth: DataFrame) -> DataFrame:
     return found.select("column", "real_value", "synth_value", F.coalesce(same, F.lit(False)).alias("preserved"))
 
 
+def _nulls_and_constants(real: DataFrame, synth: DataFrame) -> DataFrame:
+    """One row (missing_diff, constant_rate) over the common columns, from one scan of each side."""
+    columns = common_columns(real, synth)
+    ends = [F.struct(F.avg(F.col(c).isNull().cast("int")).alias("nulls"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high"),
+                     (F.min(c) == F.max(c)).alias("constant")).alias(str(i)) for i, c in enumerate(columns)]
+    one = real.agg(F.array(*ends).alias("r")) if columns else None
+    if one is None:
+        return real.sparkSession.range(1).select(F.lit(None).cast("double").alias("missing_diff"), F.lit(1.0).alias("constant_rate"))
+    both = with_row(one, synth.agg(F.array(*ends).alias("s"))).select(F.inline(F.zip_with("r", "s", lambda r, s: F.struct(r.alias("r"), s.alias("s")))))
+    kept = F.coalesce(F.col("s.constant") & (F.col("r.low") == F.col("s.low")), F.lit(False))
+    return both.agg(
+        F.avg(F.abs(F.coalesce("r.nulls", F.lit(0.0)) - F.coalesce("s.nulls", F.lit(0.0)))).alias("missing_diff"),
+        F.coalesce(F.avg(F.when(F.col("r.constant"), kept.cast("int"))), F.lit(1.0)).alias("constant_rate"),
+    )
+
+
+def _domains(counts: DataFrame, texts: list[str]) -> DataFrame:
+    """One row (domain_overlap, cardinality_diff): what ``domain_overlap`` and ``cardinality`` average to, from one pass over the counts."""
+    in_real, in_synth = F.col("n_real") > 0, F.col("n_synth") > 0
+    grouped = counts.groupBy("column").agg(
+        F.count_if(in_real).alias("r"), F.count_if(in_synth).alias("s"), F.count_if(in_real & in_synth).alias("both"), F.count(F.lit(1)).alias("n"))
+    overlap = F.when(F.col("column").isin(texts) & (F.col("r") > 0), F.col("both") / F.col("n"))
+    diff = F.abs(F.col("r") - F.col("s")) / F.greatest(F.col("r"), F.lit(1))
+    return grouped.agg(
+        F.coalesce(F.avg(overlap), F.lit(1.0)).alias("domain_overlap"), F.avg(F.least(F.lit(1.0), diff)).alias("cardinality_diff"))
+
+
 def domain_overlap(counts: DataFrame) -> DataFrame:
     """``(column, real_categories, synth_categories, novel_categories, raw_overlap, overlap)``.
 
@@ -154,19 +181,8 @@ def structural_fidelity(real: DataFrame, synth: DataFrame, ignore: tuple[str, ..
 
     counts = side_counts(tagged_union(real, synth, columns), columns, digest=True)
     texts = [c for c in columns if numeric[c] not in _NUMERIC]
-    missing_part = null_rates(real, synth).agg(F.avg("raw_diff").alias("missing_diff"))
-    constant_part = constant_preservation(real, synth).agg(
-        F.coalesce(F.avg(F.col("preserved").cast("int")), F.lit(1.0)).alias("constant_rate")
-    )
-    per_column = cardinality(counts).join(
-        domain_overlap(counts.where(F.col("column").isin(texts))).select("column", "raw_overlap"), "column", "left"
-    )
-    domain_part = per_column.agg(
-        F.coalesce(F.avg("raw_overlap"), F.lit(1.0)).alias("domain_overlap"),
-        F.avg(F.least(F.lit(1.0), F.col("raw_diff"))).alias("cardinality_diff"),
-    )
-    joined = missing_part
-    for part in (constant_part, domain_part, duplicate_rates(real, synth)):
+    joined = _nulls_and_constants(real, synth)
+    for part in (_domains(counts, texts), duplicate_rates(real, synth)):
         joined = with_row(joined, part)
     score = F.round(
         F.lit(preservation * 25.0) + F.lit(dtype_rate * 20.0)

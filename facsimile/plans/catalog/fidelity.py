@@ -259,6 +259,13 @@ _STATUS = "CASE WHEN {0} >= 75 THEN 'passed' WHEN {0} >= 50 THEN 'warning' ELSE
 
 ORACLES = {
     "ks_statistic": f"{_CELLS}, {_KS} SELECT * FROM ks",
+    "ks_p_value": f"""{_CELLS}, {_KS},
+        k0 AS (SELECT "column", max(abs(cr::DOUBLE / tr - cs::DOUBLE / ts)) AS d, max(tr)::DOUBLE * max(ts)::DOUBLE / (max(tr)::DOUBLE + max(ts)::DOUBLE) AS size FROM c GROUP BY 1),
+        k1 AS (SELECT "column", d, d * sqrt(size) + 1 / (6 * sqrt(size)) + (d * sqrt(size) - 1) / (4 * size) AS z FROM k0),
+        k2 AS (SELECT "column", any_value(d) AS d, CASE WHEN any_value(z) < 0.2 THEN 1.0::DOUBLE
+                      ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * j * j * z * z)))) END AS p
+               FROM k1, range(1, 101) AS t(j) GROUP BY 1)
+        SELECT "column", round(d, 6) AS statistic, round(p, 6) AS p_value, p > 0.05 AS similar FROM k2""",
     "mean_variance": f"{_CELLS}, {_MV} SELECT * FROM mv",
     "chi_square": f"{_TEXT.replace('m AS', 'mt AS')}, {_CHI} SELECT \"column\", categories, printf('%.7e', round(statistic, 6)) AS statistic, {_CHI_SIMILAR} AS similar FROM x",
     "histogram": f"""{_CELLS}, l AS (SELECT "column", min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 30.0::DOUBLE AS w,

@@ -132,12 +132,37 @@ def fidelity_verdict(spark, sf):
         report.verdict(F.col("fidelity"), F.col("protection"), F.col("collisions")).alias("verdict"))
 
 
+def attribute_risk(spark, sf):
+    """Every nation's customers as the advantages of one audit."""
+    found = table(spark, sf, "customer").select(F.lit("balance").alias("column"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 30_000.0).alias("advantage"))
+    return audit.attribute_risk(found)
+
+
+def combined_risk(spark, sf):
+    customer = table(spark, sf, "customer").groupBy("c_nationkey").agg(
+        F.round(F.avg("c_acctbal") / 60, 2).alias("m"), F.round(F.max("c_acctbal") / 150, 2).alias("r"), F.round(F.abs(F.min("c_acctbal")) / 40, 2).alias("a"))
+    score, label = audit.combined_risk(F.col("m"), F.col("r"), F.col("a"))
+    return customer.select("c_nationkey", F.round(score, 1).alias("score"), label.alias("risk"))
+
+
+def executive_summary(spark, sf):
+    """The summary of four scores, a privacy row and the warnings that the given tables yield."""
+    lines, customer = table(spark, sf, "lineitem"), table(spark, sf, "customer")
+    pillars = lines.groupBy("l_linenumber").agg(F.round(F.avg("l_quantity") * 3, 2).alias("score")).select(
+        F.when(F.col("l_linenumber") == 1, "structural").when(F.col("l_linenumber") == 2, "statistical").when(F.col("l_linenumber") == 3, "relationship")
+        .when(F.col("l_linenumber") == 4, "ml_utility").alias("pillar"), "score", (F.col("l_linenumber") != 4).alias("applicable")).where("pillar IS NOT NULL")
+    privacy = customer.agg(F.round(100 - F.avg("c_acctbal") / 100, 2).alias("privacy_protection_score"), F.round(F.avg("c_acctbal") / 100, 2).alias("raw_privacy_risk_score"),
+                           F.lit("medium").alias("risk_level"), F.count_if(F.col("c_acctbal") < -9999).alias("exact_count"))
+    found = report.executive_summary(pillars, privacy, customer.where("c_acctbal < 0"))
+    return found.withColumn("applicable_pillars", F.array_join("applicable_pillars", ","))
+
+
 QUERIES = {
     f.__name__: f for f in (
         confusion_table, macro_scores, auc_exact, auc_by_language, roc_curve, majority_baseline, feature_encoding,
         dictionary_codes, exact_collisions, nearest_vectors, reidentification_risk, distance_histogram,
         membership_features, membership_inference, attribute_inference, tstr_random_forest, tstr_gradient_boosting,
-        quality_summary, fidelity_verdict,
+        quality_summary, fidelity_verdict, attribute_risk, combined_risk, executive_summary,
     )
 }
 
@@ -223,6 +248,26 @@ ORACLES = {
                      row_number() OVER (PARTITION BY label, i ORDER BY sqrt((x.b - y.b) ** 2 + (x.k - y.k) ** 2)) AS place FROM x CROSS JOIN y)
         SELECT label, round(min(d), 6) AS d_min, round(avg(d), 6) AS d_mean, round(stddev_pop(d), 6) AS d_std, round(max(d), 6) AS d_max
         FROM d WHERE place <= 5 GROUP BY label, i""",
+    "attribute_risk": """
+        WITH t AS (SELECT avg(CASE WHEN c_acctbal > 0 THEN c_acctbal / 30000.0::DOUBLE END) AS a FROM customer)
+        SELECT round(a, 4) AS average_advantage, least(100.0::DOUBLE, round(coalesce(a, 0) * 150, 2)) AS risk_score,
+               CASE WHEN coalesce(a, 0) <= 0.08 THEN 'low' WHEN a <= 0.20 THEN 'medium' WHEN a <= 0.35 THEN 'high' ELSE 'critical' END AS risk_level FROM t""",
+    "combined_risk": """
+        WITH t AS (SELECT c_nationkey, round(avg(c_acctbal) / 60, 2) AS m, round(max(c_acctbal) / 150, 2) AS r, round(abs(min(c_acctbal)) / 40, 2) AS a FROM customer GROUP BY 1),
+        s AS (SELECT c_nationkey, round(m * 0.40::DOUBLE + r * 0.35::DOUBLE + a * 0.25::DOUBLE, 2) AS v FROM t)
+        SELECT c_nationkey, round(v, 1) AS score, CASE WHEN v <= 15 THEN 'low' WHEN v <= 35 THEN 'medium' WHEN v <= 60 THEN 'high' ELSE 'critical' END AS risk FROM s""",
+    "executive_summary": """
+        WITH p AS (SELECT l_linenumber AS k, round(avg(l_quantity) * 3, 2) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
+        f AS (SELECT round(sum(s * CASE k WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 0.35::DOUBLE ELSE 0.20::DOUBLE END) / 0.80::DOUBLE, 2) AS f FROM p),
+        c AS (SELECT round(100 - avg(c_acctbal) / 100, 2) AS s, round(avg(c_acctbal) / 100, 2) AS raw, count(*) FILTER (c_acctbal < 0) AS w FROM customer)
+        SELECT f AS data_fidelity_score, CASE WHEN f >= 90 THEN 'A' WHEN f >= 75 THEN 'B' WHEN f >= 60 THEN 'C' WHEN f >= 40 THEN 'D' ELSE 'F' END AS data_fidelity_grade,
+               s AS privacy_protection_score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 75 THEN 'B' WHEN s >= 60 THEN 'C' WHEN s >= 40 THEN 'D' ELSE 'F' END AS privacy_protection_grade,
+               raw AS raw_privacy_risk_score, 'medium' AS privacy_risk_level,
+               CASE WHEN f >= 65 AND s >= 60 THEN 'Deployment Ready: Satisfies standard fidelity and privacy criteria.'
+                    WHEN f >= 65 THEN 'Privacy Review Required: Fidelity is adequate, but privacy guarantees or collision risks require adjustment.'
+                    WHEN s >= 60 THEN 'Fidelity Review Required: Privacy is protected, but statistical or ML utility is degraded.'
+                    ELSE 'Revision Required: Both fidelity and privacy protection fall below standard deployment thresholds.' END AS trust_verdict,
+               'relationship,statistical,structural' AS applicable_pillars, w AS warnings_count FROM f, c""",
     "fidelity_verdict": """
         WITH t AS (SELECT c_nationkey, round(avg(c_acctbal) / 60, 2) AS f, round(max(c_acctbal) / 120, 2) AS p, count(*) FILTER (c_acctbal < -900) AS c FROM customer GROUP BY 1)
         SELECT c_nationkey, f AS fidelity, p AS protection,

@@ -52,7 +52,7 @@ def quality_report(
 
     structure = cut_lineage(structural.structural_fidelity(real, synth, tuple(ids) if ignore_ids else ()))
     scores = cut_lineage(statistical.column_scores(real_part, synth_part))
-    stats = cut_lineage(statistical.statistical_fidelity(real_part, synth_part))
+    stats = cut_lineage(statistical.statistical_fidelity(real_part, synth_part, scores=scores))
     relations = cut_lineage(relationship.relationship_fidelity(real_part, synth_part, target))
     ml = utility.utility_pillar(real_part, synth_part, target, key, **utility_options)
     privacy = cut_lineage(audit.privacy_pillar(real, synth, key=key, sample_rows=sample_rows, order_by=order_by))
