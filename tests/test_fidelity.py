@@ -126,11 +126,11 @@ def test_cramers_v_perfect_and_degenerate(spark):
     assert got[("p", "q")] == pytest.approx(1.0) and got[("p", "one")] == 0.0 and got[("p", "none")] == 0.0
 
 
-def test_many_categorical_columns_are_capped_by_name(spark):
+def test_many_categorical_columns_are_capped_only_on_request(spark):
     names = [f"c{i:02d}" for i in range(40)]
     df = spark.createDataFrame([tuple("ab"[(i + j) % 2] for j in range(40)) for i in range(50)], ", ".join(f"{n} string" for n in names))
-    assert relationship.association_columns(df, names) == names[:30]
-    assert relationship.association_columns(df, names, None) == names
+    assert relationship.association_columns(df, names, 30) == names[:30]
+    assert relationship.association_columns(df, names) == names
 
 
 def test_no_applicable_relationship(spark):
