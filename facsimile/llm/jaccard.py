@@ -309,25 +309,29 @@ def join(documents: DataFrame, settings: Settings = Settings(), text: str = "tex
     involved = stored(bundles.select("id").distinct(), "involved")
     sets = stored(
         leading.join(counted(involved), "id", "left_semi").mapInArrow(_described(w, p), "id long, size long, members binary, bits long, map binary, low boolean"), "described")
-    classed = bundles.join(sets.select("id", "bits", "low"), "id")
+    # a set whose neighbours in size are too small and too large meets no partner in this bundle
+    near = W.partitionBy("bundle", "bits").orderBy("size", "id")
+    close = (F.lag("size").over(near) * 100 >= F.col("size") * p) | (F.col("size") * 100 >= F.lead("size").over(near) * p)
+    members = stored(
+        bundles.join(sets.select("id", "bits", "size", "low"), "id").withColumn("_close", F.coalesce(close, F.lit(False))).where("_close").drop("_close"), "close")
     sizes = stored(
-        classed.groupBy("bundle", "bits").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("low").alias("_low")).where("_rows > 1 AND _low")
-        .select("bundle", "bits", "_rows", F.ceil(F.col("_rows") / BLOCK_ROWS).alias("_blocks")), "classes")
-    maps = sets.select("id", "size", "bits", "map", "low")
+        members.groupBy("bundle", "bits").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("low").alias("_low")).where("_rows > 1 AND _low")
+        .select("bundle", "bits", F.ceil(F.col("_rows") / BLOCK_ROWS).alias("_blocks")), "classes")
+    maps = sets.select("id", "bits", "size", "map")
 
-    def dealt(members: DataFrame, answer) -> DataFrame:
-        """The groups (bundle, bits, pair of blocks) of ``members``, each in one task."""
+    def dealt(some: DataFrame, answer) -> DataFrame:
+        """The groups (bundle, bits, pair of blocks) of ``some`` members, each in one task."""
         blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, "_block").alias("i"), F.greatest(k, "_block").alias("j")))
-        rows = members.join(maps, "id").join(sizes, ["bundle", "bits"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-        rows = rows.withColumn("_met", F.explode(blocks)).select("*", "_met.i", "_met.j").drop("_met", "_block", "_blocks", "_rows")
+        rows = some.join(sizes, ["bundle", "bits"]).join(maps, ["id", "bits", "size"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+        rows = rows.withColumn("_met", F.explode(blocks)).select("*", "_met.i", "_met.j").drop("_met", "_block", "_blocks")
         return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "id", "size").mapInArrow(_by_group(answer), _FOUND)
 
-    found = stored(dealt(bundles, _first_pairs(p)), "found")
+    found = stored(dealt(members, _first_pairs(p)), "found")
     first = stored(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     links = stored(_linked(first, sets, p), "links")
     open_groups = stored(found.where("a IS NULL").select(*_KEYS).distinct(), "open")
     joined = components(links).select(F.col("node").alias("id"), "component")
-    again = bundles.join(counted(stored(open_groups.select("bundle").distinct(), "open-bundles")), "bundle", "left_semi")
+    again = members.join(counted(stored(open_groups.select("bundle", "bits").distinct(), "open-groups")), ["bundle", "bits"], "left_semi")
     again = stored(again.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "again")
     others = dealt(again, _other_pairs(p)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     return membership, links.unionByName(_linked(stored(others, "pairs"), sets, p))
