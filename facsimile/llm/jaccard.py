@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import counted, drop_stored, stored
+from facsimile.llm.common import counted, drop_stored, small_batches, stored
 from facsimile.llm.components import components
 from facsimile.llm.tokens import buffers, byte_table, hash_words, mixed, portions, runs_hashed, word_bounds
 
@@ -287,13 +287,14 @@ def join(documents: DataFrame, settings: Settings = Settings(), text: str = "tex
     id: rows that share one share their links.  Rows with a null id link with nothing.
     """
     w, p = settings.width, settings.percent
+    small_batches(documents.sparkSession)
     source = documents.select(F.col(identity).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
     told = stored(source.mapInArrow(_profiled(w), "kind int, id long, n long, one long, two long, counts binary"), "sets")
     parts = told.where("kind = 1").select("n", "counts").repartition(min(SKETCH_PARTS, 16), "n").mapInArrow(_added, "n long, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.uint64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)  # beyond 2**32 - 1 all are as common
     for r in parts:
         blob = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64)
-        counts[r["n"] * len(blob) : (r["n"] + 1) * len(blob)] = blob
+        counts[r["n"] * len(blob) : (r["n"] + 1) * len(blob)] = np.minimum(blob, 2**32 - 1)
     rows = told.where("kind = 0").select("id", "n", "one", "two")
     groups = rows.where("n > 0 AND id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("id").alias("leader"), F.max("id").alias("_last"))
     membership = rows.join(groups.where("leader <> _last").drop("_last"), ["one", "two", "n"], "left").select(

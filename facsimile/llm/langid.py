@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import stored
+from facsimile.llm.common import small_batches
 from facsimile.llm.tokens import portions
 
 ROWS = 256
@@ -159,6 +159,7 @@ def document_frequencies(rows: DataFrame, text: str, buckets: int) -> tuple[int,
 
 def fit(documents: DataFrame, allowed: Column, settings: Settings = Settings(), text: str = "text", language: str = "lang", identity: str = "doc_id") -> Model:
     """Fit on the rows with text and language for which ``allowed`` (a condition on the id) holds; no such rows give a model that knows no language."""
+    small_batches(documents.sparkSession)
     usable = documents.where(allowed & F.col(text).isNotNull() & F.col(language).isNotNull())
     sizes = {r[0]: r[1] for r in usable.groupBy(language).agg(F.count(F.lit(1))).limit(settings.most_languages + 1).collect()}
     if len(sizes) > settings.most_languages:
@@ -181,14 +182,16 @@ def fit(documents: DataFrame, allowed: Column, settings: Settings = Settings(),
                 [pa.array([c.astype(np.int32).tobytes() for c in cells], pa.binary()), pa.array([r[c].tobytes() for r, c in zip(x, cells)], pa.binary()), batch.column(1), batch.column(2)],
                 ["cells", "weights", "_lang", "_part"])
 
-    got = sample.mapInArrow(sparse, "cells binary, weights binary, _lang string, _part bigint").collect()
-    got.sort(key=lambda r: (r["_lang"], bytes(r["cells"]), bytes(r["weights"])))
-    languages = sorted({r["_lang"] for r in got})
+    got = sample.mapInArrow(sparse, "cells binary, weights binary, _lang string, _part bigint").toArrow().combine_chunks()
+    cells_of, weights_of = got.column(0).combine_chunks(), got.column(1).combine_chunks()
+    langs, parts = got.column(2).to_pylist(), got.column(3).to_pylist()
+    order = sorted(range(got.num_rows), key=lambda k: (langs[k], cells_of[k].as_buffer().to_pybytes(), weights_of[k].as_buffer().to_pybytes()))
+    languages = sorted(set(langs))
     if not languages:
         return Model(settings, [], idf, np.zeros((buckets, 0)), np.zeros(0))
-    rows = [(np.frombuffer(bytes(r["cells"]), np.int32), np.frombuffer(bytes(r["weights"]), np.float32).astype(np.float64)) for r in got]
-    y = np.array([languages.index(r["_lang"]) for r in got])
-    learn, check = [np.flatnonzero(np.array([(r["_part"] != 0) == k for r in got])) for k in (True, False)]
+    rows = [(np.frombuffer(cells_of[k].as_buffer(), np.int32), np.frombuffer(weights_of[k].as_buffer(), np.float32)) for k in order]
+    y, parts = np.array([languages.index(langs[k]) for k in order]), [parts[k] for k in order]
+    learn, check = [np.flatnonzero(np.array([(part != 0) == k for part in parts])) for k in (True, False)]
     weights, bias = follow_the_leader([rows[k] for k in learn], y[learn], len(languages), settings)
     logits = np.array([rows[k][1] @ weights[rows[k][0]] + bias for k in check]).reshape(len(check), len(languages))
     return Model(settings, languages, idf, weights, bias, best_temperature(logits, y[check]))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import counted, drop_stored, stored
+from facsimile.llm.common import counted, drop_stored, small_batches, stored
 from facsimile.llm.tokens import byte_table, hash_words, mixed, portions, runs_hashed, word_bounds
 
 WINDOW = 20
@@ -255,6 +255,7 @@ def deduplicate(documents: DataFrame, text: str = "text", identity: str = "doc_i
     that share an id by a hash of the text.  Equal rows are one document and get equal results; a null text
     has no words.  A text with fewer words than a window stays whole.
     """
+    small_batches(documents.sparkSession)
     base = documents.select(
         F.col(identity).cast("long").alias("id"), F.coalesce(F.col(identity).cast("long"), F.lit(2**63 - 1)).alias("doc"),
         F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")).withColumn("part", F.hash("_text"))

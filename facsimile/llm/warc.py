@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import stored
+from facsimile.llm.common import small_batches, stored
 from facsimile.session import checkpoint_dir
 
 VERSION = "WARC/1.1\r\n"
@@ -197,6 +197,7 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     ``length`` and ``digest`` (hex SHA-256) are of the bytes in the file.  A file that does not begin with a
     record, and whatever follows a record that is cut short, gives nothing.
     """
+    small_batches(spark)
     scanned = stored(_pieces(spark, path).mapInArrow(_candidates(payload), _CANDIDATE), "candidates")
     base = F.sum("at").over(W.partitionBy("file").orderBy("range")) - F.col("at")
     bases = stored(scanned.where("kind = 0").select("file", "range", base.alias("base")), "ranges")
