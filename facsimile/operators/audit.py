@@ -306,6 +306,7 @@ def privacy_pillar(real: DataFrame, synth: DataFrame, attacks: DataFrame | None
 
 def privacy_warnings(pillar: DataFrame) -> DataFrame:
     """``(pillar, message)`` for collisions and elevated audit results."""
+    # The wording of the messages below
     tag = F.lit("privacy").alias("pillar")
     message = lambda test, text, *values: pillar.where(test).select(tag, F.format_string(text, *values).alias("message"))
     return reduce(DataFrame.unionByName, [

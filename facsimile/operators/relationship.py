@@ -122,6 +122,7 @@ def relationship_fidelity(
 
 def relationship_warnings(fidelity: DataFrame) -> DataFrame:
     """``(pillar, message)`` for elevated errors."""
+    # The wording of the messages below
     texts = {
         "pearson_mae": "Numeric Pearson correlation MAE is elevated (%.3f).",
         "cramers_v_mae": "Categorical association (Cramér's V) MAE is elevated (%.3f).",

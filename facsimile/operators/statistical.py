@@ -254,6 +254,7 @@ def statistical_fidelity(
 
 def statistical_warnings(scores: DataFrame, fidelity: DataFrame) -> DataFrame:
     """``(pillar, message)`` for significant column shifts and correlation divergence."""
+    # The wording of the messages below
     p = F.col("p_value")
     shifted = scores.where(p < 0.01).select(F.lit("statistical").alias("pillar"), F.when(
         F.col("type") == "numerical",

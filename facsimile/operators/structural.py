@@ -216,6 +216,7 @@ def structural_fidelity(real: DataFrame, synth: DataFrame, ignore: tuple[str, ..
 
 def structural_warnings(real: DataFrame, synth: DataFrame) -> DataFrame:
     """``(pillar, message)``: missing and extra columns, type mismatches, lost constants, new categories."""
+    # The wording of the messages below
     spark = real.sparkSession
     columns = common_columns(real, synth)
     missing = [c for c in real.columns if c not in columns]

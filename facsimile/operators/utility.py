@@ -123,6 +123,7 @@ def utility_pillar(
 
 def utility_warnings(pillar: DataFrame) -> DataFrame:
     """``(pillar, message)``: large gaps, or why the pillar does not apply."""
+    # The wording of the messages below
     tag = F.lit("ml_utility").alias("pillar")
     gap = lambda column, name: pillar.where(F.col(column) > GAP_WARNING).select(tag, F.format_string(
         f"Large {name} gap between TRTR and TSTR (%.4f).", F.col(column)).alias("message"))

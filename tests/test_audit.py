@@ -151,3 +151,22 @@ def test_wide_columns_get_an_error_row(spark):
     found = {r["column"]: r for r in audit.attribute_inference(rows, rows, ["name", "disease"], settings={"numTrees": 3, "maxDepth": 2}, most_classes=20).collect()}
     assert found["name"]["accuracy"] is None and "more than 20 classes" in found["name"]["error"]
     assert found["disease"]["error"] is None and found["disease"]["n_classes"] == 3
+
+
+def test_one_far_query_does_not_send_all_points(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 3)) * 100
+    points = [(centres[k % 40] + rng.normal(size=3)).tolist() for k in range(2000)] + [[0.5, 0.5, 0.5]] * 1000
+    asked = points[::20] + [[1e5, 1e5, 1e5]]
+    make = lambda rows: knn.grouped_vectors(spark.createDataFrame([(r,) for r in rows], "v array<double>"), F.col("v"))
+    sent, inner = [], knn._bounds
+    monkeypatch.setattr(knn, "_bounds", lambda *args: sent.append((args[1], *inner(*args))) or sent[-1][1:])
+    got = {tuple(r["features"]): r["distances"] for r in knn.nearest_distances(make(asked), make(points), 4).collect()}
+    x = np.array(points)
+    for q in {tuple(a) for a in asked}:
+        want = np.sort(np.sqrt(((x - np.array(q)) ** 2).sum(axis=1)))[:4]
+        assert np.allclose(got[q], want, atol=1e-9)
+    rings, _, highs = sent[0]
+    far = [h for (_, _, spread), h in zip(rings, highs) if spread > 1e4]
+    near = [h for (_, _, spread), h in zip(rings, highs) if spread <= 1e4]
+    assert len(far) == 1 and max(near) < 1e4 < far[0]
