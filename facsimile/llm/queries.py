@@ -72,6 +72,31 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_language, op3_mixing, op4_url_filter, op5_warc, op6_jaccard_join, op7_pii, op8_decontamination, op9_substring_dedup, op10_nearest, pipeline)}
 
 ORACLES = {
+    "op3_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS g, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n,
+         md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')) AS place FROM documents),
+s AS (SELECT g, CAST(sum(n) AS BIGINT) AS tokens FROM d WHERE n > 0 GROUP BY g),
+t AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, list(tokens::DOUBLE) AS each FROM s),
+l AS (SELECT total, list_transform(each, lambda x: x / total) AS p FROM t),
+-- the largest exponent whose entropy meets the target, then the smallest one within the limit of passes
+e AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, p FROM l UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END, p FROM (
+    SELECT *, ln(list_sum(list_transform(p, lambda x: x ** mid))) - list_sum(list_transform(p, lambda x: x ** mid * ln(x) * mid)) / list_sum(list_transform(p, lambda x: x ** mid))
+              >= 0.98::DOUBLE * ln(len(p)) AS ok FROM (SELECT *, (low + high) / 2 AS mid FROM e WHERE i < 30))),
+f AS (SELECT p, CASE WHEN -list_sum(list_transform(p, lambda x: x * ln(x))) >= 0.98::DOUBLE * ln(len(p)) THEN 1.0::DOUBLE ELSE low END AS a FROM e WHERE i = 30),
+r AS (SELECT 0 AS i, a AS low, 1.0::DOUBLE AS high, p FROM f UNION ALL
+  SELECT i + 1, CASE WHEN over THEN mid ELSE low END, CASE WHEN over THEN high ELSE mid END, p FROM (
+    SELECT *, list_max(list_transform(p, lambda x: x ** (mid - 1))) / list_sum(list_transform(p, lambda x: x ** mid)) > 4.0::DOUBLE AS over
+    FROM (SELECT *, (low + high) / 2 AS mid FROM r WHERE i < 30))),
+x AS (SELECT round(CASE WHEN list_max(list_transform(f.p, lambda x: x ** (a - 1))) / list_sum(list_transform(f.p, lambda x: x ** a)) > 4.0::DOUBLE THEN r.high ELSE a END, 6) AS a
+      FROM f, r WHERE r.i = 30),
+w AS (SELECT g, tokens, total, round((tokens::DOUBLE / total) ** a / sum((tokens::DOUBLE / total) ** a) OVER (), 12) AS weight FROM s, l, x),
+b AS (SELECT *, CAST(floor(round(weight * total, 3)) AS BIGINT) AS due FROM w),
+c AS (SELECT d.*, weight, due // tokens AS passes, due % tokens AS rest, CAST(ceil(tokens / 1000000.0::DOUBLE) AS BIGINT) AS blocks,
+             sum(n) OVER (PARTITION BY d.g ORDER BY place) AS upto FROM d LEFT JOIN b ON d.g = b.g)
+SELECT doc_id, source, n AS n_tokens, coalesce(weight, 0) AS weight, CAST(coalesce(passes, 0) + CASE WHEN n > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies,
+       CAST(coalesce(floor(CAST('0x' || substr(place, 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE * blocks), 0) AS BIGINT) AS block, place FROM c""",
     "op4_url_filter": r"""
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                                            ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
