@@ -297,7 +297,9 @@ def join(documents: DataFrame, settings: Settings = Settings(), text: str = "tex
         counts[r["n"] * len(blob) : (r["n"] + 1) * len(blob)] = np.minimum(blob, 2**32 - 1)
     rows = told.where("kind = 0").select("id", "n", "one", "two")
     groups = rows.where("n > 0 AND id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("id").alias("leader"), F.max("id").alias("_last"))
-    membership = rows.join(groups.where("leader <> _last").drop("_last"), ["one", "two", "n"], "left").select(
+    # stored, so that the join has its own exchange, in which a set that very many documents share can be split
+    copied = stored(groups.where("leader <> _last").drop("_last"), "copied")
+    membership = rows.join(copied, ["one", "two", "n"], "left").select(
         "id", "n", F.when(F.col("n") > 0, F.coalesce("leader", "id")).alias("leader"))
     membership = stored(membership, "members")
     # an id may stand for several texts; it is left out only if none of them leads
