@@ -11,8 +11,9 @@ from facsimile.functions import rng
 AUDIT_SAMPLE = 5000
 SPLIT_SEED = 42
 
-# equal cells of the unit interval; only the cell holding the cut is ever ranked
+# equal cells that one level cuts an interval of draws into, and how many levels narrow down the cut
 _CELLS = 4096
+_LEVELS = 2
 
 
 def bounded_sample(df: DataFrame, key: list[str], size: int = AUDIT_SAMPLE, seed=SPLIT_SEED) -> DataFrame:
@@ -27,28 +28,31 @@ def bounded_sample(df: DataFrame, key: list[str], size: int = AUDIT_SAMPLE, seed
 def split(
     df: DataFrame, key: list[str], test_fraction: float = 0.3, stratify: str | None = None, seed=SPLIT_SEED,
 ) -> DataFrame:
-    """``df`` with ``is_test``: exactly ceil(fraction x n) rows, of the table or of each stratum.
+    """``df`` with ``is_test``: ceil(fraction x n) rows, of the table or of each stratum.
 
-    The cut is found from counts in equal cells of the draw; only rows of the one cell that holds it
-    are ranked.  No stratum is ever sorted as a whole, however large.
+    The cut is found from counts in equal cells of the draw, then in equal cells of the one cell that
+    holds it; only rows of the last such cell, one in _CELLS ** _LEVELS, are ranked.  No stratum is ever
+    sorted as a whole, however large.  Rows that share a key share a draw and fall on one side
+    together, so the count is exact when ``key`` is unique.
     """
     stratum = F.coalesce(F.col(stratify).cast("string"), F.lit("\0")) if stratify else F.lit("all")
     drawn = df.withColumn("_stratum", stratum).withColumn("_u", rng.uniform(seed, "split", *key))
-    cell = F.floor(F.col("_u") * F.lit(_CELLS)).cast("int")
-    counts = drawn.groupBy("_stratum", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("_stratum")
     upto = F.sum("n").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
-    wanted = F.ceil(F.lit(float(test_fraction)) * F.sum("n").over(whole))
-    # at most _CELLS rows per stratum in this window
-    edges = (
-        counts.withColumn("upto", upto).withColumn("wanted", wanted)
-        .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select("_stratum", F.col("_cell").alias("_edge"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
-    )
+    rows, need = drawn, None
+    for level in range(1, _LEVELS + 1):
+        rows = rows.withColumn("_cell", F.floor(F.col("_u") * F.lit(float(_CELLS**level))).cast("long"))
+        keys = ["_stratum", "_cell"] + (["need"] if need is not None else [])
+        need = F.col("need") if level > 1 else F.ceil(F.lit(float(test_fraction)) * F.sum("n").over(whole))
+        # at most _CELLS rows per stratum in this window
+        edges = (
+            rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto).withColumn("wanted", need)
+            .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+            .select("_stratum", "_cell", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
+        )
+        rows = rows.drop("need").join(edges, ["_stratum", "_cell"])
     place = F.struct("_u", *key)
-    near = drawn.withColumn("_cell", cell).join(
-        edges.withColumnRenamed("_edge", "_cell"), ["_stratum", "_cell"]
-    ).select("_stratum", "need", place.alias("_cut"))
+    near = rows.select("_stratum", "need", place.alias("_cut"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("_stratum").orderBy("_cut")))
     cuts = ranked.where(F.col("rank") == F.col("need")).select("_stratum", "_cut")
     marked = drawn.join(cuts, "_stratum", "left")
