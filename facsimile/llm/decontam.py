@@ -9,9 +9,8 @@ however long the document.  Candidates are then verified on the shingles themsel
 
 Only DataFrame expressions.  Arrays are opened with ``explode_outer``: for ``explode`` the optimizer pushes a
 test of the array's size below the projections that build it, and would build it again for each element.
-The sketch table, and then the list of candidate texts
-(64-bit hashes), are broadcast when counted at ``BROADCAST_ROWS`` rows at most; larger ones are joined by
-shuffle, with the same result.
+The sketch table, and then the list of candidate texts (64-bit hashes), are broadcast when counted at
+``BROADCAST_ROWS`` rows at most; larger ones are joined by shuffle, with the same result.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ Only DataFrame expressions are used.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,8 +82,6 @@ def exponent(shares: DataFrame, target: Target, budget_ratio: float) -> float:
         )]).first()
         return [(row[f"z{k}"], row[f"e{k}"], row[f"m{k}"]) for k in range(len(grid))]
 
-    import math
-
     found = 1.0
     if target.entropy is not None:
         least = target.entropy * math.log(n)
