@@ -34,6 +34,7 @@ from facsimile.llm.tokens import byte_table, hash_words, mixed, portions, runs_h
 WINDOW = 20
 ROUNDS = 2  # of pairing
 PART_ROWS = 4096  # windows of an anchor that are ordered in one group
+DOCUMENT = ["doc", "part", "twin"]  # a document: its id and two 64-bit hashes of its text, so that texts without an id stay apart
 _TABLE = byte_table(303, lower=False)
 _NONE = np.uint64(2**64 - 1)
 _RUN, _PAIR, _SIDE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
@@ -134,7 +135,7 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, doc, part, n): the distinct anchors of each document and in how many places, or stretches of windows, they serve."""
+    """(anchor, doc, part, twin, n): the distinct anchors of each document and in how many places, or stretches of windows, they serve."""
     for batch, data, at in portions(batches, "_text"):
         words, first = _words(data, at)
         _, owner, key, place = anchors(words, first)
@@ -150,18 +151,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(head)
         rows = pa.array(owner[starts])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[starts].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.diff(np.append(starts, len(key))))],
-            ["anchor", "doc", "part", "n"])
+            [pa.array(key[starts].view(np.int64)), *(batch.column(k).take(rows) for k in range(3)), pa.array(np.diff(np.append(starts, len(key))))],
+            ["anchor", *DOCUMENT, "n"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, anchor, doc, part, start, salts) of the windows whose anchor is in the document's list."""
+    """(window, anchor, doc, part, twin, start, salts) of the windows whose anchor is in the document's list."""
     for batch, data, at in portions(batches, "_text"):
         words, first = _words(data, at)
         windows, owner, key, _ = anchors(words, first)
         whole = runs_hashed(words, WINDOW, 17)
         bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-        lists, salts = batch.column(3), batch.column(4)
+        lists, salts = batch.column(4), batch.column(5)
         picked, salted = [], []
         for k in range(batch.num_rows):
             wanted = np.array(lists[k].values).view(np.uint64)
@@ -175,9 +176,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picked = np.concatenate(picked).astype(np.int64)
         rows = pa.array(owner[picked])
         yield pa.RecordBatch.from_arrays([
-            pa.array(whole[windows[picked]].view(np.int64)), pa.array(key[picked].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
+            pa.array(whole[windows[picked]].view(np.int64)), pa.array(key[picked].view(np.int64)), *(batch.column(k).take(rows) for k in range(3)),
             pa.array((windows[picked] - first[:-1][owner[picked]]).astype(np.int32)), pa.array(np.concatenate(salted).astype(np.int32))],
-            ["window", "anchor", "doc", "part", "start", "salts"])
+            ["window", "anchor", *DOCUMENT, "start", "salts"])
 
 
 def _kept(whole: bool):
@@ -219,62 +220,63 @@ def _hashed_kept(whole: bool):
 
 
 def _picked(documents: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``documents`` semi- or anti-joined to a stored table of (doc, part), broadcast if it is counted small."""
-    return documents.join(counted(ids), ["doc", "part"], how)
+    """``documents`` semi- or anti-joined to a stored table of (doc, part, twin), broadcast if it is counted small."""
+    return documents.join(counted(ids), DOCUMENT, how)
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """(doc, part, starts): the windows of ``texts`` (doc, part, _text) whose word sequence also starts earlier.
+    """(doc, part, twin, starts): the windows of ``texts`` (doc, part, twin, _text) whose word sequence also starts earlier.
 
-    Earlier: smaller doc, then smaller part, then smaller start.
+    Earlier: smaller doc, then smaller part, then smaller twin, then smaller start.
     """
-    rows = stored(texts.mapInArrow(_anchor_rows, "anchor long, doc long, part int, n long"), "anchors")
+    rows = stored(texts.mapInArrow(_anchor_rows, "anchor long, doc long, part long, twin long, n long"), "anchors")
     salts = F.ceil(F.col("_count") / PART_ROWS).cast("int")
     shared = rows.groupBy("anchor").agg(F.sum("n").alias("_count")).where("_count > 1").select("anchor", salts.alias("salts"))
     wanted = stored(
-        rows.join(shared, "anchor").groupBy("doc", "part").agg(F.collect_list(F.struct("anchor", "salts")).alias("_w"))
-        .select("doc", "part", F.col("_w.anchor").alias("anchors"), F.col("_w.salts").alias("salts")), "wanted")
+        rows.join(shared, "anchor").groupBy(*DOCUMENT).agg(F.collect_list(F.struct("anchor", "salts")).alias("_w"))
+        .select(*DOCUMENT, F.col("_w.anchor").alias("anchors"), F.col("_w.salts").alias("salts")), "wanted")
     drop_stored(rows)
-    ids = wanted.select("doc", "part")
-    listed = _picked(texts, ids, "left_semi").join(wanted, ["doc", "part"]).select("doc", "part", "_text", "anchors", "salts")
-    windows = listed.mapInArrow(_window_rows, "window long, anchor long, doc long, part int, start int, salts int")
-    order = ["doc", "part", "start"]
+    ids = wanted.select(*DOCUMENT)
+    listed = _picked(texts, ids, "left_semi").join(wanted, DOCUMENT).select(*DOCUMENT, "_text", "anchors", "salts")
+    windows = listed.mapInArrow(_window_rows, "window long, anchor long, doc long, part long, twin long, start int, salts int")
+    order = [*DOCUMENT, "start"]
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc", "start"), F.col("salts"))).otherwise(0)
     ranked = stored(
         windows.withColumn("_salt", salt).withColumn("_k", F.rank().over(W.partitionBy("window", "anchor", "_salt").orderBy(*order)))
         .where("_k > 1 OR salts > 1").select(*order, "window", "anchor", "_k"), "ranked")
     firsts = ranked.where("_k = 1").withColumn("_k", F.rank().over(W.partitionBy("window", "anchor").orderBy(*order)))
     later = ranked.where("_k > 1").select(*order).unionByName(firsts.where("_k > 1").select(*order))
-    return stored(later.groupBy("doc", "part").agg(F.collect_list("start").alias("starts")), "repeats")
+    return stored(later.groupBy(*DOCUMENT).agg(F.collect_list("start").alias("starts")), "repeats")
 
 
 def deduplicate(documents: DataFrame, text: str = "text", identity: str = "doc_id", digests: bool = False) -> DataFrame:
     """(identity, n_words, n_removed, kept): the words that stay, joined by one blank, as bytes; with ``digests`` their SHA-256, kept_sha256.
 
     Words are runs of bytes that are no ASCII blank.  Documents are ordered by id, a null id last; texts
-    that share an id by a hash of the text.  Equal rows are one document and get equal results; a null text
+    that share an id by two hashes of the text, 128 bits in all.  Equal rows are one document and get equal results; a null text
     has no words.  A text with fewer words than a window stays whole.
     """
     small_batches(documents.sparkSession)
     base = documents.select(
         F.col(identity).cast("long").alias("id"), F.coalesce(F.col(identity).cast("long"), F.lit(2**63 - 1)).alias("doc"),
-        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text")).withColumn("part", F.hash("_text"))
-    same = base.groupBy(F.sha2("_text", 256).alias("_sha"), "part").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first <> _last")
+        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
+    base = base.withColumns({"part": F.xxhash64("_text"), "twin": F.xxhash64(F.lit(1), "_text")})
+    same = base.groupBy(F.sha2("_text", 256).alias("_sha")).agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first <> _last")
     later = (
-        base.select("doc", "part", F.sha2("_text", 256).alias("_sha")).join(stored(same, "same"), ["_sha", "part"]).where(F.col("doc") > F.col("_first"))
-        .select("doc", "part").distinct()
+        base.select(*DOCUMENT, F.sha2("_text", 256).alias("_sha")).join(stored(same, "same"), "_sha").where(F.col("doc") > F.col("_first"))
+        .select(*DOCUMENT).distinct()
     )
     copies = stored(later, "copies")
     firsts = _picked(base, copies, "left_anti")
-    often = stored(base.groupBy("doc", "part").count().where("count > 1").select("doc", "part"), "repeated")
+    often = stored(base.groupBy(*DOCUMENT).count().where("count > 1").select(*DOCUMENT), "repeated")
     once = firsts
     if often.take(1):  # rows repeated whole are one document
-        once = _picked(firsts, often, "left_anti").unionByName(_picked(firsts, often, "left_semi").dropDuplicates(["doc", "part"]))
-    found = repeats(once.select("doc", "part", "_text"))
+        once = _picked(firsts, often, "left_anti").unionByName(_picked(firsts, often, "left_semi").dropDuplicates(DOCUMENT))
+    found = repeats(once.select(*DOCUMENT, "_text"))
     make = _hashed_kept if digests else _kept
     schema = f"id long, n_words long, n_removed long, {'kept_sha256 string' if digests else 'kept binary'}"
-    hit = found.select("doc", "part")
-    some = _picked(firsts, hit, "left_semi").join(found, ["doc", "part"]).select("id", "_text", "starts").mapInArrow(make(False), schema)
+    hit = found.select(*DOCUMENT)
+    some = _picked(firsts, hit, "left_semi").join(found, DOCUMENT).select("id", "_text", "starts").mapInArrow(make(False), schema)
     none = _picked(firsts, hit, "left_anti").select("id", "_text").mapInArrow(make(False), schema)
     gone = _picked(base, copies, "left_semi").select("id", "_text").mapInArrow(make(True), schema)
     return some.unionByName(none).unionByName(gone).withColumnRenamed("id", identity)
