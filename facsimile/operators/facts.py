@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facsimile.functions import dates
@@ -15,12 +15,14 @@ from facsimile.session import cut_lineage
 
 # rows of the table head that samples are read from
 HEAD_ROWS = 1000
-# Sample sizes and content patterns of the role rules
+# Published sample sizes (only with ``sampled``) and content patterns of the role rules
 CONTENT_SAMPLE = 25
 DATE_SAMPLE = 20
 COARSE_DATE_SAMPLE = 10
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 HEX_PATTERN = r"^[0-9a-fA-F]{16,}$"
+# every accepted date format starts like this; other strings are not tried
+DATE_START = r"^[+-]?\d+[-/ ]"
 
 
 @dataclass(frozen=True)
@@ -114,8 +116,33 @@ def _all_parse(value):
     return F.coalesce(F.greatest(*verdicts), F.lit(False))
 
 
-def column_facts(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """``ColumnFacts`` fields, one row per column."""
+def _content(value: Column) -> dict[str, Column]:
+    """The aggregates of a text column's content over all its rows."""
+    share = lambda test: F.avg(test.cast("int"))
+    return {
+        "date": share(dates.looks_like_date(value)),
+        "parses": F.coalesce(F.bit_and(_formats_read(value)) != 0, F.lit(False)),
+        "uuid": share(value.rlike(UUID_PATTERN)),
+        "hex": share(value.rlike(HEX_PATTERN)),
+    }
+
+
+def _formats_read(value: Column) -> Column:
+    """One bit for each date format that reads ``value``; null stays null."""
+    bits = [
+        F.when(F.try_to_timestamp(value, F.lit(f)).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0))
+        for k, f in enumerate(dates.DATE_FORMATS)
+    ]
+    read = F.when(value.rlike(DATE_START), reduce(Column.__add__, bits)).otherwise(F.lit(0))
+    return F.when(value.isNotNull(), read)
+
+
+def column_facts(df: DataFrame, order_by: list[str] | None = None, sampled: bool = False) -> DataFrame:
+    """``ColumnFacts`` fields, one row per column.
+
+    Shares of dates, UUIDs and hex strings, and whether one date format reads them all, cover every
+    non-null value; with ``sampled`` only the published number of first values in the stated order.
+    """
     by_kind = kinds(df)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     numbers, texts = set(numeric_columns(df)), string_columns(df)
@@ -128,6 +155,7 @@ def column_facts(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         *[F.min(value(c)).alias(f"{i}_low") for i, c in enumerate(names) if c in numbers],
         *[F.max(value(c)).alias(f"{i}_high") for i, c in enumerate(names) if c in numbers],
         *[F.avg(F.length(c)).alias(f"{i}_len") for i, c in enumerate(names) if c in texts],
+        *[a.alias(f"{i}_{n}") for i, c in enumerate(names) if c in texts and not sampled for n, a in _content(F.col(c)).items()],
     )
     base = wide.select(F.inline(long_rows(names, {
         c: {
@@ -139,12 +167,21 @@ def column_facts(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
             "low": F.col(f"{i}_low") if c in numbers else nothing,
             "high": F.col(f"{i}_high") if c in numbers else nothing,
             "avg_length": F.col(f"{i}_len") if c in texts else nothing,
+            **({} if sampled else {
+                "date_share": F.col(f"{i}_date") if c in texts else nothing,
+                "date_parses": F.col(f"{i}_parses") if c in texts else F.lit(False),
+                "coarse_date_parses": F.col(f"{i}_parses") if c in texts else F.lit(False),
+                "uuid_share": F.col(f"{i}_uuid") if c in texts else nothing,
+                "hex_share": F.col(f"{i}_hex") if c in texts else nothing,
+            }),
         }
         for i, c in enumerate(names)
     })))
     facts = base.join(distinct_counts(df), "column", "left").withColumn(
         "n_unique", F.coalesce("unique_count", F.lit(0))
     ).drop("unique_count")
+    if not sampled:
+        return facts
     if texts:
         shares = content_shares(first_values(df, texts, CONTENT_SAMPLE, order_by))
         facts = facts.join(shares, "column", "left")
@@ -156,9 +193,9 @@ def column_facts(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     return facts
 
 
-def collect_facts(df: DataFrame, order_by: list[str] | None = None) -> list[ColumnFacts]:
+def collect_facts(df: DataFrame, order_by: list[str] | None = None, sampled: bool = False) -> list[ColumnFacts]:
     """The evidence rows on the driver, in table order: one per column, never data rows."""
-    rows = [r.asDict() for r in column_facts(df, order_by).collect()]
+    rows = [r.asDict() for r in column_facts(df, order_by, sampled).collect()]
     facts = [
         ColumnFacts(**{
             **row,

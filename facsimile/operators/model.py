@@ -56,9 +56,11 @@ class Model:
         return local_rows(spark, [tuple(p.get(n) for n in names) for p in self.params], PARAMS_SCHEMA)
 
 
-def column_kinds(df: DataFrame, order_by: list[str] | None = None, keep: tuple[str, ...] = ()) -> dict[str, str]:
+def column_kinds(
+    df: DataFrame, order_by: list[str] | None = None, keep: tuple[str, ...] = (), sampled: bool = False,
+) -> dict[str, str]:
     """The model kind of each column: constant, boolean, datetime, text, numeric or categorical."""
-    facts = collect_facts(df, order_by)
+    facts = collect_facts(df, order_by, sampled)
     ids = set(identifier_columns(facts, keep))
     return {f.column: model_kind(semantic_type(f, f.column in ids), f) for f in facts}
 
@@ -197,12 +199,16 @@ def fit_correlation(df: DataFrame, columns: list[str], by: list[str] | None = No
 
 def fit(
     df: DataFrame, order_by: list[str] | None = None, keep: tuple[str, ...] = (),
-    known_kinds: dict[str, str] | None = None,
+    known_kinds: dict[str, str] | None = None, pool_size: int = TEXT_POOL, sampled: bool = False,
 ) -> Model:
-    """Fit every column of ``df``.  Only parameters, one row per column or pair, reach the driver."""
+    """Fit every column of ``df``.  Only parameters, one row per column or pair, reach the driver.
+
+    ``pool_size`` real strings at most are kept of each text column; ``sampled`` decides kinds on the
+    published number of first values.
+    """
     df = missing_as_null(df)
     spark = df.sparkSession
-    found = known_kinds or column_kinds(df, order_by, keep)
+    found = known_kinds or column_kinds(df, order_by, keep, sampled)
     names = df.columns
     of = lambda *ks: [c for c in names if found[c] in ks]
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -240,7 +246,7 @@ def fit(
     if len(spread) > 1:
         corr = {(r["col_i"], r["col_j"]): r["r"] for r in fit_correlation(df, spread).collect()}
     pools = {
-        c: [r["value"] for r in text_pool(df, c, order_by).orderBy("place").collect()] for c in of("text")
+        c: [r["value"] for r in text_pool(df, c, order_by, pool_size).orderBy("place").collect()] for c in of("text")
     }
     probs = fit_categorical(df, of("categorical")) if of("categorical") else None
     return Model([params[c] for c in names], probs, pools, corr)

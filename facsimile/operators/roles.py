@@ -56,8 +56,10 @@ def identifier_columns(facts: list[ColumnFacts], keep: tuple[str, ...] = ()) ->
     return [f.column for f in facts if f.column not in keep and is_identifier(f)]
 
 
-def drop_identifiers(df: DataFrame, order_by: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    return df.drop(*identifier_columns(collect_facts(df, order_by), keep))
+def drop_identifiers(
+    df: DataFrame, order_by: list[str] | None = None, keep: tuple[str, ...] = (), sampled: bool = False,
+) -> DataFrame:
+    return df.drop(*identifier_columns(collect_facts(df, order_by, sampled), keep))
 
 
 def target_score(fact: ColumnFacts, is_last: bool) -> float | None:
@@ -134,9 +136,11 @@ def coarse_type(fact: ColumnFacts) -> str:
     return "categorical"
 
 
-def role_table(df: DataFrame, order_by: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def role_table(
+    df: DataFrame, order_by: list[str] | None = None, keep: tuple[str, ...] = (), sampled: bool = False,
+) -> DataFrame:
     """``(column, position, semantic_type, coarse_type, identifier, target, sensitive)`` per column."""
-    facts = collect_facts(df, order_by)
+    facts = collect_facts(df, order_by, sampled)
     ids, target, sensitive = set(identifier_columns(facts, keep)), target_column(facts), sensitive_columns(facts)
     rows = [
         (

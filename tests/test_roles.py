@@ -99,3 +99,27 @@ def test_sparse_columns_get_their_own_sample(spark):
     got = first_values(df, ["s", "t"], 2, ["id"]).collect()
     assert sorted((r["column"], r["place"], r["value"]) for r in got) == [
         ("s", 1, "late2500"), ("s", 2, "late2501"), ("t", 1, "v0"), ("t", 2, "v1")]
+
+
+def test_roles_are_decided_on_the_whole_column(spark):
+    # the first 200 rows read as dates, hex or neither, the other 300 the other way round
+    df = spark.createDataFrame(
+        [(i, f"2024-01-{1 + i % 28:02d}" if i < 200 else f"word{i}", f"{i:032x}" if i < 200 else f"word{i}",
+          f"word{i}" if i < 30 else f"{i:032x}", f"2024-02-{1 + i % 28:02d}" if i % 50 else None) for i in range(500)],
+        "n int, turned string, mixed string, late string, dated string")
+    facts = {f.column: f for f in collect_facts(df, ["n"])}
+    assert facts["turned"].date_share == pytest.approx(0.4) and not facts["turned"].is_datetime_like and not facts["turned"].coarse_date_parses
+    assert facts["mixed"].hex_share == pytest.approx(0.4) and facts["late"].hex_share == pytest.approx(0.94)
+    assert facts["dated"].is_datetime_like and facts["dated"].date_share == 1.0 and facts["dated"].coarse_date_parses
+    assert roles.drop_identifiers(df, ["n"], keep=("n",)).columns == ["n", "turned", "mixed", "dated"]
+    # the published samples, on request
+    assert roles.drop_identifiers(df, ["n"], keep=("n",), sampled=True).columns == ["n", "turned", "late", "dated"]
+    found = {r["column"]: r["semantic_type"] for r in roles.role_table(df, ["n"], sampled=True).collect()}
+    assert found["turned"] == "datetime"
+
+
+def test_text_pool_size_of_a_fit(spark):
+    from facsimile.operators.model import fit
+
+    df = spark.createDataFrame([(i, f"a sentence long enough to be text, number {i}, " + "and so on " * 5) for i in range(300)], "n int, t string")
+    assert len(fit(df, ["n"], known_kinds={"n": "numeric", "t": "text"}, pool_size=150).pools["t"]) == 150
