@@ -216,7 +216,7 @@ def nearest(shards: DataFrame, queries: DataFrame, k: int = 5, settings: Setting
             out.append(pd.DataFrame({"query_id": own[i], "vec_id": member[best], "score": scores[best]}))
         return pd.concat(out)
 
-    answers = spread.groupBy("shard", "block").cogroup(posed.groupBy("shard", "block")).applyInPandas(answer, "query_id long, vec_id long, score double")
+    answers = spread.groupBy("shard", "dim", "block").cogroup(posed.groupBy("shard", "dim", "block")).applyInPandas(answer, "query_id long, vec_id long, score double")
     best = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -306,6 +306,16 @@ def test_neighbours_leave_out_unusable_vectors(spark):
     assert neighbours.nearest(neighbours.index(empty), empty, 5).collect() == []
 
 
+def test_vectors_of_two_lengths_answer_their_own_queries(spark):
+    rows = [(k, [1.0, float(k)]) for k in range(12)] + [(100 + k, [1.0, float(k), 2.0]) for k in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.nearest(neighbours.index(df), neighbours.every(df, 10), 5).collect()
+    units = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    for q in (0, 10, 100, 110):
+        near = sorted((-float(units[k] @ units[q]), k) for k in units if k != q and len(units[k]) == len(units[q]))[:5]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [k for _, k in near]
+
+
 # ---- classifiers ----
 
 def test_toxicity_on_held_out_rows(spark):
