@@ -350,6 +350,19 @@ def test_convolution_in_blocks_is_the_same(monkeypatch):
     assert one[0] == pytest.approx(two[0], abs=1e-5)
 
 
+def test_words_shared_by_two_blocks_are_never_cut_off():
+    # a filter that likes a word with nothing after it, over a run of words that crosses the end of a block
+    settings = toxicity.Settings(buckets=8, dim=1, filters=1, widths=(3,))
+    embeddings = np.array([0, 1, 0.5, 0.25, 0.125, 0, 0, 0], np.float32)[:, None]
+    kernel = np.array([1.0, -2.0, -2.0], np.float32).reshape(3, 1, 1)
+    model = toxicity.Model(settings, embeddings, {3: kernel}, np.zeros(1, np.float32), np.ones(1, np.float32), 0.0)
+    codes = np.zeros((70000, 1), np.int32)
+    codes[65530:65553, 0] = [1] * 20 + [2, 3, 4]
+    one = toxicity.margins(model, codes, np.array([0, len(codes)]))
+    two = toxicity.margins(model, np.concatenate([codes, codes[:5]]), np.array([0, len(codes), len(codes) + 5]))
+    assert one[0] == two[0] == 0.125
+
+
 def test_language_on_held_out_rows(spark):
     rng = random.Random(6)
     parts = {"aa": ["the", "ing", "tion", "er"], "bb": ["sch", "ung", "ü", "ei"], "cc": ["eau", "é", "ou", "ai"]}
