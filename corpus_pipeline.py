@@ -1,6 +1,6 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, mixing.
 
-Each stage takes (spark, docs, sf_dir) and returns documents again, the last one with its sampling plan:
+Each stage takes (spark, docs, sf_dir) and returns documents again, the last one with its sampling plan, which the reader of the result carries out:
 toxic documents go, one document of each near-duplicate group stays, documents that hold a benchmark
 item go, personal data is replaced by its kind, and every document gets the copies its source is due.
 """
