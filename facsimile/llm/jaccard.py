@@ -1,10 +1,11 @@
-"""Exact Jaccard join of word-shingle sets, with set-relation skipping, and the components of its links.
+"""Exact Jaccard join of word-shingle sets, skipping by relations of sets, and the components of its links.
 
 Equal sets are one representative.  Candidates come from prefixes: with one order of all shingles, two
 sets that link share one of their first |x| - ceil(t |x|) + 1 shingles.  The order is rare first, by a
 sketch of shingle counts over all documents; any fixed order is exact, this one keeps lists short.
 
-Relations between sets are then used to skip work:
+Relations between sets are then used to skip work.  This departs from set-relation skipping as published: no list
+is skipped in blocks by position, and no set's answers are derived from a similar set's answers:
 
 * Lists of shared prefix shingles are not crossed one by one.  Every list has a leader, its smallest
   member, and all lists of one leader form one bundle, so sets that share many shingles meet once.
