@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import decontam, jaccard, langid, mixing, neighbours, pii, substrings, toxicity, urls, warc
+from facsimile.llm import decontam, jaccard, langid, mixing, neighbours, phrases, pii, substrings, toxicity, urls, warc
 from facsimile.llm.common import read
 
 
@@ -62,6 +62,10 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(neighbours.index(vectors), neighbours.every(vectors, 50), 5)
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(read(spark, folder, "documents").select("text", "lang"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,9 +73,29 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_language, op3_mixing, op4_url_filter, op5_warc, op6_jaccard_join, op7_pii, op8_decontamination, op9_substring_dedup, op10_nearest, pipeline)}
+    op1_toxicity, op2_language, op3_mixing, op4_url_filter, op5_warc, op6_jaccard_join, op7_pii, op8_decontamination, op9_substring_dedup, op10_nearest,
+    op11_phrases, pipeline)}
 
 ORACLES = {
+    "op11_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS x, a FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, cut, l.a AS l, r.a AS r, n,
+             CAST(1000 AS HUGEINT) * c.a * n // (CAST(l.a AS HUGEINT) * r.a) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN t USING (lang)
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.x[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.x[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+-- a longer phrase as frequent as a part of it has one of the part's one-word extensions in between
+e AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(x[1:k - 1], ' '), array_to_string(x[2:], ' ')]) AS phrase FROM c WHERE k > 2) GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN e ON e.lang = b.lang AND e.phrase = b.phrase WHERE e.a IS NULL OR 100 * e.a < 100 * b.a)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z WHERE rank <= 2000""",
     "op3_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, '-') AS g, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n,
