@@ -21,6 +21,7 @@ Counts are exact: a phrase is keyed by the 64-bit hashes of its words, and every
 from __future__ import annotations
 
 import uuid
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -103,9 +104,9 @@ def _lang_hash(langs: pa.Array, table: np.ndarray) -> np.ndarray:
     return hash_words(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:], table)[0]
 
 
-def _scan(step: int, reached: list[np.ndarray], summed: np.ndarray, lengths: list[int], sums: bool, settings: Settings):
-    """The scan of one shard.  ``reached[k]``: first scan by slot in which a phrase of k + 1 words had the threshold;
-    ``summed``: the same of the sums of pairs.  Emits (key, lang, word, n), and (slot range, sums) of pairs under ``key`` null."""
+def _scan(step: int, told: list[bytes], lengths: list[int], sums: bool, settings: Settings):
+    """The scan of one shard.  ``told``: packed tables, first those of ``reached`` by length (first scan by slot in which a phrase of
+    k + 1 words had the threshold), last that of the sums of pairs.  Emits (key, lang, word, n), and (slot range, sums) of pairs under ``key`` null."""
     mask, cycle = np.uint64(settings.slots - 1), settings.shards
     table, tongues = byte_table(_TABLE_SEED, lower=True), byte_table(_LANG_SEED, lower=False)
 
@@ -134,6 +135,7 @@ def _scan(step: int, reached: list[np.ndarray], summed: np.ndarray, lengths: lis
             names.clear()
 
     def scan(batches):
+        *reached, summed = [np.frombuffer(zlib.decompress(t), np.uint8) for t in told]
         longer = {k: _Tally(k, settings.held) for k in lengths if k > 1}
         singles, names = _Tally(1, settings.held), {}
         totals = np.zeros(settings.slots, np.int64) if sums else None
@@ -261,7 +263,7 @@ def count(documents: DataFrame, settings: Settings = Settings(), text: str = "te
         summing = until.get(0, -1) >= step
         shard = shards[step % cycle]
         made = shard.mapInArrow(
-            _scan(step, reached, summed, lengths, summing, settings), "key binary, lang string, word string, n long, part int, sums binary")
+            _scan(step, [zlib.compress(t, 1) for t in (*reached, summed)], lengths, summing, settings), "key binary, lang string, word string, n long, part int, sums binary")
         pieces = stored(made, "scan")
         counts = stored(pieces.where(F.col("key").isNotNull()).groupBy("key", "lang", "word").agg(F.sum("n").alias("n")), "counts")
         for k in lengths:
