@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import decontam, jaccard, langid, mixing, neighbours, phrases, pii, substrings, toxicity, urls, warc
+from facsimile.llm import decontam, dialogue, inner, jaccard, langid, mixing, neighbours, phrases, pii, substrings, toxicity, urls, warc
 from facsimile.llm.common import read
 
 
@@ -66,6 +66,16 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(read(spark, folder, "documents").select("text", "lang"))
 
 
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.summary(conversations, dialogue.damage(conversations))
+
+
+def op13_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return inner.top(vectors, neighbours.every(vectors, 100), 10)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,9 +84,54 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_language, op3_mixing, op4_url_filter, op5_warc, op6_jaccard_join, op7_pii, op8_decontamination, op9_substring_dedup, op10_nearest,
-    op11_phrases, pipeline)}
+    op11_phrases, op12_conversations, op13_top_products, pipeline)}
 
 ORACLES = {
+    "op13_top_products": r"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+FROM v q JOIN v c ON (c.vec_id <> q.vec_id OR c.e <> q.e) AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0
+WINDOW w AS (PARTITION BY q.vec_id, q.e ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) QUALIFY row_number() OVER w <= 10""",
+    "op12_conversations": r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+-- crc32, bit by bit
+z AS (SELECT k, 4294967295::BIGINT AS c, 0 AS i, length(k) AS size FROM (SELECT DISTINCT k FROM o) UNION ALL
+  SELECT k, list_reduce(list_prepend(xor(c, CAST(ascii(k[i + 1]) AS BIGINT)), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+                        lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), i + 1, size FROM z WHERE i < size),
+l AS (SELECT k, xor(c, 4294967295) % 20 AS lot FROM z WHERE i = size),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN lot = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM o JOIN l USING (k) WHERE lot <> 0),
+r AS (SELECT *, rtrim(text, e' \t\n\x0B\x0C\r') AS bare, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS rows,
+    lag(role) OVER w AS previous, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(sha256(text), 32), copy)),
+f AS (SELECT *, left(role, 1) AS a, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM r),
+g AS (SELECT conv_id, max(rows) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (previous IS NOT NULL AND left(previous, 1) || a NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+-- backwards: the cheapest rest (cost, audit, lines) from nothing yet (n), after a system (s), a user (u), an assistant row (v)
+b AS (SELECT conv_id, rows AS i, {'c': 0, 'e': '', 't': ''} AS n, {'c': 4, 'e': 'II', 't': e'\nuser:\nassistant:'} AS s,
+             {'c': 2, 'e': 'I', 't': e'\nassistant:'} AS u, {'c': 0, 'e': '', 't': ''} AS v FROM g
+  UNION ALL
+  SELECT conv_id, i - 1, list_min([x.n, {'c': 2 + x.u.c, 'e': 'I' || x.u.e, 't': e'\nuser:' || x.u.t}, {'c': 4 + x.v.c, 'e': 'II' || x.v.e, 't': e'\nuser:\nassistant:' || x.v.t}]),
+         list_min([x.s, {'c': 2 + x.u.c, 'e': 'I' || x.u.e, 't': e'\nuser:' || x.u.t}, {'c': 4 + x.v.c, 'e': 'II' || x.v.e, 't': e'\nuser:\nassistant:' || x.v.t}]),
+         list_min([x.u, {'c': 2 + x.v.c, 'e': 'I' || x.v.e, 't': e'\nassistant:' || x.v.t}]), list_min([x.v, {'c': 2 + x.u.c, 'e': 'I' || x.u.e, 't': e'\nuser:' || x.u.t}])
+  FROM (SELECT conv_id, i, {
+      'n': list_min([{'c': 3 + n.c, 'e': 'D' || n.e, 't': n.t}, {'c': k + m + u.c, 'e': CASE WHEN a = 'u' THEN 'K' ELSE 'R' END || u.e, 't': lu || u.t},
+                     {'c': k + CASE WHEN a = 's' THEN 0 ELSE 99999999 END + s.c, 'e': 'K' || s.e, 't': own || s.t}]),
+      's': list_min([{'c': 3 + s.c, 'e': 'D' || s.e, 't': s.t}, {'c': k + m + u.c, 'e': CASE WHEN a = 'u' THEN 'K' ELSE 'R' END || u.e, 't': lu || u.t}]),
+      'u': list_min([{'c': 3 + u.c, 'e': 'D' || u.e, 't': u.t}, {'c': k + j + v.c, 'e': CASE WHEN a = 'a' THEN 'K' ELSE 'R' END || v.e, 't': lv || v.t}]),
+      'v': list_min([{'c': 3 + v.c, 'e': 'D' || v.e, 't': v.t}, {'c': k + m + u.c, 'e': CASE WHEN a = 'u' THEN 'K' ELSE 'R' END || u.e, 't': lu || u.t}])} AS x
+    FROM (SELECT b.*, f.a, CASE WHEN f.fault IN ('blank', 'duplicate') THEN 99999999 WHEN f.fault = 'truncated' THEN 1 ELSE 0 END AS k,
+        CASE WHEN f.a = 'u' THEN 0 ELSE 2 END AS m, CASE WHEN f.a = 'a' THEN 0 ELSE 2 END AS j, e'\n' || f.role || ':' || f.text AS own,
+        e'\n' || CASE WHEN f.a = 'u' THEN f.role ELSE 'user' END || ':' || f.text AS lu, e'\n' || CASE WHEN f.a = 'a' THEN f.role ELSE 'assistant' END || ':' || f.text AS lv
+      FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i))),
+best AS (SELECT conv_id, n FROM b WHERE i = 0)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(n.c, 0) AS BIGINT) AS cost, coalesce(n.e, '') AS audit, sha256(coalesce(substr(n.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op11_phrases": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                                         '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
