@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.operators.classifiers import (
     ATTACK_FOREST, ATTRIBUTE_FOREST, MAX_CLASSES, TooManyClasses, assembled, auc_of, class_list, label_index, predictions, train,
 )
+from facsimile.operators.buckets import Buckets, near_distances
 from facsimile.operators.columns import common_columns, tagged_union, with_row
 from facsimile.operators.encode import encode_table, scaled, scaling
 from facsimile.operators.facts import collect_facts
 from facsimile.operators.freq import row_digest
 from facsimile.operators.grades import level
 from facsimile.operators.knn import grouped_vectors, nearest_distances
+from facsimile.operators.level_attack import level_attack
 from facsimile.operators.prefix import long_ranges, ordered_totals
 from facsimile.operators.quantiles import quantiles_of_counts
 from facsimile.operators.roles import sensitive_columns
@@ -78,14 +81,24 @@ def encoded_sides(tables: dict[str, DataFrame], scale_on: str) -> tuple[DataFram
     return coded.select("side", F.array(*[scaled(c, scale) for c in columns]).alias("features")), columns
 
 
-def distance_counts(real: DataFrame, synth: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def _distances(queries: DataFrame, points: DataFrame, k: int, approximate: Buckets | None) -> DataFrame:
+    """Exact neighbours, or those of random-projection buckets where a caller asks for them."""
+    return nearest_distances(queries, points, k) if approximate is None else near_distances(queries, points, k, approximate)
+
+
+def distance_counts(
+    real: DataFrame, synth: DataFrame, sample_rows: int | None = None, approximate: Buckets | None = None,
+) -> DataFrame:
     """``(column, value, n)``: distances ``synth_to_real`` (nearest) and ``real_to_real`` (second nearest,
-    a row being its own first) on columns standardised by the real table."""
+    a row being its own first) on columns standardised by the real table.
+
+    ``approximate`` bounds the work by the number of rows: distances are then at least the true ones.
+    """
     sides, _ = encoded_sides({"real": _sampled(real, sample_rows), "synth": _sampled(synth, sample_rows)}, "real")
     of = lambda side: grouped_vectors(sides.where(F.col("side") == side), F.col("features"))
     points = cut_lineage(of("real"))
-    outward = nearest_distances(of("synth"), points, 1)
-    inward = nearest_distances(points, points, 2)
+    outward = _distances(of("synth"), points, 1, approximate)
+    inward = _distances(points, points, 2, approximate)
 
     def rows(found: DataFrame, name: str, place: int) -> DataFrame:
         return found.groupBy(F.get("distances", F.lit(place)).alias("value")).agg(F.sum("n").alias("n")).where(
@@ -142,7 +155,7 @@ def distance_histogram(distances: DataFrame, bins: int = HISTOGRAM_BINS) -> Data
 
 
 def membership_features(
-    members: DataFrame, holdout: DataFrame, synth: DataFrame, neighbours: int = NEIGHBOURS,
+    members: DataFrame, holdout: DataFrame, synth: DataFrame, neighbours: int = NEIGHBOURS, approximate: Buckets | None = None,
 ) -> DataFrame:
     """``(label, copy, d_min, d_mean, d_std, d_max)``: one row per audited record, its distances to synthetic rows."""
     sides, _ = encoded_sides({"members": members, "holdout": holdout, "synth": synth}, "synth")
@@ -151,8 +164,8 @@ def membership_features(
         F.count_if(F.col("side") == "members").alias("n_members"),
         F.count_if(F.col("side") == "holdout").alias("n_holdout"),
     ))
-    found = nearest_distances(
-        asked.select("features", (F.col("n_members") + F.col("n_holdout")).alias("n")), points, neighbours
+    found = _distances(
+        asked.select("features", (F.col("n_members") + F.col("n_holdout")).alias("n")), points, neighbours, approximate
     )
     size = F.size("distances")
     mean = F.aggregate("distances", F.lit(0.0), lambda a, x: a + x) / size
@@ -174,11 +187,11 @@ def membership_features(
 
 def membership_inference(
     members: DataFrame, holdout: DataFrame, synth: DataFrame, neighbours: int = NEIGHBOURS,
-    sample_rows: int | None = None, settings: dict | None = None,
+    sample_rows: int | None = None, settings: dict | None = None, approximate: Buckets | None = None,
 ) -> DataFrame:
     """One row: how well distances to the synthetic table tell members from non-members."""
     spark = members.sparkSession
-    rows = membership_features(*(_sampled(t, sample_rows) for t in (members, holdout, synth)), neighbours)
+    rows = membership_features(*(_sampled(t, sample_rows) for t in (members, holdout, synth)), neighbours, approximate)
     marked = cut_lineage(assembled(
         split(rows, ["record", "label", "copy"], 0.3, "label"), ["d_min", "d_mean", "d_std", "d_max"]
     ).select("label", "features", "is_test"))
@@ -207,8 +220,9 @@ def attribute_inference(
 
     A shallow forest learns the column from the synthetic rows and is tested on the real ones.  Without
     ``columns`` all sensitive columns are audited, all columns where none is sensitive; ``limit`` keeps the
-    first few.  A column with more than ``most_classes`` levels is no target of a classifier: its row
-    says so in ``error``, has no figures and does not count in averages.
+    first few.  A column with more than ``most_classes`` levels is attacked by what single levels of the other columns
+    give away (``level_attack``), which needs no list of classes.  A column whose audit fails has the reason in ``error``,
+    no figures, and does not count in averages.
     """
     real, synth = _sampled(real, sample_rows), _sampled(synth, sample_rows)
     common = common_columns(real, synth)
@@ -216,12 +230,18 @@ def attribute_inference(
     both = tagged_union(real, synth, common)
     found = []
     for target in (c for c in chosen if c in common):
+        features = [c for c in common if c != target]
         try:
             classes = class_list(both, target, most_classes)
-        except TooManyClasses as error:
-            found.append((target, None, None, None, None, None, str(error)))
+        except TooManyClasses:
+            try:
+                row = level_attack(real, synth, target, features).first()
+            except PySparkException as error:
+                found.append((target, None, None, None, None, None, str(error).splitlines()[0]))
+                continue
+            vulnerable = row["advantage"] is not None and row["advantage"] > VULNERABLE
+            found.append((target, row["accuracy"], row["baseline_accuracy"], row["advantage"], row["n_classes"], vulnerable, None))
             continue
-        features = [c for c in common if c != target]
         coded = encode_table(both.withColumn("label", label_index(target, classes)), features, ["side", "label"], "zero")
         rows = cut_lineage(assembled(coded, features).select("side", "label", "features"))
         baseline = majority_share(rows.where(F.col("side") == "real"), "label").first()["majority_share"]
@@ -257,7 +277,7 @@ def combined_risk(membership: Column, reidentification: Column, attribute: Colum
 
 def all_attacks(
     real: DataFrame, synth: DataFrame, holdout: DataFrame | None = None, key: list[str] | None = None,
-    sample_rows: int | None = None, order_by: list[str] | None = None,
+    sample_rows: int | None = None, order_by: list[str] | None = None, approximate: Buckets | None = None,
 ) -> DataFrame:
     """One row with the three audits and their combined risk.  Without a holdout, 30 % of the real rows serve."""
     if holdout is None:
@@ -266,11 +286,11 @@ def all_attacks(
         members, holdout = marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
     else:
         members = real
-    mia = membership_inference(members, holdout, synth, sample_rows=sample_rows).select(
+    mia = membership_inference(members, holdout, synth, sample_rows=sample_rows, approximate=approximate).select(
         F.col("attack_auc").alias("mia_auc"), F.col("attack_advantage").alias("mia_advantage"),
         F.col("risk_score").alias("mia_risk"), F.col("risk_level").alias("mia_level"),
     )
-    reid = reidentification(distance_counts(real, synth, sample_rows)).select(
+    reid = reidentification(distance_counts(real, synth, sample_rows, approximate)).select(
         "records_at_risk_pct", F.col("risk_score").alias("reid_risk"), F.col("risk_level").alias("reid_level"),
     )
     attr = attribute_risk(attribute_inference(real, synth, order_by=order_by, sample_rows=sample_rows)).select(

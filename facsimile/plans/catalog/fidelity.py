@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from facsimile.operators import association, freq, moments, relationship, statistical, structural
 from facsimile.operators.columns import tagged_union
-from facsimile.plans.catalog.shared import COLUMNS, NUMBERS, PAIR, TEXTS, melt, pair, table
+from facsimile.plans.catalog.shared import COLUMNS, NUMBERS, PAIR, TEXTS, derived, melt, pair, table
 
 RANKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TARGET = "l_returnflag"
@@ -26,6 +26,16 @@ def ks_p_value(spark, sf):
     return statistical.ks_test(*pair(spark, sf), NUMBERS)
 
 
+SEGMENTS = {"building": ("BUILDING", "s_acctbal"), "machinery": ("MACHINERY", "s_acctbal + 400"), "household": ("HOUSEHOLD", "s_acctbal * CAST(0.5 AS DOUBLE)")}
+FEW_REAL = "SELECT " + ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN c_acctbal END AS {c}" for c, (s, _) in SEGMENTS.items()) + " FROM customer"
+FEW_SYNTH = "SELECT " + ", ".join(f"{e} AS {c}" for c, (_, e) in SEGMENTS.items()) + " FROM supplier"
+
+
+def ks_p_value_exact(spark, sf):
+    """Balances of customers by segment against suppliers: few enough rows for the exact tail."""
+    return statistical.ks_test(derived(spark, sf, FEW_REAL, "customer"), derived(spark, sf, FEW_SYNTH, "supplier"), list(SEGMENTS))
+
+
 def mean_variance(spark, sf):
     return statistical.mean_variance(*pair(spark, sf), NUMBERS)
 
@@ -142,7 +152,7 @@ def column_moments(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        ks_statistic, ks_p_value, mean_variance, chi_square, histogram, category_shares, correlation_delta,
+        ks_statistic, ks_p_value, ks_p_value_exact, mean_variance, chi_square, histogram, category_shares, correlation_delta,
         correlation_error, column_scores, statistical_score, null_rates, constants, domain_overlap, novel_categories,
         cardinality, duplicate_rates, structural_score, structural_warnings, pearson_matrix, spearman_matrix,
         average_ranks, cramers_v, cramers_v_two_by_two, correlation_ratio, target_association, relationship_score,
@@ -259,6 +269,19 @@ _STATUS = "CASE WHEN {0} >= 75 THEN 'passed' WHEN {0} >= 50 THEN 'warning' ELSE
 
 ORACLES = {
     "ks_statistic": f"{_CELLS}, {_KS} SELECT * FROM ks",
+    "ks_p_value_exact": f"""
+        WITH RECURSIVE r AS ({FEW_REAL}), s AS ({FEW_SYNTH}),
+        x AS ({" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, 1 AS a, 0 AS b FROM r WHERE {c} IS NOT NULL UNION ALL SELECT '{c}', {c}, 0, 1 FROM s" for c in SEGMENTS)}),
+        c AS (SELECT "column", sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY "column") AS ta, sum(b) OVER (PARTITION BY "column") AS tb
+              FROM x WINDOW w AS (PARTITION BY "column" ORDER BY value)),
+        k AS (SELECT "column", max(abs(ca::DOUBLE / ta - cb::DOUBLE / tb)) AS d, CAST(least(max(ta), max(tb)) AS BIGINT) AS n, CAST(greatest(max(ta), max(tb)) AS BIGINT) AS m FROM c GROUP BY 1),
+        z AS (SELECT "column", d, n, m, n // gcd(n, m) AS un, m // gcd(n, m) AS um, CAST(round(d * (n // gcd(n, m)) * m) AS BIGINT) AS width FROM k),
+        -- v[i + 1]: share of the lattice paths to (i, step - i) that have left the band
+        p AS (SELECT *, 0::BIGINT AS step, list_transform(range(0, n + 1), lambda i: 0.0::DOUBLE) AS v FROM z
+              UNION ALL SELECT "column", d, n, m, un, um, width, step + 1, list_transform(range(0, n + 1), lambda i:
+                CASE WHEN i > step + 1 OR i < step + 1 - m THEN 0.0::DOUBLE WHEN abs(i * um - (step + 1 - i) * un) >= width THEN 1.0::DOUBLE
+                     ELSE (CASE WHEN i > 0 THEN i * v[i] ELSE 0.0::DOUBLE END + (step + 1 - i) * v[i + 1]) / (step + 1) END) FROM p WHERE step < n + m)
+        SELECT "column", round(d, 6) AS statistic, round(v[n + 1], 6) AS p_value, v[n + 1] > 0.05::DOUBLE AS similar FROM p WHERE step = n + m""",
     "ks_p_value": f"""{_CELLS}, {_KS},
         k0 AS (SELECT "column", max(abs(cr::DOUBLE / tr - cs::DOUBLE / ts)) AS d, max(tr)::DOUBLE * max(ts)::DOUBLE / (max(tr)::DOUBLE + max(ts)::DOUBLE) AS size FROM c GROUP BY 1),
         k1 AS (SELECT "column", d, d * sqrt(size) + 1 / (6 * sqrt(size)) + (d * sqrt(size) - 1) / (4 * size) AS z FROM k0),

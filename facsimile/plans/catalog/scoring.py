@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facsimile.operators import audit, encode, knn, report, scoring, utility
+from facsimile.operators import audit, encode, knn, level_attack, report, scoring, utility
+from facsimile.operators.buckets import Buckets, near_distances
 from facsimile.operators.grades import grade
 from facsimile.plans import generate, quality
 from facsimile.plans.catalog.shared import PAIR, REAL, SEED, derived, pair, table
 from facsimile.session import cut_lineage
 
 MATCHED = ["balance", "nation"]
+DISGUISED_REAL = "SELECT c_name, c_nationkey, c_mktsegment, c_acctbal FROM customer"
+DISGUISED = """
+SELECT CASE WHEN c_custkey % 5 = 0 THEN concat(c_name, '*') ELSE c_name END AS c_name, c_nationkey, c_mktsegment,
+       CASE WHEN c_custkey % 3 = 0 THEN CAST(c_nationkey AS DOUBLE) ELSE c_acctbal END AS c_acctbal
+FROM customer"""
 
 
 def _scored(spark, sf):
@@ -76,6 +82,36 @@ def nearest_vectors(spark, sf):
     return joined.select("vec_id", *[F.round(F.col("distances")[i], 6).alias(f"d{i + 1}") for i in range(5)])
 
 
+NEAR = Buckets(tables=10, signs=12, leaf_rows=128)
+
+
+def near_vectors(spark, sf):
+    """Approximate neighbours by projection buckets; the SQL repeats the directions and the buckets."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    points = knn.grouped_vectors(vectors, F.col("features"))
+    joined = vectors.join(near_distances(points, points, 5, NEAR), "features")
+    return joined.select("vec_id", *[F.round(F.col("distances")[i], 6).alias(f"d{i + 1}") for i in range(5)])
+
+
+def _disguised(spark, sf):
+    """Customers, and a synthetic counterpart: every third has another balance, every fifth another customer's name."""
+    return derived(spark, sf, DISGUISED_REAL, "customer"), derived(spark, sf, DISGUISED, "customer")
+
+
+def attribute_inference_wide(spark, sf):
+    """Targets with as many classes as rows: no list of classes, no classifier."""
+    real, synth = _disguised(spark, sf)
+    found = audit.attribute_inference(real, synth, ["c_name", "c_acctbal"], most_classes=20)
+    return found.select("column", "accuracy", "baseline_accuracy", "advantage", "n_classes", "vulnerable")
+
+
+def level_guesses(spark, sf):
+    """What the attack believes of every real customer."""
+    real, synth = _disguised(spark, sf)
+    told = level_attack.guesses(real, synth, "c_name", ["c_nationkey", "c_mktsegment", "c_acctbal"])
+    return told.select("class", "n", "guess")
+
+
 def reidentification_risk(spark, sf):
     return audit.reidentification(audit.distance_counts(*_matched(spark, sf)))
 
@@ -160,7 +196,7 @@ def executive_summary(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         confusion_table, macro_scores, auc_exact, auc_by_language, roc_curve, majority_baseline, feature_encoding,
-        dictionary_codes, exact_collisions, nearest_vectors, reidentification_risk, distance_histogram,
+        dictionary_codes, exact_collisions, nearest_vectors, near_vectors, attribute_inference_wide, level_guesses, reidentification_risk, distance_histogram,
         membership_features, membership_inference, attribute_inference, tstr_random_forest, tstr_gradient_boosting,
         quality_summary, fidelity_verdict, attribute_risk, combined_risk, executive_summary,
     )
@@ -188,7 +224,45 @@ _DISTANCES = f"""WITH {_SCALE}, {_R}, {_S},
     w AS (SELECT x.i, {_DIST} AS d, row_number() OVER (PARTITION BY x.i ORDER BY {_DIST}) AS place FROM r x CROSS JOIN r y),
     n AS (SELECT i, d FROM w WHERE place = 2)"""
 
+def _level_attack(target, features):
+    """SQL: the guesses of the attack on one column of the disguised customers, and its figures."""
+    cells = lambda source, lead: " UNION ALL ".join(
+        f"SELECT {lead}, {i} AS place, coalesce(CAST({c} AS VARCHAR), 'nan') AS level FROM {source}" for i, c in enumerate(features))
+    return f"""
+        n AS (SELECT place, level, guess, count(*) AS n FROM ({cells('s', f'CAST({target} AS VARCHAR) AS guess')}) GROUP BY ALL),
+        b AS (SELECT place, level, sum(n) AS support, arg_min(guess, (-n, guess)) AS guess, max(n)::DOUBLE / sum(n) AS share FROM n GROUP BY ALL),
+        q AS (SELECT row_number() OVER () AS id, * FROM r),
+        a AS (SELECT id, place, level FROM ({cells('q', 'id')})),
+        g AS (SELECT id, arg_max(guess, (share, support, -place)) AS guess FROM a JOIN b USING (place, level) GROUP BY id),
+        u AS (SELECT CAST({target} AS VARCHAR) AS usual FROM s GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+        t AS (SELECT id, CAST({target} AS VARCHAR) AS class, coalesce(guess, usual) AS guess FROM q LEFT JOIN g USING (id) CROSS JOIN u)"""
+
+
+def _level_figures(target, features):
+    return f"""SELECT * FROM (WITH r AS ({DISGUISED_REAL}), s AS ({DISGUISED}), {_level_attack(target, features)},
+        f AS (SELECT round(count(*) FILTER (class = guess) / count(*)::DOUBLE, 4) AS accuracy,
+                     (SELECT round(max(n) / sum(n)::DOUBLE, 4) FROM (SELECT count(*) AS n FROM t GROUP BY class)) AS baseline_accuracy FROM t)
+        SELECT '{target}' AS "column", accuracy, baseline_accuracy, round(greatest(0, accuracy - baseline_accuracy), 4) AS advantage,
+               (SELECT count(*) FROM (SELECT class FROM t UNION SELECT CAST({target} AS VARCHAR) FROM s)) AS n_classes,
+               round(greatest(0, accuracy - baseline_accuracy), 4) > 0.15 AS vulnerable FROM f)"""
+
+
 ORACLES = {
+    "attribute_inference_wide": _level_figures("c_name", ["c_nationkey", "c_mktsegment", "c_acctbal"]) + " UNION ALL "
+    + _level_figures("c_acctbal", ["c_name", "c_nationkey", "c_mktsegment"]),
+    "level_guesses": f"WITH r AS ({DISGUISED_REAL}), s AS ({DISGUISED}), {_level_attack('c_name', ['c_nationkey', 'c_mktsegment', 'c_acctbal'])} SELECT class, count(*) AS n, any_value(guess) AS guess FROM t GROUP BY class, guess",
+    "near_vectors": f"""
+        WITH g AS (SELECT DISTINCT embedding::DOUBLE[] AS e FROM embeddings), w AS (SELECT max(len(e)) AS w FROM g),
+        m AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, round(avg(e[i + 1]), 9) AS a FROM g, w, range(0, 64) t(i) WHERE i < w GROUP BY i)),
+        l AS (SELECT t, s, list(CASE WHEN instr('13579bdf', substr(md5('{NEAR.seed}|' || t || '|' || s || '|' || c), 1, 1)) > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY c) AS line
+              FROM w, range(0, {NEAR.tables}) x(t), range(0, {NEAR.signs}) y(s), range(0, 64) z(c) WHERE c < w GROUP BY t, s),
+        k AS (SELECT e, t, string_agg(CASE WHEN round(list_dot_product(e, line) - list_dot_product(m, line), 9) >= 0 THEN '1' ELSE '0' END, '' ORDER BY s) AS code
+              FROM g, m, l GROUP BY e, t),
+        p AS (SELECT e, t, n, code[1:n] AS bucket, count(*) OVER (PARTITION BY t, n, code[1:n]) AS held FROM k, range(0, {NEAR.signs} + 1) r(n)),
+        b AS (SELECT e, t, arg_min(bucket, n) AS bucket FROM p WHERE held <= {NEAR.leaf_rows} GROUP BY e, t),
+        d AS (SELECT DISTINCT x.e, y.e AS o, list_distance(x.e, y.e) AS d FROM b x JOIN b y USING (t, bucket)),
+        h AS (SELECT e, list(d ORDER BY d) AS d FROM d GROUP BY e)
+        SELECT vec_id, """ + ", ".join(f"round(d[{i}], 6) AS d{i}" for i in range(1, 6)) + " FROM embeddings JOIN h ON h.e = embeddings.embedding::DOUBLE[]",
     "confusion_table": f"SELECT quality AS label, CASE WHEN score > 500 THEN 1 ELSE 0 END AS prediction, count(*) AS n FROM {_LABELLED} GROUP BY 1, 2",
     "macro_scores": f"""
         WITH p AS (SELECT quality AS y, CASE WHEN score > 3000 THEN 2 WHEN score > 500 THEN 1 ELSE 0 END AS g FROM {_LABELLED}),
