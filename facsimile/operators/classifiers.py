@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.operators import softmax
 from facsimile.operators.scoring import auc_from_totals, confusion, macro_scores, roc_points, score_totals
 
 # Sizes of the published models
@@ -43,16 +44,20 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def train(df: DataFrame, model: str, classes: int, settings: dict | None = None):
-    """Fit on ``(features, label)``.  Boosting is binary in Spark, so more classes go one against the rest."""
+    """Fit on ``(features, label)``.  Boosting is binary in Spark ML, so more classes go by ``softmax``."""
     if model == "GradientBoosting":
-        booster = GBTClassifier(seed=SEED, **(settings or BOOSTING))
-        return (booster if classes <= 2 else OneVsRest(classifier=booster)).fit(df)
+        chosen = settings or BOOSTING
+        if classes > 2:
+            return softmax.fit(df, classes, chosen.get("maxIter", BOOSTING["maxIter"]), chosen.get("maxDepth", BOOSTING["maxDepth"]), SEED)
+        return GBTClassifier(seed=SEED, **chosen).fit(df)
     return RandomForestClassifier(seed=SEED, **(settings or FOREST)).fit(df)
 
 
 def predictions(model, df: DataFrame) -> DataFrame:
     """``(label, prediction, scores)``: one score per class."""
     found = model.transform(df)
+    if isinstance(model, softmax.SoftmaxModel):
+        return found.select("label", "prediction", F.col("probability").alias("scores"))
     scores = "probability" if "probability" in found.columns else "rawPrediction"
     return found.select("label", "prediction", vector_to_array(scores).alias("scores"))
 
@@ -83,10 +88,7 @@ def roc_curve(found: DataFrame) -> DataFrame:
 
 
 def top_importances(model, features: list[str]) -> list[tuple[str, float]]:
-    """The ten most important features; averaged over the parts of a one-against-rest model."""
-    if hasattr(model, "featureImportances"):
-        weights = model.featureImportances.toArray()
-    else:
-        weights = sum(m.featureImportances.toArray() for m in model.models) / len(model.models)
+    """The ten most important features."""
+    weights = model.featureImportances.toArray()
     ranked = sorted(zip(features, weights), key=lambda fw: -fw[1])
     return [(f, round(float(w), 4)) for f, w in ranked[:TOP_FEATURES]]

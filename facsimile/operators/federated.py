@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facsimile.functions import rng
 from facsimile.operators import model as models
@@ -112,9 +113,9 @@ def noisy_correlation(merged: DataFrame, sigma: float, seed) -> DataFrame:
 
 def federated_fit(
     df: DataFrame, epsilon: float = 1.0, delta: float = 1e-5, apply_noise: bool = True, seed=None,
-    order_by: list[str] | None = None, strict: bool = False,
+    order_by: list[str] | None = None, strict: bool = False, pool_size: int | None = None,
 ) -> models.Model:
-    """The merged model of all sites.  Text pools hold real strings of the sites, as in a single fit."""
+    """The merged model of all sites.  Text pools hold real strings of the sites, as in a single fit, all unless ``pool_size`` is given."""
     df = missing_as_null(df)
     sites = site_list(df)
     if sites.limit(2).count() < 2:
@@ -128,11 +129,14 @@ def federated_fit(
     params = {
         c: {
             "column": c, "position": i, "kind": found[c], "data_type": types[c].simpleString(),
-            "is_integer": kinds(data)[c] == "integer", "with_time": True,
+            "is_integer": kinds(data)[c] == "integer", "with_time": False,
         }
         for i, c in enumerate(data.columns)
     }
 
+    for c, timed in models.clock_columns(data, [c for c in of("datetime") if isinstance(types[c], T.StringType)], order_by).items():
+        params[c]["with_time"] = timed
+
     def take(rows: DataFrame) -> None:
         for row in rows.collect():
             params[row["column"]].update(row.asDict())
@@ -155,9 +159,7 @@ def federated_fit(
     if of("categorical"):
         probs = merge_categorical(models.fit_categorical(df, of("categorical"), [SITE]), sites)
         probs = noisy_categorical(probs, sigma, seed) if sigma else probs
-    pools = {
-        c: [r["value"] for r in models.text_pool(data, c, order_by).orderBy("place").collect()] for c in of("text")
-    }
+    pools = {c: models.text_pool(data, c, order_by, pool_size) for c in of("text")}
     return models.Model([params[c] for c in data.columns], probs, pools, corr)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from facsimile.operators.facts import collect_facts
 from facsimile.operators.freq import row_digest, value_counts
 from facsimile.operators.moments import correlations, numeric_moments
 from facsimile.operators.roles import identifier_columns, semantic_type
-from facsimile.session import local_rows
+from facsimile.session import cut_lineage, local_rows
 
 # Words read as true, fallback spreads, size of the text pool
 TRUE_WORDS = ["true", "yes", "1", "t", "y"]
@@ -36,12 +36,12 @@ PARAMS_SCHEMA = (
 @dataclass
 class Model:
     """A fitted table.  ``params`` is one row per column (on the driver, in table order), ``probs`` the
-    ``(column, category, p)`` table of categorical columns, ``pools`` the bounded text samples and
+    ``(column, category, p)`` table of categorical columns, ``pools`` the ``(place, value)`` texts of text columns and
     ``corr`` the ``(col_i, col_j) -> r`` pairs of numeric and datetime columns."""
 
     params: list[dict]
     probs: DataFrame | None
-    pools: dict[str, list[str]] = field(default_factory=dict)
+    pools: dict[str, DataFrame] = field(default_factory=dict)
     corr: dict[tuple[str, str], float] = field(default_factory=dict)
 
     @property
@@ -154,32 +154,44 @@ def fit_categorical(df: DataFrame, columns: list[str], by: list[str] | None = No
     )
 
 
-def text_pool(df: DataFrame, column: str, order_by: list[str] | None = None, size: int = TEXT_POOL) -> DataFrame:
-    """``(place, value)``: the first distinct texts in row order, verbatim.
+def text_pool(df: DataFrame, column: str, order_by: list[str] | None = None, size: int | None = TEXT_POOL) -> DataFrame:
+    """``(place, value)``: the distinct texts by their first row, verbatim, numbered from 1.
 
-    The pool releases real strings.  It is read from a growing head of the table: text columns are
-    mostly distinct by definition, so the first thousand rows nearly always hold enough.
+    ``size`` keeps the first ones only, a distributed top-k; None keeps all.  The pool releases real strings.
     """
     keys = [F.col(c) for c in order_by] if order_by else [row_digest(df)]
     rows = df.where(F.col(column).isNotNull()).select(F.struct(*keys).alias("row_order"), F.col(column).alias("value"))
-    first = lambda part: part.groupBy("value").agg(F.min("row_order").alias("row_order")).orderBy("row_order").limit(size)
-    head = 10 * size
-    while head <= 1000 * size:
-        pool = first(rows.orderBy("row_order").limit(head))
-        if pool.count() == size:
-            break
-        if rows.limit(head + 1).count() <= head:
-            break
-        head *= 10
-    else:
-        pool = first(rows)
+    first = rows.groupBy("value").agg(F.min("row_order").alias("row_order"))
+    if size is None:
+        return numbered(first, ["row_order", "value"]).select("place", "value")
     ordered = F.array_sort(F.collect_list(F.struct("row_order", "value")))
     # at most ``size`` rows reach this aggregate
-    return pool.agg(ordered.alias("items")).select(F.posexplode("items")).select(
+    return first.orderBy("row_order", "value").limit(size).agg(ordered.alias("items")).select(F.posexplode("items")).select(
         (F.col("pos") + 1).alias("place"), F.col("col")["value"].alias("value")
     )
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``place``, its number from 1 in ``order``: sorted by ranges, then each range's rows are
+    counted and numbered on from the ranges before.  No task sees more than its range."""
+    inside = (1 << 33) - 1  # monotonic ids are a partition's number, then 33 bits within it
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = sizes.select("_part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_offset"))
+    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(
+        "place", F.col("_offset") + F.col("_row").bitwiseAND(F.lit(inside)) + 1).drop("_part", "_row", "_offset")
+
+
+def clock_columns(df: DataFrame, columns: list[str], order_by: list[str] | None = None) -> dict[str, bool]:
+    """Whether string dates keep their clock time: if the first value in the stated order has one; without an order, if any has."""
+    if not columns:
+        return {}
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order_by, c))) if order_by else F.max(F.when(F.contains(c, F.lit(" ")), F.col(c)))
+    return df.agg(*[F.coalesce(F.contains(first(c), F.lit(" ")), F.lit(False)).alias(c) for c in columns]).first().asDict()
+
+
 def text_frequencies(df: DataFrame, column: str, size: int = TEXT_FREQUENCIES) -> DataFrame:
     """``(category, p)`` of the most common texts, ties by text."""
     counts = value_counts(df, [column])
@@ -199,12 +211,12 @@ def fit_correlation(df: DataFrame, columns: list[str], by: list[str] | None = No
 
 def fit(
     df: DataFrame, order_by: list[str] | None = None, keep: tuple[str, ...] = (),
-    known_kinds: dict[str, str] | None = None, pool_size: int = TEXT_POOL, sampled: bool = False,
+    known_kinds: dict[str, str] | None = None, pool_size: int | None = None, sampled: bool = False,
 ) -> Model:
     """Fit every column of ``df``.  Only parameters, one row per column or pair, reach the driver.
 
-    ``pool_size`` real strings at most are kept of each text column; ``sampled`` decides kinds on the
-    published number of first values.
+    Text columns are drawn from all their real strings; ``pool_size`` keeps the first ones only (published: TEXT_POOL).
+    ``sampled`` decides kinds on the published number of first values.
     """
     df = missing_as_null(df)
     spark = df.sparkSession
@@ -236,18 +248,12 @@ def fit(
     if of("constant"):
         take(fit_constant(df, of("constant")))
     stamped = [c for c in of("datetime") if isinstance(types[c], T.StringType)]
-    if stamped:
-        # a string date keeps its clock time if its first value in the stated order has one; without an order, if any has
-        first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order_by, c))) if order_by else F.max(F.when(F.contains(c, F.lit(" ")), F.col(c)))
-        wide = df.agg(*[F.coalesce(F.contains(first(c), F.lit(" ")), F.lit(False)).alias(c) for c in stamped]).first()
-        for c in stamped:
-            params[c]["with_time"] = bool(wide[c])
+    for c, timed in clock_columns(df, stamped, order_by).items():
+        params[c]["with_time"] = timed
     corr = {}
     if len(spread) > 1:
         corr = {(r["col_i"], r["col_j"]): r["r"] for r in fit_correlation(df, spread).collect()}
-    pools = {
-        c: [r["value"] for r in text_pool(df, c, order_by, pool_size).orderBy("place").collect()] for c in of("text")
-    }
+    pools = {c: text_pool(df, c, order_by, pool_size) for c in of("text")}
     probs = fit_categorical(df, of("categorical")) if of("categorical") else None
     return Model([params[c] for c in names], probs, pools, corr)
 

@@ -84,11 +84,17 @@ def constant_draw(param: dict) -> Column:
     return F.lit(param.get("constant")).cast(param["data_type"])
 
 
-def text_draw(param: dict, pool: list[str], seed) -> Column:
-    """Uniform over the pool of at most a hundred real strings, released verbatim."""
-    pool = pool or [""]
-    place = F.floor(rng.uniform(seed, f"text:{param['column']}", ROW) * F.lit(len(pool))).cast("int")
-    return F.get(F.array(*[F.lit(v) for v in pool]), place)
+def joined_text_draw(rows: DataFrame, name: str, pool: DataFrame | None, seed) -> DataFrame:
+    """Uniform over the numbered texts of a pool of any size, released verbatim; an empty text where there is none.
+
+    Rows meet their text by its number.  Numbers are drawn uniformly, so no text is a hot key of the join.
+    """
+    size = pool.count() if pool is not None else 0
+    if not size:
+        return rows.withColumn(name, F.lit(""))
+    texts = pool.select(F.col("place").cast("long").alias("_place"), F.col("value").alias(name))
+    drawn = rows.withColumn("_place", F.floor(rng.uniform(seed, f"text:{name}", ROW) * F.lit(size)).cast("long") + 1)
+    return drawn.join(texts, "_place").drop("_place")
 
 
 def inline_category_draw(name: str, levels: list[tuple[str, float]], seed) -> Column:
@@ -156,6 +162,8 @@ def sample(model: Model, spark: SparkSession, num_rows: int, seed=None, keep_row
     by_name = {p["column"]: p for p in model.params}
     for name in large:
         rows = joined_category_draw(rows, name, model.probs.where(F.col("column") == name), seed)
+    for p in model.of_kind("text"):
+        rows = joined_text_draw(rows, p["column"], model.pools.get(p["column"]), seed)
     spread = [p["column"] for p in model.of_kind("numeric", "datetime")]
     if spread:
         rows = with_draws(rows, spread, seed)
@@ -171,8 +179,6 @@ def sample(model: Model, spark: SparkSession, num_rows: int, seed=None, keep_row
             return boolean_draw(p, seed)
         if kind == "constant":
             return constant_draw(p)
-        if kind == "text":
-            return text_draw(p, model.pools.get(name, []), seed)
         if name in levels:
             return inline_category_draw(name, levels[name] or [("", 1.0)], seed).cast(p["data_type"])
         return F.col(name).cast(p["data_type"])

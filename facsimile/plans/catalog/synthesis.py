@@ -61,6 +61,11 @@ def text_pool(spark, sf):
     return models.text_pool(table(spark, sf, "documents"), "text", ["doc_id"])
 
 
+def text_pool_whole(spark, sf):
+    """All texts of the corpus, numbered by their first document."""
+    return models.text_pool(table(spark, sf, "documents"), "text", ["doc_id"], None)
+
+
 def text_frequencies(spark, sf):
     found = models.text_frequencies(table(spark, sf, "conversations"), "text")
     return found.withColumn("p", F.round("p", 6))
@@ -86,7 +91,7 @@ def sample_boolean_text(spark, sf):
     mixed = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select("doc_id", "quality", "text")
     kinds = {"quality": "boolean", "text": "text"}
     fitted = models.fit(mixed.drop("doc_id"), known_kinds=kinds)
-    fitted.pools = {"text": [r["value"] for r in models.text_pool(mixed, "text", ["doc_id"]).orderBy("place").collect()]}
+    fitted.pools = {"text": models.text_pool(mixed, "text", ["doc_id"], None)}
     return draws.sample(fitted, spark, mixed.count(), SEED, keep_row_id=True)
 
 
@@ -114,7 +119,7 @@ def model_parameters(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        missing_rates, fit_numeric, fit_datetime, fit_categorical, fit_boolean, fit_constant, fit_correlation, text_pool,
+        missing_rates, fit_numeric, fit_datetime, fit_categorical, fit_boolean, fit_constant, fit_correlation, text_pool, text_pool_whole,
         text_frequencies, sample_correlated, sample_categorical, sample_boolean_text, sample_large_domain, inject_nulls,
         generate_table, model_parameters,
     )
@@ -158,6 +163,8 @@ ORACLES = {
     "text_pool": """
         SELECT CAST(row_number() OVER (ORDER BY first_id) AS INTEGER) AS place, text AS value FROM
         (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY text ORDER BY first_id LIMIT 100)""",
+    "text_pool_whole": """
+        SELECT row_number() OVER (ORDER BY first_id) AS place, text AS value FROM (SELECT text, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text)""",
     "text_frequencies": """
         SELECT text AS category, round(count(*)::DOUBLE / (SELECT count(text) FROM conversations), 6) AS p
         FROM conversations GROUP BY text ORDER BY count(*) DESC, text LIMIT 50""",
@@ -184,7 +191,7 @@ ORACLES = {
         JOIN a ON u0 >= a.low AND u0 < a.high JOIN b ON u1 >= b.low AND u1 < b.high""",
     "sample_boolean_text": f"""
         WITH j AS (SELECT doc_id, quality, text FROM labels JOIN documents USING (doc_id)),
-        f AS (SELECT list(text ORDER BY first_id) AS pool FROM (SELECT text, min(doc_id) AS first_id FROM j GROUP BY text ORDER BY first_id LIMIT 100)),
+        f AS (SELECT list(text ORDER BY first_id) AS pool FROM (SELECT text, min(doc_id) AS first_id FROM j GROUP BY text)),
         p AS (SELECT avg(quality::DOUBLE) AS p FROM j)
         SELECT i AS row_id, CASE WHEN {uniform(SEED, 'boolean:quality', 'i')} < p THEN 1 ELSE 0 END AS quality,
                pool[1 + CAST(floor({uniform(SEED, 'text:text', 'i')} * len(pool)) AS INTEGER)] AS text

@@ -122,4 +122,5 @@ def test_text_pool_size_of_a_fit(spark):
     from facsimile.operators.model import fit
 
     df = spark.createDataFrame([(i, f"a sentence long enough to be text, number {i}, " + "and so on " * 5) for i in range(300)], "n int, t string")
-    assert len(fit(df, ["n"], known_kinds={"n": "numeric", "t": "text"}, pool_size=150).pools["t"]) == 150
+    assert len(fit(df, ["n"], known_kinds={"n": "numeric", "t": "text"}, pool_size=150).pools["t"].collect()) == 150
+    assert fit(df, ["n"], known_kinds={"n": "numeric", "t": "text"}).pools["t"].count() == 300

@@ -86,6 +86,22 @@ def test_text_pool_of_few_distinct_values(spark):
     assert [r["value"] for r in models.text_pool(df, "t", ["k"]).orderBy("place").collect()] == ["t0", "t1", "t2", "t3"]
 
 
+def test_whole_text_pool_is_numbered_across_ranges(spark):
+    df = spark.createDataFrame([(i, f"t{(i * 7) % 900}") for i in range(3000)] + [(5000, None)], "k int, t string").repartition(7)
+    pool = {r["place"]: r["value"] for r in models.text_pool(df, "t", ["k"], None).collect()}
+    assert pool == {i + 1: f"t{(i * 7) % 900}" for i in range(900)}
+    assert models.text_pool(df.limit(0), "t", ["k"], None).count() == 0
+
+
+def test_texts_are_drawn_from_the_whole_pool(spark):
+    df = spark.createDataFrame([(f"sentence {i}",) for i in range(400)] + [("often",)] * 400, "t string")
+    drawn = draws.sample(models.fit(df, known_kinds={"t": "text"}), spark, 4000, 3, keep_row_id=True)
+    assert drawn.count() == 4000 == drawn.select("row_id").distinct().count()
+    seen = {r["t"]: r["count"] for r in drawn.groupBy("t").count().collect()}
+    assert len(seen) > 395 and seen["often"] < 40 and drawn.join(df, "t", "left_anti").count() == 0
+    assert {r["t"] for r in draws.sample(models.fit(df.limit(0), known_kinds={"t": "text"}), spark, 3, 3).collect()} == {""}
+
+
 def test_not_positive_definite_falls_back_to_independent():
     bad = {("a", "b"): 0.9, ("a", "c"): -0.9, ("b", "c"): 0.9}
     assert (draws.correlation_factor(["a", "b", "c"], bad) == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]).all()
