@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from facsimile.operators.encode import text_level
 from facsimile.operators.freq import row_digest
+from facsimile.session import cut_lineage
 
 
 def best_levels(synth: DataFrame, target: str, features: list[str]) -> DataFrame:
@@ -28,7 +29,8 @@ def guesses(rows: DataFrame, synth: DataFrame, target: str, features: list[str])
 
     Of several levels the one with the largest share wins, then the largest support, then the first feature.
     """
-    known = best_levels(synth, target, features)
+    # written before it is joined: a level that most rows have is then split over tasks, or the table broadcast by its size
+    known = cut_lineage(best_levels(synth, target, features))
     common = synth.groupBy(text_level(target).alias("class")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "class").limit(1)
     levels = rows.select(text_level(target).alias("class"), *[text_level(c).alias(c) for c in features])
     counted = levels.withColumn("id", row_digest(levels, features)).groupBy("class", "id", *features).agg(F.count(F.lit(1)).alias("n"))
