@@ -20,7 +20,7 @@ from facsimile.operators.freq import value_counts
 from facsimile.operators.prefix import running_totals, text_bounds, text_range
 from facsimile.operators.quantiles import quantiles
 from facsimile.operators.sample import INLINE_DOMAIN
-from facsimile.session import local_rows
+from facsimile.session import cut_lineage, local_rows
 
 
 @dataclass(frozen=True)
@@ -133,6 +133,18 @@ def numbered_domain(real: DataFrame, name: str) -> DataFrame:
     return placed.select("value", F.col("one_before").alias("place"))
 
 
+def respond(df: DataFrame, real: DataFrame, name: str, epsilon: float, seed, key: list[str]) -> DataFrame:
+    """``df`` with randomised responses in ``name`` over the levels of ``real``, in text order.
+
+    One job lists the levels up to INLINE_DOMAIN; a larger domain is numbered and joined.  Both give the same rows.
+    """
+    levels = [r["value"] for r in value_counts(real, [name]).select("value").limit(INLINE_DOMAIN + 1).collect()]
+    if len(levels) <= INLINE_DOMAIN:
+        return df.withColumn(name, randomized_response(F.col(name), name, sorted(levels), epsilon, seed, key))
+    domain = cut_lineage(numbered_domain(real, name))
+    return randomized_response_joined(df, name, domain, domain.count(), epsilon, seed, key)
+
+
 def protect(
     df: DataFrame, real: DataFrame, params: PrivacyParams, key: list[str], target: str | None = None, seed=None,
 ) -> tuple[DataFrame, DataFrame]:

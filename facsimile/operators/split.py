@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facsimile.functions import rng
+from facsimile.session import cut_lineage
 
 # Bound of audit samples, seed of the published splits
 AUDIT_SAMPLE = 5000
@@ -31,9 +32,9 @@ def split(
     """``df`` with ``is_test``: ceil(fraction x n) rows, of the table or of each stratum.
 
     The cut is found from counts in equal cells of the draw, then in equal cells of the one cell that
-    holds it; only rows of the last such cell, one in _CELLS ** _LEVELS, are ranked.  No stratum is ever
+    holds it; only keys of the last such cell, one in _CELLS ** _LEVELS, are ranked.  No stratum is ever
     sorted as a whole, however large.  Rows that share a key share a draw and fall on one side
-    together, so the count is exact when ``key`` is unique.
+    together, but for those of the key at the cut, which are divided so that the count is exact.
     """
     stratum = F.coalesce(F.col(stratify).cast("string"), F.lit("\0")) if stratify else F.lit("all")
     drawn = df.withColumn("_stratum", stratum).withColumn("_u", rng.uniform(seed, "split", *key))
@@ -52,8 +53,26 @@ def split(
         )
         rows = rows.drop("need").join(edges, ["_stratum", "_cell"])
     place = F.struct("_u", *key)
-    near = rows.select("_stratum", "need", place.alias("_cut"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("_stratum").orderBy("_cut")))
-    cuts = ranked.where(F.col("rank") == F.col("need")).select("_stratum", "_cut")
-    marked = drawn.join(cuts, "_stratum", "left")
-    return marked.select(*df.columns, F.coalesce(place <= F.col("_cut"), F.lit(False)).alias("is_test"))
+    # rows of one key are one row here: a key that fills a third of the table is no large window
+    near = rows.groupBy("_stratum", "need", place.alias("_cut")).agg(F.count(F.lit(1)).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("_stratum").orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0))
+    runs = near.withColumn("upto", so_far).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
+    cuts = cut_lineage(runs.select("_stratum", "_cut", "n", (F.col("need") - F.col("upto") + F.col("n")).alias("_rest")))
+    marked = drawn.join(cuts.select("_stratum", "_cut", "_rest"), "_stratum", "left")
+    if not cuts.where(F.col("_rest") < F.col("n")).limit(1).count():
+        return marked.select(*df.columns, F.coalesce(place <= F.col("_cut"), F.lit(False)).alias("is_test"))
+    at = F.coalesce(place == F.col("_cut"), F.lit(False))
+    sure = marked.where(~at).select(*df.columns, F.coalesce(place < F.col("_cut"), F.lit(False)).alias("is_test"))
+    return sure.unionByName(_divided(marked.where(at), df.columns))
+
+
+def _divided(run: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the key at the cut, the first ``_rest`` of each stratum for the test: counted by task, numbered
+    within it, and carried on from the tasks before."""
+    kept = cut_lineage(run.select(*columns, "_stratum", "_rest", F.monotonically_increasing_id().alias("_row"))).withColumn("_task", F.shiftright("_row", 33))
+    counts = kept.groupBy("_stratum", "_task").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_stratum").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_stratum").alias("_s"), F.col("_task").alias("_t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_stratum", "_task").orderBy("_row"))
+    numbered = kept.withColumn("_at", inside).join(offsets, (F.col("_stratum") == F.col("_s")) & (F.col("_task") == F.col("_t")))
+    return numbered.select(*columns, (F.col("_before") + F.col("_at") <= F.col("_rest")).alias("is_test"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from facsimile.operators import accounting, mechanisms
 from facsimile.plans.catalog.shared import SEED, laplace, normal, table, uniform
-from facsimile.session import cut_lineage
 
 EPSILON, DELTA, BUDGET = 1.0, 1e-5, 2.0
 ANSWER_EPSILON = 1.5
@@ -28,15 +27,13 @@ def gaussian_column(spark, sf):
 
 def randomized_response(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"))
-    domain = cut_lineage(mechanisms.numbered_domain(orders, "priority"))
-    answered = mechanisms.randomized_response_joined(orders, "priority", domain, domain.count(), ANSWER_EPSILON, SEED, ["o_orderkey"])
+    answered = mechanisms.respond(orders, orders, "priority", ANSWER_EPSILON, SEED, ["o_orderkey"])
     return answered.select("o_orderkey", F.col("priority").alias("answer"))
 
 
 def randomized_response_large(spark, sf):
     customer = table(spark, sf, "customer").select("c_custkey", "c_name")
-    domain = cut_lineage(mechanisms.numbered_domain(customer, "c_name"))
-    return mechanisms.randomized_response_joined(customer, "c_name", domain, domain.count(), 6.0, SEED, ["c_custkey"])
+    return mechanisms.respond(customer, customer, "c_name", 6.0, SEED, ["c_custkey"])
 
 
 def column_sensitivity(spark, sf):

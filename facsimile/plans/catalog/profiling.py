@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from facsimile.functions import masking
+from facsimile.functions import rng
 from facsimile.operators import facts, profile, roles
 from facsimile.operators.columns import coerce
 from facsimile.operators.freq import distinct_counts, duplicate_counts, value_counts
@@ -158,6 +159,15 @@ def split_plain(spark, sf):
     return split(table(spark, sf, "customer"), ["c_custkey"], 0.2).select("c_custkey", "is_test")
 
 
+def split_repeated(spark, sf):
+    """Lines split by their order, which several lines share: exact numbers of each flag, and where the cut lies."""
+    marked = split(table(spark, sf, "lineitem"), ["l_orderkey"], 0.3, "l_returnflag")
+    draw = rng.uniform(42, "split", "l_orderkey")
+    return marked.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"), F.round(F.max(F.when(F.col("is_test"), draw)), 12).alias("last_test"),
+        F.round(F.min(F.when(~F.col("is_test"), draw)), 12).alias("first_train"))
+
+
 def drop_missing(spark, sf):
     return _real(spark, sf).na.drop(subset=["l_tax"]).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
 
@@ -168,7 +178,7 @@ QUERIES = {
         profile_duplicates, profile_columns, value_frequencies, sample_values, ingest_stats, column_facts,
         roles_customer, roles_orders, roles_events, roles_labels, drop_identifiers, coerce_types, mask_column,
         record_hashes, redact_columns, table_fingerprint, json_safe_cells, preview_rows, latest_run,
-        sample_bounded, split_stratified, split_plain, drop_missing,
+        sample_bounded, split_stratified, split_repeated, split_plain, drop_missing,
     )
 }
 
@@ -328,6 +338,11 @@ ORACLES = {
         SELECT o_orderkey, o_orderpriority,
                row_number() OVER (PARTITION BY o_orderpriority ORDER BY {uniform(42, 'split', 'o_orderkey')}, o_orderkey)
                <= ceil(0.3::DOUBLE * count(*) OVER (PARTITION BY o_orderpriority)) AS is_test FROM orders""",
+    "split_repeated": f"""
+        WITH u AS (SELECT l_returnflag, {uniform(42, 'split', 'l_orderkey')} AS u FROM lineitem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY u) <= ceil(0.3::DOUBLE * count(*) OVER (PARTITION BY l_returnflag)) AS is_test FROM u)
+        SELECT l_returnflag, count(*) AS n, count(*) FILTER (is_test) AS n_test, round(max(u) FILTER (is_test), 12) AS last_test, round(min(u) FILTER (NOT is_test), 12) AS first_train
+        FROM r GROUP BY l_returnflag""",
     "split_plain": f"""
         SELECT c_custkey, row_number() OVER (ORDER BY {uniform(42, 'split', 'c_custkey')}, c_custkey)
                <= ceil(0.2::DOUBLE * count(*) OVER ()) AS is_test FROM customer""",

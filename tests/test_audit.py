@@ -175,3 +175,15 @@ def test_one_far_query_does_not_send_all_points(spark, monkeypatch):
         assert np.allclose(got[q], want, atol=1e-9)
     # the far query may meet every point, the others their neighbourhood
     assert sum(pairs) < len(points) + len(asked) * len(points) / 4
+
+
+def test_split_divides_the_rows_of_the_key_at_the_cut(spark):
+    rows = [(1, "a", k) for k in range(900)] + [(k, "a", k) for k in range(2, 102)] + [(None, "b", k) for k in range(7)] + [(5, None, 1)] * 3
+    df = spark.createDataFrame(rows, "k int, s string, v int").repartition(6)
+    marked = split(df, ["k"], 0.3, "s")
+    counts = {r["s"]: (r["n"], r["t"]) for r in marked.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert counts == {"a": (1000, 300), "b": (7, 3), None: (3, 1)}
+    assert marked.drop("is_test").exceptAll(df).count() == 0 and marked.count() == 1010
+    # other keys stay on one side
+    both = marked.where("s = 'a' and k <> 1").groupBy("k").agg(F.count_distinct("is_test").alias("sides"))
+    assert both.where("sides > 1").count() == 0
