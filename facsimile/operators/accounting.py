@@ -61,6 +61,22 @@ def micro(epsilon: Column) -> Column:
     return F.round(epsilon * F.lit(float(MICRO))).cast("long")
 
 
+def admit_stated(requests: DataFrame, limit: str) -> DataFrame:
+    """``admit`` where each request states, in column ``limit``, the budget it may use up.
+
+    Datasets whose requests all state one budget go the usual way; others are folded as one array each.
+    """
+    stated = requests.groupBy("dataset_id").agg(F.min(limit).alias("least"), F.max(limit).alias("most"), F.count(F.lit(1)).alias("requests_n"))
+    stated = cut_lineage(stated)
+    alike = stated.where((F.col("least") == F.col("most")) & (F.col("requests_n") > FOLD_LIMIT))
+    found = _admit_short(requests.join(alike, "dataset_id", "left_anti"), micro(F.col(limit)))
+    # budgets that long histories state: as a rule one
+    for row in alike.select("most").distinct().collect():
+        own = requests.join(alike.where(F.col("most") == row["most"]).select("dataset_id"), "dataset_id", "left_semi")
+        found = found.unionByName(_admit_long(own, int(round(row["most"] * MICRO))))
+    return found
+
+
 def admit(requests: DataFrame, max_epsilon: float = MAX_EPSILON, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """``requests`` with ``accepted``: in order, a request is taken iff it still fits its dataset's budget.
 
@@ -71,19 +87,19 @@ def admit(requests: DataFrame, max_epsilon: float = MAX_EPSILON, fold_limit: int
     sizes = requests.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("requests_n"))
     largest = sizes.agg(F.max("requests_n").alias("n")).first()["n"] or 0
     if largest <= fold_limit:
-        return _admit_short(requests, budget)
+        return _admit_short(requests, F.lit(budget))
     sized = requests.join(sizes, "dataset_id")
     short = sized.where(F.col("requests_n") <= fold_limit).drop("requests_n")
     long = sized.where(F.col("requests_n") > fold_limit).drop("requests_n")
-    return _admit_short(short, budget).unionByName(_admit_long(long, budget))
+    return _admit_short(short, F.lit(budget)).unionByName(_admit_long(long, budget))
 
 
-def _admit_short(requests: DataFrame, budget: int) -> DataFrame:
+def _admit_short(requests: DataFrame, budget: Column) -> DataFrame:
     others = [c for c in requests.columns if c not in ("dataset_id", "seq")]
-    rows = F.array_sort(F.collect_list(F.struct("seq", micro(F.col("epsilon")).alias("cost"))))
+    rows = F.array_sort(F.collect_list(F.struct("seq", micro(F.col("epsilon")).alias("cost"), budget.alias("budget"))))
 
     def step(state: Column, row: Column) -> Column:
-        fits = state["used"] + row["cost"] <= F.lit(budget)
+        fits = state["used"] + row["cost"] <= row["budget"]
         taken = F.struct(row["seq"].alias("seq"), fits.alias("accepted"))
         return F.struct(
             F.when(fits, state["used"] + row["cost"]).otherwise(state["used"]).alias("used"),

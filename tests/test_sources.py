@@ -78,6 +78,58 @@ def test_concurrent_spending_stops_at_the_budget(registry):
     assert sum(verdicts) == 3
 
 
+def test_two_registries_share_one_budget(spark, tmp_path):
+    from facsimile.sources.registry import Registry
+
+    root = str(tmp_path / "shared")
+    both = [Registry(spark, root), Registry(spark, root)]
+    with ThreadPoolExecutor(6) as pool:
+        verdicts = list(pool.map(lambda i: both[i % 2].spend("d", 1.0 if i % 3 else 0.5, 1e-6, f"op{i}", 3.0), range(12)))
+    log = both[0].table("ledger").orderBy("seq").collect()
+    assert [r["seq"] for r in log] == list(range(1, 13)) and {r["operation"] for r in log} == {f"op{i}" for i in range(12)}
+    used = 0.0
+    for r in log:  # the order of the log decides
+        assert r["accepted"] == (used + r["epsilon"] <= 3.0)
+        used += r["epsilon"] if r["accepted"] else 0.0
+    assert used == 3.0 and sum(verdicts) == sum(r["accepted"] for r in log)
+    assert both[1].budget("d", 3.0)["remaining_epsilon"] == 0.0 and not list((tmp_path / "shared" / ".pending").iterdir())
+
+
+def test_another_process_claims_numbers_too(spark, tmp_path):
+    import subprocess
+    import sys
+
+    from facsimile.sources.registry import Registry
+
+    registry = Registry(spark, str(tmp_path / "p"))
+    assert registry.spend("d", 2.0, 0.0, "first", 5.0)
+    code = f"""
+from pyspark.sql import SparkSession
+from facsimile.sources.registry import Registry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / 'c')!r}).getOrCreate()
+r = Registry(spark, {str(tmp_path / 'p')!r})
+print("verdicts", [r.spend("d", 1.5, 0.0, "other", 5.0) for _ in range(3)])
+spark.stop()
+"""
+    other = subprocess.Popen([sys.executable, "-c", code], stdout=subprocess.PIPE, text=True)
+    mine = [registry.spend("d", 1.5, 0.0, "mine", 5.0) for _ in range(3)]
+    said = other.communicate(timeout=300)[0]
+    theirs = eval(said.split("verdicts ")[1].splitlines()[0])
+    assert sum(mine) + sum(theirs) == 2
+    assert registry.budget("d", 5.0)["total_epsilon_used"] == 5.0
+
+
+def test_ledger_of_the_old_form_still_counts(spark, tmp_path):
+    from facsimile.sources.registry import Registry
+
+    old = [("d", 100, 4.0, 0.0, "a", True), ("d", 200, 3.0, 0.0, "b", True), ("d", 300, 9.0, 0.0, "c", False)]
+    spark.createDataFrame(old, "dataset_id string, seq long, epsilon double, delta double, operation string, accepted boolean").coalesce(1).write.parquet(
+        str(tmp_path / "o" / "ledger"))
+    registry = Registry(spark, str(tmp_path / "o"))
+    assert registry.spend("d", 4.0, 0.0, "too much") is False and registry.spend("d", 3.0, 0.0, "fits") is True
+    assert registry.budget("d")["remaining_epsilon"] == 0.0
+
+
 def test_reports(spark, registry):
     rows = report.metric_rows("structural", spark.createDataFrame([(97.5, "passed")], "score double, status string"))
     saved = registry.save_report("quality", "d", rows)
