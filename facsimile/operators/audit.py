@@ -23,7 +23,7 @@ from facsimile.operators.prefix import long_ranges, ordered_totals
 from facsimile.operators.quantiles import quantiles_of_counts
 from facsimile.operators.roles import sensitive_columns
 from facsimile.operators.scoring import confusion, macro_scores, majority_share
-from facsimile.operators.split import bounded_sample, split
+from facsimile.operators.split import bounded_sample, split, split_copies
 from facsimile.session import cut_lineage, local_rows
 
 # Neighbours, thresholds, weights and levels of the published audits
@@ -154,10 +154,11 @@ def distance_histogram(distances: DataFrame, bins: int = HISTOGRAM_BINS) -> Data
     )
 
 
-def membership_features(
+def membership_records(
     members: DataFrame, holdout: DataFrame, synth: DataFrame, neighbours: int = NEIGHBOURS, approximate: Buckets | None = None,
 ) -> DataFrame:
-    """``(label, copy, d_min, d_mean, d_std, d_max)``: one row per audited record, its distances to synthetic rows."""
+    """``(record, label, n, d_min, d_mean, d_std, d_max)``: one row per different record and label with its number of rows, and
+    its distances to synthetic rows."""
     sides, _ = encoded_sides({"members": members, "holdout": holdout, "synth": synth}, "synth")
     points = grouped_vectors(sides.where(F.col("side") == "synth"), F.col("features"))
     asked = cut_lineage(sides.where(F.col("side") != "synth").groupBy("features").agg(
@@ -179,29 +180,38 @@ def membership_features(
         F.struct(F.lit(0.0).alias("label"), F.col("n_holdout").alias("n")),
     )
     listed = described.select("features", "d_min", "d_mean", "d_std", "d_max", F.inline(copies)).where(F.col("n") > 0)
-    return listed.select(
-        F.md5(F.col("features").cast("string")).alias("record"), "label",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "d_min", "d_mean", "d_std", "d_max",
-    )
+    return listed.select(F.md5(F.col("features").cast("string")).alias("record"), "label", "n", "d_min", "d_mean", "d_std", "d_max")
+
+
+def membership_features(
+    members: DataFrame, holdout: DataFrame, synth: DataFrame, neighbours: int = NEIGHBOURS, approximate: Buckets | None = None,
+) -> DataFrame:
+    """``(record, label, copy, d_min, d_mean, d_std, d_max)``: ``membership_records`` with one row per audited row."""
+    found = membership_records(members, holdout, synth, neighbours, approximate)
+    return found.select(
+        "record", "label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "d_min", "d_mean", "d_std", "d_max")
 
 
 def membership_inference(
     members: DataFrame, holdout: DataFrame, synth: DataFrame, neighbours: int = NEIGHBOURS,
     sample_rows: int | None = None, settings: dict | None = None, approximate: Buckets | None = None,
 ) -> DataFrame:
-    """One row: how well distances to the synthetic table tell members from non-members."""
+    """One row: how well distances to the synthetic table tell members from non-members.
+
+    Equal records are one weighted row up to the fit and the scores; 30 % of the rows of each label are the test.
+    """
     spark = members.sparkSession
-    rows = membership_features(*(_sampled(t, sample_rows) for t in (members, holdout, synth)), neighbours, approximate)
+    rows = membership_records(*(_sampled(t, sample_rows) for t in (members, holdout, synth)), neighbours, approximate)
     marked = cut_lineage(assembled(
-        split(rows, ["record", "label", "copy"], 0.3, "label"), ["d_min", "d_mean", "d_std", "d_max"]
-    ).select("label", "features", "is_test"))
-    model = train(marked.where(~F.col("is_test")), "RandomForest", 2, settings or ATTACK_FOREST)
-    scored = cut_lineage(predictions(model, marked.where("is_test")))
-    accuracy = macro_scores(confusion(scored, "label", "prediction")).first()["accuracy"]
-    area = auc_of(scored, 2)
+        split_copies(rows, ["record", "label"], "n", 0.3, "label"), ["d_min", "d_mean", "d_std", "d_max"]
+    ).select("label", "features", "n", "n_train", "n_test"))
+    model = train(marked.where("n_train > 0").withColumn("n_train", F.col("n_train").cast("double")), "RandomForest", 2, settings or ATTACK_FOREST, "n_train")
+    scored = cut_lineage(predictions(model, marked.where("n_test > 0"), ("n_test",)))
+    accuracy = macro_scores(confusion(scored, "label", "prediction", "n_test")).first()["accuracy"]
+    area = auc_of(scored, 2, "n_test")
     area = 0.5 if area is None else area
     advantage = max(0.0, (area - 0.5) * 2)
-    sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     risk = "low" if area <= 0.55 else "medium" if area <= 0.65 else "high" if area <= 0.75 else "critical"
     return local_rows(
         spark,

@@ -43,32 +43,33 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(df)
 
 
-def train(df: DataFrame, model: str, classes: int, settings: dict | None = None):
-    """Fit on ``(features, label)``.  Boosting is binary in Spark ML, so more classes go by ``softmax``."""
+def train(df: DataFrame, model: str, classes: int, settings: dict | None = None, weight: str | None = None):
+    """Fit on ``(features, label)``; a forest may weigh its rows by a column.  Boosting is binary in Spark ML, so more classes go by ``softmax``."""
     if model == "GradientBoosting":
         chosen = settings or BOOSTING
         if classes > 2:
             return softmax.fit(df, classes, chosen.get("maxIter", BOOSTING["maxIter"]), chosen.get("maxDepth", BOOSTING["maxDepth"]), SEED)
         return GBTClassifier(seed=SEED, **chosen).fit(df)
-    return RandomForestClassifier(seed=SEED, **(settings or FOREST)).fit(df)
+    weights = {"weightCol": weight} if weight else {}
+    return RandomForestClassifier(seed=SEED, **weights, **(settings or FOREST)).fit(df)
 
 
-def predictions(model, df: DataFrame) -> DataFrame:
-    """``(label, prediction, scores)``: one score per class."""
+def predictions(model, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(label, prediction, scores)``: one score per class; ``keep`` columns beside them, of Spark ML's models."""
     found = model.transform(df)
     if isinstance(model, softmax.SoftmaxModel):
         return found.select("label", "prediction", F.col("probability").alias("scores"))
     scores = "probability" if "probability" in found.columns else "rawPrediction"
-    return found.select("label", "prediction", vector_to_array(scores).alias("scores"))
+    return found.select("label", "prediction", vector_to_array(scores).alias("scores"), *keep)
 
 
-def auc_of(found: DataFrame, classes: int) -> float | None:
+def auc_of(found: DataFrame, classes: int, weight: str | None = None) -> float | None:
     """Exact area under the curve; the unweighted mean of one-against-rest areas for more classes."""
     if classes == 2:
-        rows = found.select((F.col("label") == 1.0).alias("hit"), F.col("scores")[1].alias("score"))
-        return auc_from_totals(score_totals(rows, F.col("hit"), "score")).first()["auc"]
-    each = found.select("label", F.posexplode("scores").alias("class", "score"))
-    totals = score_totals(each, F.col("label") == F.col("class"), "score", ["class"])
+        rows = found.select((F.col("label") == 1.0).alias("hit"), F.col("scores")[1].alias("score"), *([weight] if weight else []))
+        return auc_from_totals(score_totals(rows, F.col("hit"), "score", weight=weight)).first()["auc"]
+    each = found.select("label", F.posexplode("scores").alias("class", "score"), *([weight] if weight else []))
+    totals = score_totals(each, F.col("label") == F.col("class"), "score", ["class"], weight)
     areas = [r["auc"] for r in auc_from_totals(totals, ["class"]).collect()]
     return sum(areas) / len(areas) if areas and None not in areas else None
 

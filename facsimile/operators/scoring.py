@@ -10,10 +10,10 @@ from facsimile.operators.prefix import ordered_totals, value_ranges
 ROC_POINTS = 50
 
 
-def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """``(label, prediction, n)``."""
+def confusion(df: DataFrame, label: str, prediction: str, weight: str | None = None) -> DataFrame:
+    """``(label, prediction, n)``; with ``weight``, a column of whole numbers, each row counts that often."""
     return df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
-        F.count(F.lit(1)).alias("n")
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n")
     )
 
 
@@ -47,12 +47,14 @@ def majority_share(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def score_totals(df: DataFrame, positive, score: str, by: list[str] | None = None) -> DataFrame:
-    """Distinct scores with positives, negatives and their running totals."""
+def score_totals(df: DataFrame, positive, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Distinct scores with positives, negatives and their running totals, rows counted ``weight`` times."""
     by = by or []
-    rows = df.select(*by, positive.cast("boolean").alias("positive"), F.col(score).cast("double").alias("score"))
+    times = (F.col(weight) if weight else F.lit(1)).cast("long").alias("times")
+    rows = df.select(*by, positive.cast("boolean").alias("positive"), F.col(score).cast("double").alias("score"), times)
+    of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("times"))), F.lit(0).cast("long"))
     counts = rows.groupBy(*by, F.col("score").alias("value")).agg(
-        F.count_if("positive").alias("n_pos"), F.count_if(~F.col("positive")).alias("n_neg"),
+        of(F.col("positive")).alias("n_pos"), of(~F.col("positive")).alias("n_neg"),
     ).select(*by, F.lit("score").alias("column"), "value", "n_pos", "n_neg", F.lit(1).alias("one"))
     return ordered_totals(counts, value_ranges(rows, ["score"]), ["n_pos", "n_neg", "one"], by)
 

@@ -28,9 +28,12 @@ def bounded_sample(df: DataFrame, key: list[str], size: int = AUDIT_SAMPLE, seed
 
 def split(
     df: DataFrame, key: list[str], test_fraction: float = 0.3, stratify: str | None = None, seed=SPLIT_SEED,
+    wanted: str | None = None,
 ) -> DataFrame:
     """``df`` with ``is_test``: ceil(fraction x n) rows, of the table or of each stratum.
 
+    ``wanted`` names a column with the number itself, the same in all rows of a stratum.
+
     The cut is found from counts in equal cells of the draw, then in equal cells of the one cell that
     holds it; only keys of the last such cell, one in _CELLS ** _LEVELS, are ranked.  No stratum is ever
     sorted as a whole, however large.  Rows that share a key share a draw and fall on one side
@@ -44,10 +47,12 @@ def split(
     for level in range(1, _LEVELS + 1):
         rows = rows.withColumn("_cell", F.floor(F.col("_u") * F.lit(float(_CELLS**level))).cast("long"))
         keys = ["_stratum", "_cell"] + (["need"] if need is not None else [])
-        need = F.col("need") if level > 1 else F.ceil(F.lit(float(test_fraction)) * F.sum("n").over(whole))
+        share = F.max("_asked").over(whole) if wanted else F.ceil(F.lit(float(test_fraction)) * F.sum("n").over(whole))
+        need = F.col("need") if level > 1 else share
         # at most _CELLS rows per stratum in this window
         edges = (
-            rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto).withColumn("wanted", need)
+            rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(wanted) if wanted else F.lit(None)).alias("_asked"))
+            .withColumn("upto", upto).withColumn("wanted", need)
             .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
             .select("_stratum", "_cell", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
         )
@@ -76,3 +81,21 @@ def _divided(run: DataFrame, columns: list[str]) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("_stratum", "_task").orderBy("_row"))
     numbered = kept.withColumn("_at", inside).join(offsets, (F.col("_stratum") == F.col("_s")) & (F.col("_task") == F.col("_t")))
     return numbered.select(*columns, (F.col("_before") + F.col("_at") <= F.col("_rest")).alias("is_test"))
+
+
+def split_copies(
+    df: DataFrame, key: list[str], copies: str, test_fraction: float = 0.3, stratify: str | None = None, seed=SPLIT_SEED,
+) -> DataFrame:
+    """``df`` with ``n_train`` and ``n_test``: the ``copies`` of each row divided so that the test has ceil(fraction x all copies),
+    of the table or of each stratum.
+
+    Every row gives the whole part of its share; what is missing is one copy more of as many rows, drawn by their key.  A row
+    that stands for a third of the table stays one row.
+    """
+    stratum = F.coalesce(F.col(stratify).cast("string"), F.lit("\0")) if stratify else F.lit("all")
+    part = F.floor(F.lit(float(test_fraction)) * F.col(copies)).cast("long")
+    shares = df.withColumn("_part", part).withColumn("_of", stratum)
+    missing = shares.groupBy("_of").agg((F.ceil(F.lit(float(test_fraction)) * F.sum(copies)) - F.sum("_part")).alias("_missing"))
+    marked = split(shares.join(missing, "_of"), key, stratify="_of", seed=seed, wanted="_missing")
+    tested = F.col("_part") + F.col("is_test").cast("long")
+    return marked.select(*df.columns, (F.col(copies) - tested).alias("n_train"), tested.alias("n_test"))

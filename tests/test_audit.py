@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facsimile.operators import audit, knn, scoring, utility
+from facsimile.operators import audit, classifiers, knn, scoring, utility
 from facsimile.operators.encode import dictionary, encode_table
-from facsimile.operators.split import bounded_sample, split
+from facsimile.operators.split import bounded_sample, split, split_copies
 from facsimile.session import cut_lineage
 from facsimile.sources.demo import demo_table
 
@@ -187,3 +187,32 @@ def test_split_divides_the_rows_of_the_key_at_the_cut(spark):
     # other keys stay on one side
     both = marked.where("s = 'a' and k <> 1").groupBy("k").agg(F.count_distinct("is_test").alias("sides"))
     assert both.where("sides > 1").count() == 0
+
+
+def test_copies_are_divided_by_arithmetic(spark):
+    rows = [(k, "a", 1) for k in range(50)] + [(99, "a", 1001), (100, "b", 7), (101, "b", 2), (102, "b", 1)]
+    df = spark.createDataFrame(rows, "k int, s string, n long").repartition(3)
+    found = split_copies(df, ["k"], "n", 0.3, "s").collect()
+    assert len(found) == 54 and all(r["n_train"] + r["n_test"] == r["n"] and min(r["n_train"], r["n_test"]) >= 0 for r in found)
+    tests = {s: sum(r["n_test"] for r in found if r["s"] == s) for s in "ab"}
+    exploded = split(df.selectExpr("k", "s", "explode(sequence(1, n)) c"), ["k", "c"], 0.3, "s")
+    assert tests == {r["s"]: r["t"] for r in exploded.groupBy("s").agg(F.count_if("is_test").alias("t")).collect()} == {"a": 316, "b": 3}
+    assert abs(next(r["n_test"] for r in found if r["k"] == 99) - 300) <= 1
+
+
+def test_weighted_scores_equal_those_of_repeated_rows(spark):
+    rows = [(float(k % 2), float(k % 3 == 0), [0.2, (k * 7 % 10) / 10], 1 + k % 4) for k in range(40)]
+    df = spark.createDataFrame(rows, "label double, prediction double, scores array<double>, n int")
+    long = df.selectExpr("label", "prediction", "scores", "explode(sequence(1, n)) c")
+    assert scoring.confusion(df, "label", "prediction", "n").exceptAll(scoring.confusion(long, "label", "prediction")).count() == 0
+    assert classifiers.auc_of(df, 2, "n") == classifiers.auc_of(long, 2)
+
+
+def test_membership_of_a_record_that_fills_a_third(spark):
+    rng = np.random.default_rng(9)
+    make = lambda m: spark.createDataFrame([(float(a), float(b)) for a, b in m], "a double, b double")
+    members = np.vstack([rng.normal(size=(120, 2)), np.tile([[0.3, 0.1]], (60, 1))])
+    records = audit.membership_records(make(members), make(rng.normal(size=(60, 2)) + 3), make(members[:120]))
+    assert records.count() == 181 and records.agg(F.sum("n")).first()[0] == 240
+    row = audit.membership_inference(make(members), make(rng.normal(size=(60, 2)) + 3), make(members[:120]), settings=FOREST).first()
+    assert (row["n_members"], row["n_non_members"]) == (180, 60) and row["attack_auc"] > 0.9
