@@ -347,4 +347,4 @@ def collocations(documents: DataFrame, settings: Settings = Settings(), text: st
         "key", "lang", "a", "l", "r", "n", "score").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("names"))
     phrase = named.withColumn("phrase", F.array_join(F.transform("names", lambda x: x["name"]), " "))
     return phrase.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order, "phrase"))).where(
-        F.col("rank") <= settings.top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+        F.col("rank") <= settings.top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -150,7 +150,7 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 e AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(x[1:k - 1], ' '), array_to_string(x[2:], ' ')]) AS phrase FROM c WHERE k > 2) GROUP BY ALL),
 z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
       FROM b LEFT JOIN e ON e.lang = b.lang AND e.phrase = b.phrase WHERE e.a IS NULL OR 100 * e.a < 100 * b.a)
-SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z WHERE rank <= 2000""",
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z WHERE rank <= 2000""",
     "op3_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, '-') AS g, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n,
