@@ -44,7 +44,7 @@ def folder(spark, tmp_path_factory):
 def test_stages_and_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "mixing"]
     assert corpus_pipeline.ORACLE_SQL is None
-    assert [q.split("_")[0] for q in queries.QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"]
+    assert [q.split("_")[0] for q in queries.QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13", "pipeline"]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
