@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from facsimile.operators.freq import numeric_counts
 from facsimile.operators.moments import PAIRS_PER_SCAN, correlations
@@ -14,8 +19,10 @@ from facsimile.operators.prefix import ordered_totals, value_ranges
 from facsimile.session import cut_lineage, local_rows
 
 
-# rank tables up to this many rows (a few megabytes) are broadcast
-BROADCAST_RANKS = 200_000
+# rank tables of up to this many numbers in all (eight megabytes) are broadcast
+BROADCAST_NUMBERS = 1_000_000
+# rows that a task counts at a time: levels are under 64 characters, so a block of 30 columns stays below a few hundred megabytes
+BLOCK_ROWS = 65_536
 
 
 def average_ranks(
@@ -30,37 +37,57 @@ def average_ranks(
 
 
 def with_ranks(
-    df: DataFrame, columns: list[str], beside: list[str], by: list[str] | None = None,
+    df: DataFrame, columns: list[str], beside: list[str], by: list[str] | None = None, ranges: list[float] | None = None,
 ) -> DataFrame:
-    """Each numeric column ``c`` as ``c__r`` and ``c__r<j>``: its average rank within ``by`` over the rows where it
-    is present, and over those where the j-th column of ``beside`` is present too.
+    """``by`` and each numeric column ``c`` as ``c__r`` and ``c__r<j>``: its average rank within ``by`` over the rows
+    where it is present, and over those where the j-th column of ``beside`` is present too.
 
-    One pass counts every distinct value under all these conditions at once, running counts give all
-    ranks, and one equi-join per column brings them back to the rows, so the number of jobs does not
-    depend on how many columns have nulls.  Rank tables of a counted, small size are broadcast; for
-    the others the optimizer splits a value that is hot on the row side.
+    One pass counts every distinct value under all these conditions at once and running counts give all
+    ranks.  They return to the rows in two ways.  The smallest rank tables, up to a counted total, are
+    broadcast.  The cells of all other columns are melted and meet one table of ranks in one join, which the
+    optimizer splits where a value is hot, and one grouping by row number puts the row together: two shuffles
+    for any number of columns.
     """
     by = by or []
     flags = [f"_p{j}" for j in range(len(beside))]
+    marks = [*by, *[F.col(c).isNotNull().cast("long").alias(p) for c, p in zip(beside, flags)]]
     value = {c: F.col(c).cast("double") + F.lit(0.0) for c in columns}
-    current = df.select(
-        *by, *[value[c].alias(c) for c in columns], *[F.col(c).isNotNull().cast("long").alias(p) for c, p in zip(beside, flags)])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    ranges = ranges if ranges is not None else value_ranges(df, columns)
+    cells = lambda of: F.inline(F.array(*[F.struct(F.lit(i).alias("column"), of[i].alias("value")) for i in of]))
     counts = (
-        current.select(*by, *flags, F.inline(cells)).where(F.col("value").isNotNull()).groupBy(*by, "column", "value")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"n{p}") for p in flags])
+        df.select(*marks, cells({i: value[c] for i, c in enumerate(columns)})).where(F.col("value").isNotNull())
+        .groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"n{p}") for p in flags])
     )
     measures = ["n", *[f"n{p}" for p in flags]]
-    totals = ordered_totals(counts, value_ranges(df, columns), measures, by)
     names = ["r", *[f"r{j}" for j in range(len(beside))]]
+    totals = ordered_totals(counts, ranges, measures, by)
     ranks = cut_lineage(totals.select(
         *by, "column", "value", *[(F.col(f"{m}_before") + (F.col(m) + 1) / 2.0).alias(r) for m, r in zip(measures, names)]))
     sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for c in columns:
-        lookup = ranks.where(F.col("column") == c).select(*by, F.col("value").alias(c), *[F.col(r).alias(f"{c}__{r}") for r in names])
-        if sizes.get(c, 0) <= BROADCAST_RANKS:
-            lookup = F.broadcast(lookup)
-        current = current.join(lookup, [*by, c], "left").drop(c)
+    small, room = [], BROADCAST_NUMBERS // (len(names) + 2)
+    for i in sorted(range(len(columns)), key=lambda i: sizes.get(i, 0)):
+        if sizes.get(i, 0) <= room:
+            small.append(i)
+            room -= sizes.get(i, 0)
+    large = [i for i in range(len(columns)) if i not in small]
+
+    current = df.select(*by, *[value[c].alias(f"_v{i}") for i, c in enumerate(columns)])
+    if large:
+        # numbers of rows are the same in every later read only once they are written
+        current = cut_lineage(current.withColumn("_row", F.monotonically_increasing_id()))
+        melted = current.select("_row", *by, cells({i: F.col(f"_v{i}") for i in large})).where(F.col("value").isNotNull())
+        wanted = ranks.where(F.col("column").isin(large))
+        joined = melted.join(wanted, [*by, "column", "value"]).select("_row", *by, "column", *names)
+        # a row without any of these cells is there as well
+        kept = [f"_v{i}" for i in small]
+        pieces = joined.unionByName(current.select("_row", *by, *kept), allowMissingColumns=True)
+        current = pieces.groupBy("_row", *by).agg(
+            *[F.max(c).alias(c) for c in kept],
+            *[F.max(F.when(F.col("column") == i, F.col(r))).alias(f"{columns[i]}__{r}") for i in large for r in names],
+        ).drop("_row")
+    for i in small:
+        lookup = ranks.where(F.col("column") == i).select(*by, F.col("value").alias(f"_v{i}"), *[F.col(r).alias(f"{columns[i]}__{r}") for r in names])
+        current = current.join(F.broadcast(lookup), [*by, f"_v{i}"], "left").drop(f"_v{i}")
     return current
 
 
@@ -71,30 +98,103 @@ def spearman(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     the other column is present.
     """
     by = by or []
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    ranges, nulls = value_ranges(df, columns, with_nulls=True)
     beside = [c for c in columns if nulls[c]]
-    ranked = with_ranks(df, columns, beside, by)
+    ranked = with_ranks(df, columns, beside, by, ranges)
     if len(columns) * (len(columns) - 1) // 2 > PAIRS_PER_SCAN:  # read more than once below
         ranked = cut_lineage(ranked)
     rank = lambda c, other: F.col(f"{c}__r{beside.index(other) if other in beside else ''}")
     return correlations(ranked, columns, by, values={(a, b): (rank(a, b), rank(b, a)) for a, b in combinations(columns, 2)})
 
 
+def level_key(name: str) -> Column:
+    """A text cell as a level of its column: texts of 64 characters or more stand as their SHA-256."""
+    text = F.col(name).cast("string")
+    return F.when(F.length(text) < 64, text).otherwise(F.sha2(text, 256))
+
+
 def contingency(df: DataFrame, pairs: list[tuple[str, str]], by: list[str] | None = None) -> DataFrame:
-    """``(by..., col_i, col_j, a, b, n)``: joint counts of all pairs in one scan and one aggregate."""
+    """``(by..., col_i, col_j, a, b, n)``: joint counts of all pairs in one scan and one aggregate.
+
+    Levels are ``level_key``.  Few pairs, two a column at most, are one row copy a pair.  For more pairs, up
+    to the square of the columns, rows are not copied: tasks count blocks of coded rows and send counts, and the
+    table is written, as its readers are several.
+    """
     by = by or []
-    cells = F.array(*[
-        F.struct(
-            F.lit(i).alias("col_i"), F.lit(j).alias("col_j"),
-            F.col(i).cast("string").alias("a"), F.col(j).cast("string").alias("b"),
-        )
-        for i, j in pairs
-    ])
-    return (
-        df.select(*by, F.inline(cells))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy(*by, "col_i", "col_j", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    )
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    counted = len(pairs) > 2 * len(names)
+    if not counted:
+        cells = F.array(*[
+            F.struct(F.lit(i).alias("col_i"), F.lit(j).alias("col_j"), level_key(i).alias("a"), level_key(j).alias("b")) for i, j in pairs
+        ])
+        counts = df.select(*by, F.inline(cells)).where(F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("n", F.lit(1))
+    else:
+        counts = block_counts(df, names, pairs, by)
+    table = counts.groupBy(*by, "col_i", "col_j", "a", "b").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    return cut_lineage(table) if counted else table
+
+
+def block_counts(df: DataFrame, names: list[str], pairs: list[tuple[str, str]], by: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """``(by..., col_i, col_j, a, b, n)`` counted within blocks of at most ``block`` rows of a task.
+
+    A block holds each column as codes of its own levels.  A pair of columns costs a count over codes and
+    sends its non-empty cells, so a block of few levels sends few rows whatever the number of rows.
+    """
+    slots = {c: k for k, c in enumerate(names)}
+    tags = [f"_by{k}" for k in range(len(by))]
+    plain = df.select(*[F.col(c).alias(t) for c, t in zip(by, tags)], *[level_key(c).alias(f"_c{k}") for c, k in slots.items()])
+    schema = T.StructType([*plain.schema.fields[:len(by)], *[T.StructField(f, T.StringType()) for f in ("col_i", "col_j", "a", "b")], T.StructField("n", T.LongType())])
+    wanted = to_arrow_schema(schema)
+
+    def joint(codes: np.ndarray, sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Non-empty cells, as one code a dimension, and their counts; -1 in any dimension leaves a row out."""
+        codes = codes[:, (codes >= 0).all(axis=0)]
+        flat = np.ravel_multi_index(tuple(codes), sizes) if codes.shape[1] else np.zeros(0, np.int64)
+        cells, counts = np.unique(flat, return_counts=True) if math.prod(sizes) > 4 * block else tally(flat)
+        return list(np.unravel_index(cells, sizes)), counts
+
+    def tally(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.bincount(flat)
+        cells = np.flatnonzero(counts)
+        return cells, counts[cells]
+
+    def coded(column: pa.ChunkedArray, null_is_level: bool) -> tuple[np.ndarray, pa.Array]:
+        found = column.combine_chunks().dictionary_encode(null_encoding="encode" if null_is_level else "mask")
+        return found.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+    def counted(table: pa.Table):
+        groups, sides, held = np.zeros(table.num_rows, np.int64), [], []
+        for t in tags:  # numbers of the groups that occur, never more than rows
+            codes, levels = coded(table[t], True)
+            both, groups = np.unique(groups * len(levels) + codes, return_inverse=True)
+            sides, held = [*[side[both // len(levels)] for side in sides], both % len(levels)], [*held, levels]
+        kinds = int(groups.max()) + 1
+        cells = [coded(table[f"_c{k}"], False) for k in slots.values()]
+        for i, j in pairs:
+            (x, x_levels), (y, y_levels) = cells[slots[i]], cells[slots[j]]
+            if not len(x_levels) or not len(y_levels):
+                continue
+            (g, a, b), counts = joint(np.stack([groups, x, y]), [kinds, len(x_levels), len(y_levels)])
+            size = len(counts)
+            yield pa.RecordBatch.from_arrays([
+                *[levels.take(pa.array(side[g])) for levels, side in zip(held, sides)],
+                pa.repeat(i, size), pa.repeat(j, size), x_levels.take(pa.array(a)), y_levels.take(pa.array(b)), pa.array(counts, pa.int64()),
+            ], schema=wanted)
+
+    def count_blocks(batches):
+        waiting, rows = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                if rows + part.num_rows > block:
+                    yield from counted(pa.Table.from_batches(waiting))
+                    waiting, rows = [], 0
+                waiting.append(part)
+                rows += part.num_rows
+        if rows:
+            yield from counted(pa.Table.from_batches(waiting))
+
+    return plain.mapInArrow(count_blocks, schema).withColumnsRenamed(dict(zip(tags, by)))
 
 
 def cramers_v(df: DataFrame, pairs: list[tuple[str, str]], by: list[str] | None = None) -> DataFrame:

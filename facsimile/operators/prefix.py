@@ -56,17 +56,19 @@ def _steps(spark, columns: int) -> list[float]:
     return [i / ranges for i in range(1, ranges)]
 
 
-def value_ranges(df: DataFrame, columns: list[str]) -> list[float]:
+def value_ranges(df: DataFrame, columns: list[str], with_nulls: bool = False):
     """Sorted cut points of numeric columns, merged: between two cuts no column holds more than its share of rows.
 
     One scan with mergeable quantile sketches.  The list is fixed on the driver, so that every later
     use sees the same cuts.  Cuts steer balance only: any list gives the same running sums.
+    ``with_nulls`` adds the number of nulls of each column, counted in the same scan.
     """
     steps = _steps(df.sparkSession, len(columns))
-    cuts = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), steps, max(100, 4 * len(steps))).alias(c) for c in columns
-    ]).first()
-    return _merged(cuts.asDict())
+    cuts = [F.percentile_approx(F.col(c).cast("double"), steps, max(100, 4 * len(steps))) for c in columns]
+    nulls = [F.count_if(F.col(c).isNull()) for c in columns] if with_nulls else []
+    found = list(df.agg(*[m.alias(f"m{i}") for i, m in enumerate([*cuts, *nulls])]).first())
+    merged = _merged(dict(zip(columns, found)))
+    return (merged, dict(zip(columns, found[len(columns):]))) if with_nulls else merged
 
 
 def long_ranges(counts: DataFrame) -> list[float]:

@@ -126,6 +126,23 @@ def cramers_v(spark, sf):
     return _rounded(relationship.cramers_delta(*pair(spark, sf), TEXTS), 6, "real_value", "synth_value", "delta")
 
 
+# 33 text columns of orders: 528 pairs, some with nulls, some of two levels
+MANY = {
+    "status": "o_orderstatus", "priority": "o_orderpriority",
+    "late": "CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' THEN 'late' ELSE 'early' END",
+    **{f"customer_{m}": f"CAST(o_custkey % {m} AS VARCHAR(4))" for m in range(2, 12)},
+    **{f"order_{m}": f"CASE WHEN o_orderkey % 9 <> 4 THEN CAST(o_orderkey % {m} AS VARCHAR(4)) END" for m in range(2, 12)},
+    **{f"price_{m}": f"CAST(CAST(floor(o_totalprice) AS BIGINT) % {m} AS VARCHAR(4))" for m in range(2, 12)},
+}
+MANY_TEXTS = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in MANY.items()) + " FROM orders"
+
+
+def cramers_v_many(spark, sf):
+    """All pairs of 33 columns, counted in blocks."""
+    texts = derived(spark, sf, MANY_TEXTS, "orders")
+    return _rounded(association.cramers_v(texts, list(combinations(MANY, 2))), 6, "v")
+
+
 def cramers_v_two_by_two(spark, sf):
     labels = table(spark, sf, "labels").select(F.col("quality").cast("string"), F.col("toxic").cast("string"))
     return _rounded(association.cramers_v(labels, [("quality", "toxic")]), 6, "v")
@@ -155,7 +172,7 @@ QUERIES = {
         ks_statistic, ks_p_value, ks_p_value_exact, mean_variance, chi_square, histogram, category_shares, correlation_delta,
         correlation_error, column_scores, statistical_score, null_rates, constants, domain_overlap, novel_categories,
         cardinality, duplicate_rates, structural_score, structural_warnings, pearson_matrix, spearman_matrix,
-        average_ranks, cramers_v, cramers_v_two_by_two, correlation_ratio, target_association, relationship_score,
+        average_ranks, cramers_v, cramers_v_many, cramers_v_two_by_two, correlation_ratio, target_association, relationship_score,
         column_moments,
     )
 }
@@ -340,6 +357,23 @@ ORACLES = {
         f"SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value, {_rank(c, 'customer', c)} AS rank FROM customer"
         for c in ("c_acctbal", "c_nationkey")),
     "cramers_v": f"{PAIR}, v AS (SELECT 'l_returnflag' AS col_i, 'l_linestatus' AS col_j, {_v('r', *TEXTS)} AS rv, {_v('s', *TEXTS)} AS sv) SELECT col_i, col_j, {_DELTAS.format(d=6)} FROM v",
+    "cramers_v_many": f"""
+        WITH o AS ({MANY_TEXTS}), x AS (SELECT row_number() OVER () AS id, * FROM o),
+        w AS ({melt("x", list(MANY), "VARCHAR", "id")}),
+        p AS (SELECT i, j FROM (VALUES {", ".join(f"('{c}', {k})" for k, c in enumerate(MANY))}) l(i, li),
+              (VALUES {", ".join(f"('{c}', {k})" for k, c in enumerate(MANY))}) m(j, mj) WHERE li < mj),
+        c AS (SELECT i, j, u.value AS a, v.value AS b, count(*)::DOUBLE AS n
+              FROM p JOIN w u ON u."column" = i JOIN w v ON v."column" = j AND v.id = u.id GROUP BY ALL),
+        ma AS (SELECT i, j, a, sum(n) AS na FROM c GROUP BY ALL), mb AS (SELECT i, j, b, sum(n) AS nb FROM c GROUP BY ALL),
+        t AS (SELECT i, j, sum(n) AS t FROM c GROUP BY ALL),
+        g AS (SELECT ma.i, ma.j, ma.a, mb.b, na * nb / t AS e, coalesce(n, 0) AS o, t
+              FROM ma JOIN mb ON ma.i = mb.i AND ma.j = mb.j JOIN t ON t.i = ma.i AND t.j = ma.j
+              LEFT JOIN c ON c.i = ma.i AND c.j = ma.j AND c.a = ma.a AND c.b = mb.b),
+        q AS (SELECT i, j, count(DISTINCT a)::DOUBLE AS r, count(DISTINCT b)::DOUBLE AS k, max(t) AS n, sum((o - e) ** 2 / e) AS plain,
+                     sum(greatest(0, abs(o - e) - 0.5::DOUBLE) ** 2 / e) AS yates FROM g GROUP BY 1, 2),
+        z AS (SELECT i, j, r, k, n, greatest(0, (CASE WHEN r = 2 AND k = 2 THEN yates ELSE plain END) / n - (k - 1) * (r - 1) / (n - 1)) AS phi FROM q)
+        SELECT i AS col_i, j AS col_j,
+               round(least(1.0::DOUBLE, sqrt(phi / least(k - (k - 1) ** 2 / (n - 1) - 1, r - (r - 1) ** 2 / (n - 1) - 1))), 6) AS v FROM z""",
     "cramers_v_two_by_two": f"SELECT 'quality' AS col_i, 'toxic' AS col_j, round({_v('labels', 'quality', 'toxic')}, 6) AS v",
     "correlation_ratio": f"{PAIR} " + " UNION ALL ".join(
         f"SELECT '{t}' AS col_i, '{n}' AS col_j, round({_eta('s', t, n)}, 6) AS eta" for t in TEXTS for n in NUMBERS),

@@ -1,9 +1,13 @@
+import hashlib
 import math
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from facsimile.functions.tails import chi_square_tail, kolmogorov_tail
 from facsimile.operators import association, relationship, statistical, structural
@@ -120,12 +124,66 @@ def test_spearman_matches_pandas_with_nulls(spark):
         assert r["r"] == pytest.approx(want.loc[r["col_i"], r["col_j"]], abs=1e-9)
 
 
+def test_melted_ranks_equal_broadcast_ranks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    cells = [
+        ("xy"[k % 2], *[None if rng.random() < hole else float(v) for hole, v in zip((0.4, 0.0, 0.4), rng.integers(0, 7, 3))])
+        for k in range(150)
+    ] + [("x", None, None, None), (None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(cells, "side string, a double, b double, c double")
+    order = lambda found: sorted(map(repr, found.collect()))
+    want = order(association.with_ranks(df, ["a", "b", "c"], ["a", "c"], ["side"]))
+    for numbers in (0, 60):  # all columns melted, or some
+        monkeypatch.setattr(association, "BROADCAST_NUMBERS", numbers)
+        found = association.with_ranks(df, ["a", "b", "c"], ["a", "c"], ["side"])
+        names = ["side", *[f"{c}__{r}" for c in "abc" for r in ("r", "r0", "r1")]]
+        monkeypatch.undo()
+        again = association.with_ranks(df, ["a", "b", "c"], ["a", "c"], ["side"])
+        assert order(found.select(*names)) == order(again.select(*names)) and len(want) == 152
+
+
 def test_cramers_v_perfect_and_degenerate(spark):
     df = spark.createDataFrame([("abc"[i % 3], "xyz"[i % 3], "k", None) for i in range(60)], "p string, q string, one string, none string")
     got = {(r["col_i"], r["col_j"]): r["v"] for r in association.cramers_v(df, [("p", "q"), ("p", "one"), ("p", "none")]).collect()}
     assert got[("p", "q")] == pytest.approx(1.0) and got[("p", "one")] == 0.0 and got[("p", "none")] == 0.0
 
 
+def test_block_counts_equal_row_copies(spark):
+    rng = np.random.default_rng(5)
+    names = [f"c{i}" for i in range(8)]
+    long = ["é" * 70, "é" * 71, "b" * 63, "b" * 64]
+    rows = [
+        ("xy"[k % 2] if k % 5 else None, k % 3, *[None if v == 0 else long[v % 4] if i == 7 else str(v) for i, v in enumerate(rng.integers(0, 6, 8))])
+        for k in range(400)
+    ] + [(None, 0, *[None] * 8)]
+    df = spark.createDataFrame(rows, "side string, part int, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    pairs = list(combinations(names, 2))
+    assert len(pairs) > 2 * len(names)
+    for by in ([], ["side"], ["side", "part"]):
+        want = Counter()
+        for row in rows:
+            cells = dict(zip(["side", "part", *names], row))
+            for i, j in pairs:
+                a, b = (hashlib.sha256(v.encode()).hexdigest() if v and len(v) >= 64 else v for v in (cells[i], cells[j]))
+                if a is not None and b is not None:
+                    want[(*[cells[c] for c in by], i, j, a, b)] += 1
+        for found in (association.contingency(df, pairs, by), association.block_counts(df, names, pairs, by, block=32)):
+            got = Counter()
+            for r in found.collect():
+                got[tuple(r)[:-1]] += r["n"]
+            assert got == want
+    empty = association.cramers_v(df.limit(0), pairs).collect()
+    assert len(empty) == len(pairs) and all(r["v"] == 0 for r in empty)
+
+
+def test_block_counts_do_not_grow_with_the_rows(spark):
+    names = [f"c{i:02d}" for i in range(32)]
+    pairs = list(combinations(names, 2))
+    df = spark.range(0, 20_000, 1, 2).select(*[((F.col("id") + i) % 2).cast("string").alias(c) for i, c in enumerate(names)])
+    sent = association.block_counts(df, names, pairs, []).count()
+    assert sent == 2 * 2 * len(pairs)  # two tasks, two cells a pair: 0.1 rows a row instead of 496
+
+
 def test_many_categorical_columns_are_capped_only_on_request(spark):
     names = [f"c{i:02d}" for i in range(40)]
     df = spark.createDataFrame([tuple("ab"[(i + j) % 2] for j in range(40)) for i in range(50)], ", ".join(f"{n} string" for n in names))
