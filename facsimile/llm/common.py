@@ -27,6 +27,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores appended what no column of ``df`` is called, in whatever case: for helper columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_but(names: list[str], made: tuple[str, ...]) -> list[str]:
+    """``names`` without those that an operator makes itself, in whatever case."""
+    return [c for c in names if c.lower() not in made]
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table written by ``stored`` that no later plan reads."""
     spark = df.sparkSession

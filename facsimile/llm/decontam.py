@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import BROADCAST_ROWS, counted, let, stored
+from facsimile.llm.common import BROADCAST_ROWS, columns_but, counted, free_name, let, stored
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
@@ -74,22 +74,29 @@ def contained(documents: DataFrame, items: DataFrame, percent: int = THRESHOLD_P
     parts = listed.select("item_id", whole_shingles(F.col("text"), width).alias("_parts"))
     wanted = stored(
         pairs.join(parts, "item_id").groupBy("_doc").agg(F.collect_list(F.struct("item_id", "_parts")).alias("_items")), "candidates")
-    names = [c for c in documents.columns if c not in ("item_id", "n_shared", "n_item")]
-    keys = wanted.select("_doc")
-    texts = documents.select(*names).withColumn("_doc", F.xxhash64(text))
+    names = columns_but(documents.columns, ("item_id", "n_shared", "n_item"))
+    doc, held, found = (free_name(documents, c) for c in ("_doc", "_items", "_m"))
+    wanted = wanted.select(F.col("_doc").alias(doc), F.col("_items").alias(held))
+    keys = wanted.select(doc)
+    texts = documents.select(*names).withColumn(doc, F.xxhash64(text))
     if keys.count() <= BROADCAST_ROWS:  # so that only texts with a candidate are shuffled to the join below
-        texts = texts.join(F.broadcast(keys), "_doc", "left_semi")
-    shared = lambda has: F.transform("_items", lambda i: F.struct(
+        texts = texts.join(F.broadcast(keys), doc, "left_semi")
+    shared = lambda has: F.transform(held, lambda i: F.struct(
         i["item_id"].alias("item_id"), F.size(F.array_intersect(i["_parts"], has)).cast("long").alias("n_shared"), F.size(i["_parts"]).cast("long").alias("n_item")))
     return (
-        texts.join(wanted, "_doc")
-        .select(*names, F.explode_outer(let(whole_shingles(F.col(text), width), shared)).alias("_m")).select(*names, "_m.*")
+        texts.join(wanted, doc)
+        .select(*names, F.explode_outer(let(whole_shingles(F.col(text), width), shared)).alias(found)).select(*names, f"{found}.*")
         .where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     )
 
 
 def clean(documents: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT, width: int = SHINGLE, text: str = "text") -> DataFrame:
-    """``documents`` without the rows whose text holds an item."""
-    marked = documents.select(F.sha2(text, 256).alias("_text"), F.col(text).alias("text"))
-    held = stored(contained(marked, items, percent, width).select("_text").distinct(), "contaminated")
-    return documents.withColumn("_text", F.coalesce(F.sha2(text, 256), F.lit(""))).join(counted(held), "_text", "left_anti").drop("_text").select(*documents.columns)
+    """``documents`` without the rows whose text holds an item.
+
+    Null, empty and wordless texts hold none and stay.  Repeated rows go or stay together, an empty table
+    stays empty, and columns keep their names, order and values whatever they are called.
+    """
+    key = free_name(documents, "_text")
+    marked = documents.select(F.sha2(text, 256).alias(key), F.col(text).alias("text"))
+    held = stored(contained(marked, items, percent, width).select(key).distinct(), "contaminated")
+    return documents.withColumn(key, F.coalesce(F.sha2(text, 256), F.lit(""))).join(counted(held), key, "left_anti").drop(key).select(*documents.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import counted, drop_stored, small_batches, stored
+from facsimile.llm.common import counted, drop_stored, free_name, small_batches, stored
 from facsimile.llm.components import components
 from facsimile.llm.tokens import buffers, byte_table, hash_words, mixed, portions, runs_hashed, word_bounds
 
@@ -379,7 +379,7 @@ def keep_one(documents: DataFrame, settings: Settings = Settings(5, 80), text: s
     kept = documents.join(counted(dropped), identity, "left_anti")
     often = stored(found.where("id IS NOT NULL").groupBy(F.col("id").alias(identity)).count().where("count > 1").select(identity), "repeated")
     if often.take(1):
-        some = kept.join(often, identity, "left_semi")
-        first = some.withColumn("_k", F.row_number().over(W.partitionBy(identity).orderBy(F.sha2(text, 256), *[c for c in documents.columns if c not in (identity, text)]))).where("_k = 1")
-        kept = kept.join(often, identity, "left_anti").unionByName(first.drop("_k"))
+        some, place = kept.join(often, identity, "left_semi"), free_name(documents, "_k")
+        first = some.withColumn(place, F.row_number().over(W.partitionBy(identity).orderBy(F.sha2(text, 256), *[c for c in documents.columns if c not in (identity, text)]))).where(F.col(place) == 1)
+        kept = kept.join(often, identity, "left_anti").unionByName(first.drop(place))
     return kept.select(*documents.columns)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import small_batches
+from facsimile.llm.common import columns_but, free_name, small_batches
 from facsimile.llm.tokens import portions
 
 ROWS = 256
@@ -160,7 +160,7 @@ def document_frequencies(rows: DataFrame, text: str, buckets: int) -> tuple[int,
 def fit(documents: DataFrame, allowed: Column, settings: Settings = Settings(), text: str = "text", language: str = "lang", identity: str = "doc_id") -> Model:
     """Fit on the rows with text and language for which ``allowed`` (a condition on the id) holds; no such rows give a model that knows no language."""
     small_batches(documents.sparkSession)
-    usable = documents.where(allowed & F.col(text).isNotNull() & F.col(language).isNotNull())
+    usable = documents.where(allowed & F.col(text).isNotNull() & F.col(language).isNotNull()).select(identity, text, language)
     sizes = {r[0]: r[1] for r in usable.groupBy(language).agg(F.count(F.lit(1))).limit(settings.most_languages + 1).collect()}
     if len(sizes) > settings.most_languages:
         raise ValueError(f"more than {settings.most_languages} distinct values of {language}")
@@ -203,14 +203,14 @@ def predict(documents: DataFrame, model: Model, text: str = "text", keep: list[s
     A null text, one without a letter, and every text under a model that knows no language get ``und`` with
     score 0.  Equal texts get equal predictions.  Columns of these names are replaced.
     """
-    names = [c for c in keep or documents.columns if c not in ("lang_pred", "score")]
+    names, read_as = columns_but(keep or documents.columns, ("lang_pred", "score")), free_name(documents, "_read")
     schema = documents.select(*names).schema.add("lang_pred", "string").add("score", "double")
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array([*model.languages, UNDETERMINED], object)
         weights = model.weights.astype(np.float32)
-        for batch, _, _ in portions(batches, "_read", ROWS):
-            texts = lowered(batch, "_read")
+        for batch, _, _ in portions(batches, read_as, ROWS):
+            texts = lowered(batch, read_as)
             told = np.array([bool(model.languages) and has_letter(t) for t in texts], bool)
             best, score = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
             if told.any():
@@ -219,4 +219,4 @@ def predict(documents: DataFrame, model: Model, text: str = "text", keep: list[s
                 best[told], score[told] = p.argmax(axis=1), p.max(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(table[best], pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return documents.select(*names, F.col(text).alias("_read")).mapInArrow(predicted, schema)
+    return documents.select(*names, F.col(text).alias(read_as)).mapInArrow(predicted, schema)

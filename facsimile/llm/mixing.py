@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import stored
+from facsimile.llm.common import columns_but, free_name, stored
 
 LEVELS, JOBS = 5, 6  # halvings by job, jobs
 DIGITS = 6  # of the exponent
@@ -142,17 +142,20 @@ def mix(documents: DataFrame, target: Target = Target(), text: str = "text", sou
     null source is a source.  Rows equal in id and text share a place and are taken together.  Columns
     of these names are replaced.
     """
-    made = weights(documents, target, text, source, identity).select("_group", "weight", "passes", "blocks", "cut_block", "cut")
+    names = columns_but(documents.columns, ("n_tokens", "weight", "copies", "block", "place"))
+    helpers = {c: free_name(documents, c) for c in ("_group", "passes", "blocks", "cut_block", "cut")}
+    group, passes, blocks, cut_block, cut = helpers.values()
+    made = weights(documents, target, text, source, identity).select("weight", *[F.col(c).alias(own) for c, own in helpers.items()])
     n, place, block = F.col("n_tokens"), F.col("place"), F.col("block")
     extra = (
-        (n > 0) & (F.when(block == F.col("cut_block"), F.coalesce(place <= F.col("cut"), F.lit(False))).otherwise(block < F.col("cut_block")))
+        (n > 0) & (F.when(block == F.col(cut_block), F.coalesce(place <= F.col(cut), F.lit(False))).otherwise(block < F.col(cut_block)))
     )
     return (
         documents.withColumns({
-            "_group": _group(F.col(source)), "n_tokens": token_count(F.col(text)), "place": _place(target.seed, F.col(identity), F.col(text))})
-        .drop("weight", "passes", "blocks", "cut_block", "cut").join(made, "_group", "left")
-        .withColumn("block", F.coalesce(block_of(place, F.col("blocks")), F.lit(0)))
-        .withColumn("copies", (F.coalesce("passes", F.lit(0)) + F.coalesce(extra.cast("long"), F.lit(0))).cast("long"))
+            group: _group(F.col(source)), "n_tokens": token_count(F.col(text)), "place": _place(target.seed, F.col(identity), F.col(text))})
+        .drop("weight").join(made, group, "left")
+        .withColumn("block", F.coalesce(block_of(place, F.col(blocks)), F.lit(0)))
+        .withColumn("copies", (F.coalesce(passes, F.lit(0)) + F.coalesce(extra.cast("long"), F.lit(0))).cast("long"))
         .withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-        .select(*[c for c in documents.columns if c not in ("n_tokens", "weight", "copies", "block", "place")], "n_tokens", "weight", "copies", "block", "place")
+        .select(*names, "n_tokens", "weight", "copies", "block", "place")
     )

@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.llm.common import free_name
+
 CONTEXT_WIDTH = 48
 CONTEXT_GAIN = 0.3
 
@@ -113,8 +115,9 @@ def find(documents: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KIN
     """
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,text:string,score:double>>)")
-    hits = {f"_hits_{k.name}": F.when(_may_hold(k, t), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))) for k in kinds}
-    found = {f"_spans_{k.name}": F.when(F.size(f"_hits_{k.name}") > 0, _located(k, t, F.col(f"_hits_{k.name}"))).otherwise(none) for k in kinds}
+    hit, span = ({k.name: free_name(documents, f"{lead}{k.name}") for k in kinds} for lead in ("_hits_", "_spans_"))
+    hits = {hit[k.name]: F.when(_may_hold(k, t), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))) for k in kinds}
+    found = {span[k.name]: F.when(F.size(hit[k.name]) > 0, _located(k, t, F.col(hit[k.name]))).otherwise(none) for k in kinds}
     return (
         documents.withColumns(hits).withColumns(found)
         .withColumn("spans", F.concat(*[F.col(c) for c in found])).drop(*hits, *found)
@@ -127,16 +130,17 @@ def redact(documents: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = K
 
     Null text stays null.  Columns keep their names and order.
     """
-    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans_of, kept, cuts = (free_name(documents, c) for c in ("_spans", "_kept_spans", "_cut"))
+    spans = F.array_sort(F.transform(spans_of, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     cut = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(
         F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(
             F.substring(F.col(text), s["at"] + 1, x["start"] - s["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out")))
     done = F.aggregate(spans, state, cut)
-    whole = F.concat(F.array_join(F.col("_cut.out"), ""), F.substring(F.col(text), F.col("_cut.at") + 1, F.length(text)))
-    marked = find(documents.withColumnRenamed("spans", "_kept_spans"), text, kinds).withColumnRenamed("spans", "_spans")
-    cleaned = marked.withColumn("_cut", F.when(F.size("_spans") > 0, done)).withColumn(text, F.when(F.col("_cut").isNotNull(), whole).otherwise(F.col(text)))
-    return cleaned.drop("_cut", "_spans").withColumnRenamed("_kept_spans", "spans").select(*documents.columns)
+    whole = F.concat(F.array_join(F.col(f"{cuts}.out"), ""), F.substring(F.col(text), F.col(f"{cuts}.at") + 1, F.length(text)))
+    marked = find(documents.withColumnRenamed("spans", kept), text, kinds).withColumnRenamed("spans", spans_of)
+    cleaned = marked.withColumn(cuts, F.when(F.size(spans_of) > 0, done)).withColumn(text, F.when(F.col(cuts).isNotNull(), whole).otherwise(F.col(text)))
+    return cleaned.drop(cuts, spans_of).withColumnRenamed(kept, "spans").select(*documents.columns)
 
 
 def digest(found: DataFrame, base: tuple[Kind, ...] = BASE) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import small_batches, stored
+from facsimile.llm.common import columns_but, free_name, small_batches, stored
 from facsimile.llm.tokens import LETTERS, byte_table, hash_words, portions, word_bounds
 
 PREFIXES = (4, 5, 6)
@@ -261,19 +261,31 @@ def score(documents: DataFrame, model: Model, text: str = "text", language: str
     threshold.  Null, empty and wordless texts get the score of a text without any response.  Equal texts
     get equal scores.  Columns named score and toxic are replaced.
     """
-    names = [c for c in keep or documents.columns if c not in ("score", "toxic")]
+    names = columns_but(keep or documents.columns, ("score", "toxic"))
+    bytes_of = free_name(documents, "_bytes")
     schema = documents.select(*names).schema.add("score", "double")
     buckets = model.settings.buckets
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in portions(batches, "_bytes"):
+        for batch, data, at in portions(batches, bytes_of):
             codes, first = word_codes(data, at, buckets)
             values = score_of(model, margins(model, codes, first))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], [*names, "score"])
 
-    made = documents.select(*names, F.col(text).cast("binary").alias("_bytes")).mapInArrow(scored, schema)
+    made = documents.select(*names, F.col(text).cast("binary").alias(bytes_of)).mapInArrow(scored, schema)
     cut = F.lit(model.thresholds[None])
     if language in names:
         for lang, value in model.thresholds.items():
             cut = cut if lang is None else F.when(F.col(language) == lang, value).otherwise(cut)
     return made.withColumn("toxic", F.col("score") >= cut)
+
+
+def clean(documents: DataFrame, model: Model, text: str = "text", language: str = "lang") -> DataFrame:
+    """``documents`` without the rows that reach the threshold of their language.
+
+    Columns keep their names, order and values, also those called score or toxic.  Repeated rows go or stay
+    together, null and empty texts are judged like any other, an empty table stays empty.
+    """
+    own = {c: free_name(documents, f"_own_{c}") for c in documents.columns if c.lower() in ("score", "toxic")}
+    held = score(documents.withColumnsRenamed(own), model, own.get(text, text), own.get(language, language)).where(~F.col("toxic"))
+    return held.drop("score", "toxic").withColumnsRenamed({v: k for k, v in own.items()}).select(*documents.columns)

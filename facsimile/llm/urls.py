@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import ascii_lower, stored
+from facsimile.llm.common import ascii_lower, free_name, stored
 from facsimile.llm.components import components
 
 MAX_RULES = 4096
@@ -137,16 +137,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     empty host and path, fits no rule and is allowed.  Null html has no links.  Repeated urls get equal
     verdicts, columns of the input with these names are replaced, other columns stay.
     """
+    rule, key, alias = (free_name(pages, c) for c in ("_rule", "_key", "_alias"))
     links = page_links(pages, url, html)
     if redirects is not None:
         links = links.unionByName(redirects.select("a_url", "b_url"))
-    shared = stored(inherited(links, rules).where(F.col("verdict") == "block").select(F.col("node").alias("_key"), F.lit(True).alias("_alias")).distinct(), "aliases")
+    shared = stored(inherited(links, rules).where(F.col("verdict") == "block").select(F.col("node").alias(key), F.lit(True).alias(alias)).distinct(), "aliases")
     u = F.col(url)
     judged = (
         pages.withColumns({"host": host_of(u), "path": path_of(u)})
-        .withColumns({"_rule": fitting_rule(F.col("host"), F.col("path"), rules),
-                      "_key": F.coalesce(node_of(u), F.concat(F.lit("#"), F.xxhash64(*pages.columns).cast("string")))})
-        .join(shared, "_key", "left")
+        .withColumns({rule: fitting_rule(F.col("host"), F.col("path"), rules),
+                      key: F.coalesce(node_of(u), F.concat(F.lit("#"), F.xxhash64(*pages.columns).cast("string")))})
+        .join(shared, key, "left")
     )
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_alias"), "block").otherwise("allow"))
-    return judged.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_rule", "_key", "_alias")
+    verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col(alias), "block").otherwise("allow"))
+    return judged.withColumns({"rule": F.col(f"{rule}.rule"), "verdict": verdict}).drop(rule, key, alias)
