@@ -15,17 +15,21 @@ from facsimile.llm.common import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that reach the threshold of their language go."""
+    """Rows that reach the threshold of their language go; null and empty texts are judged like any other."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, Jaccard similarity of 0.8 or more."""
+    """Five-word shingles, Jaccard similarity of 0.8 or more.
+
+    Texts without words and rows with a null id stay; of rows that repeat an id one stays; an empty table stays empty.
+    """
     return jaccard.keep_one(docs, jaccard.Settings(width=5, percent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that hold a benchmark item go; null and empty texts and items match nothing, repeated rows share their fate."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -39,6 +43,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sampling plan: every row stays, with its copies; texts without words cost nothing, a null source is a source."""
     return mixing.mix(docs)
 
 
