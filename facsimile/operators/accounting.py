@@ -8,12 +8,15 @@ fold per dataset.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facsimile.operators.prefix import running_totals
-from facsimile.session import cut_lineage, shuffle_width
+from facsimile.session import cut_lineage
 
 # Orders of the accountant, default budget, warning levels, history length
 ALPHA_ORDERS = [1.5, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 32, 64, 128, 256]
@@ -21,8 +24,10 @@ MAX_EPSILON = 10.0
 WARNING_LEVELS = [("critical", 0.9), ("high", 0.75), ("medium", 0.5)]
 HISTORY = 20
 
-# groups up to this many requests are folded in one array; longer ones in halving rounds
+# groups up to this many requests are folded in one array; longer ones in halving rounds over ranges
 FOLD_LIMIT = 2_000
+# requests in a range of a long history, which one task folds
+RANGE_ROWS = 1 << 16
 # budgets are compared in whole millionths of epsilon, so the order of additions cannot matter
 MICRO = 1_000_000
 
@@ -85,13 +90,12 @@ def admit(requests: DataFrame, max_epsilon: float = MAX_EPSILON, fold_limit: int
     """
     budget = int(round(max_epsilon * MICRO))
     sizes = requests.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("requests_n"))
-    largest = sizes.agg(F.max("requests_n").alias("n")).first()["n"] or 0
-    if largest <= fold_limit:
+    long = cut_lineage(sizes.where(F.col("requests_n") > fold_limit).select("dataset_id"))
+    if not long.limit(1).count():
         return _admit_short(requests, F.lit(budget))
-    sized = requests.join(sizes, "dataset_id")
-    short = sized.where(F.col("requests_n") <= fold_limit).drop("requests_n")
-    long = sized.where(F.col("requests_n") > fold_limit).drop("requests_n")
-    return _admit_short(short, F.lit(budget)).unionByName(_admit_long(long, budget))
+    # one row for each history of more than fold_limit requests: never moves the requests of one to one task
+    short = requests.join(F.broadcast(long), "dataset_id", "left_anti")
+    return _admit_short(short, F.lit(budget)).unionByName(_admit_long(requests.join(F.broadcast(long), "dataset_id", "left_semi"), budget))
 
 
 def _admit_short(requests: DataFrame, budget: Column) -> DataFrame:
@@ -115,63 +119,87 @@ def _admit_short(requests: DataFrame, budget: Column) -> DataFrame:
 
 
 def _admit_long(requests: DataFrame, budget: int) -> DataFrame:
-    """Exact admission of long histories in rounds that halve each dataset's remaining budget.
+    """Exact admission of long histories in rounds that at least halve each dataset's remaining budget.
 
     With r left, call a request small when it costs at most r/2.  Until the small ones add up to more
     than r/2 they all fit, and a big one fits iff it and the small ones before it stay within r.  The
-    first request that pushes the small sum over r/2, or the first big one that fits, ends the round
-    with at most r/2 left.  Each round is one distributed running sum; there are at most log2(budget).
+    first request that pushes the small sum over r/2, or the first big one that fits, is the event.
+    Ranges of the order are summed, which leaves few ranges that may hold it; these are folded, each in a
+    task of its own, as if no earlier one held it.  The first range that does is taken as folded, the ranges
+    before it give their small requests, and a round goes on behind it with at most r/2 left.  A round is
+    one pass without a sort of the whole; there are at most log2(budget), two or three where the first range
+    spends the budget.
     """
-    spark = requests.sparkSession
-    width = shuffle_width(spark)
-    cuts = requests.agg(F.percentile_approx("seq", [i / width for i in range(1, width)], 4 * width).alias("c")).first()
-    bounds = sorted(set(cuts["c"] or []))
-    bucket = sum((F.when(F.col("seq") > F.lit(b), F.lit(1)).otherwise(F.lit(0)) for b in bounds), F.lit(0))
-    pending = requests.select("dataset_id", "seq", micro(F.col("epsilon")).alias("cost"))
-    left = cut_lineage(requests.select("dataset_id").distinct().select(
-        "dataset_id", F.lit(budget).cast("long").alias("r"), F.lit(None).cast("long").alias("after")
-    ))
-    taken: DataFrame | None = None
-    while True:
+    # one row for each history of more than fold_limit requests at most, so the state of a round is broadcast
+    order = F.col("seq").cast("double")
+    pending = requests.select("dataset_id", "seq", micro(F.col("epsilon")).alias("cost")).where(F.col("cost") <= budget)
+    rows = pending.count()
+    parts = -(-rows // RANGE_ROWS)
+    cuts = pending.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 4 * parts).alias("c")).first()["c"] if parts > 1 else []
+    pending = pending.withColumn("bucket", F.lit(0))
+    if cuts:
+        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        placed = Bucketizer(splits=splits, inputCol="_order", outputCol="_range", handleInvalid="keep").transform(pending.withColumn("_order", order))
+        pending = placed.withColumn("bucket", F.col("_range").cast("int")).drop("_order", "_range")
+    pending = cut_lineage(pending)
+    state = cut_lineage(pending.select("dataset_id").distinct().withColumn("r", F.lit(budget).cast("long")).withColumn("at", F.lit(0)))
+    seq = requests.schema["seq"].dataType.simpleString()
+    key = requests.schema["dataset_id"].dataType.simpleString()
+    taken: list[DataFrame] = []
+    while state.limit(1).count():
         # what no longer fits never will: the budget only shrinks
-        pending = cut_lineage(pending.join(left, "dataset_id").where(
-            (F.col("cost") <= F.col("r")) & (F.col("after").isNull() | (F.col("seq") > F.col("after")))
-        ).select("dataset_id", "seq", "cost"))
-        if pending.isEmpty():
-            break
+        pending = cut_lineage(pending.drop("r").join(F.broadcast(state), "dataset_id").where(
+            (F.col("bucket") >= F.col("at")) & (F.col("cost") <= F.col("r"))).drop("at"))
         small = F.col("cost") * 2 <= F.col("r")
-        state = pending.join(left.select("dataset_id", "r"), "dataset_id").withColumn(
-            "small", F.when(small, F.col("cost")).otherwise(F.lit(0))
-        )
-        summed = cut_lineage(running_totals(state, ["dataset_id"], bucket, ["seq"], ["small"]))
-        upto = F.col("small_before") + F.col("small")
-        ends = (small & (upto * 2 > F.col("r"))) | (~small & (F.col("small_before") + F.col("cost") <= F.col("r")))
-        events = summed.groupBy("dataset_id").agg(F.min(F.when(ends, F.col("seq"))).alias("event"))
-        marked = summed.join(events, "dataset_id")
+        sums = pending.groupBy("dataset_id", "r", "bucket").agg(
+            F.coalesce(F.sum(F.when(small, F.col("cost"))), F.lit(0)).alias("small"), F.min(F.when(~small, F.col("cost"))).alias("big"))
+        earlier = Window.partitionBy("dataset_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.withColumn("before", F.coalesce(F.sum("small").over(earlier), F.lit(0)))
+        sure = (F.col("before") + F.col("small")) * 2 > F.col("r")
+        # the event is in the first of these ranges that holds one, and in none behind the first sure one
+        maybe = sure | (F.col("before") + F.col("big") <= F.col("r"))
+        asked = cut_lineage(before.where(maybe & (F.col("before") * 2 <= F.col("r"))).select("dataset_id", "bucket", "before"))
+        folded = cut_lineage(
+            pending.join(F.broadcast(asked), ["dataset_id", "bucket"]).groupBy("dataset_id", "bucket")
+            .applyInPandas(_fold_range, f"dataset_id {key}, bucket int, seq {seq}, left long"))
+        # what is left of the budget behind the range, and the range
+        turn = folded.groupBy("dataset_id", "bucket").agg(F.min("left").alias("r")).groupBy("dataset_id").agg(
+            F.min(F.struct("bucket", "r")).alias("turn"))
+        turn = cut_lineage(turn.select("dataset_id", F.col("turn.bucket").alias("turn"), F.col("turn.r").alias("r")))
+        ends = F.broadcast(turn.select("dataset_id", "turn"))
         # without an event all small ones fit and no big one does: the dataset is finished
-        fits = F.when(F.col("event").isNull(), small).otherwise(
-            (F.col("seq") == F.col("event")) | (small & (F.col("seq") < F.col("event")))
-        )
-        accepted = cut_lineage(marked.where(fits).select("dataset_id", "seq", "cost"))
-        taken = accepted if taken is None else taken.unionByName(accepted)
-        spent = accepted.groupBy("dataset_id").agg(F.sum("cost").alias("spent"))
-        last = summed.groupBy("dataset_id").agg(F.max("seq").alias("last"))
-        left = cut_lineage(
-            left.join(spent, "dataset_id", "left").join(events, "dataset_id", "left").join(last, "dataset_id", "left").select(
-                "dataset_id",
-                (F.col("r") - F.coalesce("spent", F.lit(0))).alias("r"),
-                F.coalesce("event", "last", "after").cast("long").alias("after"),
-            )
-        )
+        taken += [
+            pending.where(small).join(ends, "dataset_id", "left").where(F.col("turn").isNull() | (F.col("bucket") < F.col("turn"))).select("dataset_id", "seq"),
+            folded.join(ends, "dataset_id").where(F.col("bucket") == F.col("turn")).select("dataset_id", "seq"),
+        ]
+        state = turn.select("dataset_id", "r", (F.col("turn") + 1).alias("at"))
     others = [c for c in requests.columns if c not in ("dataset_id", "seq")]
-    if taken is None:
+    if not taken:
         return requests.withColumn("accepted", F.lit(False))
-    flagged = requests.join(
-        taken.select("dataset_id", "seq", F.lit(True).alias("accepted")), ["dataset_id", "seq"], "left"
-    )
+    accepted = reduce(DataFrame.unionByName, taken).withColumn("accepted", F.lit(True))
+    flagged = requests.join(accepted, ["dataset_id", "seq"], "left")
     return flagged.select("dataset_id", "seq", *others, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
+def _fold_range(rows: pd.DataFrame) -> pd.DataFrame:
+    """The admitted requests of one range of one dataset and what is left behind it, or nothing where the range holds no event."""
+    rows = rows.sort_values("seq")
+    cost, r, before = rows["cost"].to_numpy(), int(rows["r"].iloc[0]), int(rows["before"].iloc[0])
+    small = cost * 2 <= r
+    upto = before + np.cumsum(np.where(small, cost, 0))
+    events = np.flatnonzero(np.where(small, upto * 2 > r, upto + cost <= r))
+    if not len(events):
+        return pd.DataFrame({"dataset_id": [], "bucket": [], "seq": [], "left": []}).astype(rows[["dataset_id", "bucket", "seq"]].dtypes)
+    first = int(events[0])
+    took = small.copy()
+    took[first:] = False
+    left = r - before - int(cost[:first][took[:first]].sum())
+    for i, c in enumerate(cost[first:].tolist(), first):
+        if c <= left:
+            took[i], left = True, left - c
+    return rows.loc[took, ["dataset_id", "bucket", "seq"]].assign(left=left)
+
+
 def budget_state(
     ledger: DataFrame, max_epsilon: float = MAX_EPSILON, registry: DataFrame | None = None,
 ) -> DataFrame:

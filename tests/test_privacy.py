@@ -121,6 +121,29 @@ def test_admission_matches_the_sequential_rule(spark, limit):
     assert sum(r["accepted"] for r in got if r["dataset_id"] == "ones") == 5
 
 
+@pytest.mark.parametrize("rows_per_range", [7, 1 << 16])
+def test_long_histories_are_folded_by_ranges_in_few_rounds(spark, monkeypatch, rows_per_range):
+    monkeypatch.setattr(accounting, "RANGE_ROWS", rows_per_range, raising=False)
+    rand = random.Random(5)
+    histories = {
+        "spread": [int(rand.expovariate(1 / 500_000)) for _ in range(400)],
+        "halving": [5_000_000 >> i for i in range(1, 30)],
+        "small, then one that fits": [20_000] * 100 + [3_000_000, 2_000_001, 0, 1],
+        "never": [5_000_001] * 30,
+    }
+    spark.sparkContext.setJobGroup(f"ledger {rows_per_range}", "")
+    try:
+        got = accounting.admit(ledger(spark, histories), 5.0, fold_limit=10).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for name, costs in histories.items():
+        verdicts = [r["accepted"] for r in sorted((r for r in got if r["dataset_id"] == name), key=lambda r: r["seq"])]
+        assert verdicts == fold(costs, 5_000_000), name
+    # one range holds each history: a round that spends it and at most one that ends it
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"ledger {rows_per_range}")
+    assert rows_per_range < 400 or len(jobs) <= 50
+
+
 def test_budget_state_and_history(spark, rows):
     admitted = accounting.admit(ledger(spark, {"a": [1_000_000] * 20, "b": [2_600_000]}), 5.0)
     known = spark.createDataFrame([("a",), ("b",), ("fresh",)], "dataset_id string")
