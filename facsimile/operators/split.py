@@ -15,6 +15,8 @@ SPLIT_SEED = 42
 # equal cells that one level cuts an interval of draws into, and how many levels narrow down the cut
 _CELLS = 4096
 _LEVELS = 2
+# strata whose cuts are broadcast: a join by them would move the rows of each to one task
+_FEW_STRATA = 100_000
 
 
 def bounded_sample(df: DataFrame, key: list[str], size: int = AUDIT_SAMPLE, seed=SPLIT_SEED) -> DataFrame:
@@ -56,14 +58,15 @@ def split(
             .where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
             .select("_stratum", "_cell", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need"))
         )
-        rows = rows.drop("need").join(edges, ["_stratum", "_cell"])
+        # one row a stratum at most
+        rows = rows.drop("need").join(_told(cut_lineage(edges)), ["_stratum", "_cell"])
     place = F.struct("_u", *key)
     # rows of one key are one row here: a key that fills a third of the table is no large window
     near = rows.groupBy("_stratum", "need", place.alias("_cut")).agg(F.count(F.lit(1)).alias("n"))
     so_far = F.sum("n").over(Window.partitionBy("_stratum").orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0))
     runs = near.withColumn("upto", so_far).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
     cuts = cut_lineage(runs.select("_stratum", "_cut", "n", (F.col("need") - F.col("upto") + F.col("n")).alias("_rest")))
-    marked = drawn.join(cuts.select("_stratum", "_cut", "_rest"), "_stratum", "left")
+    marked = drawn.join(_told(cuts).select("_stratum", "_cut", "_rest"), "_stratum", "left")
     if not cuts.where(F.col("_rest") < F.col("n")).limit(1).count():
         return marked.select(*df.columns, F.coalesce(place <= F.col("_cut"), F.lit(False)).alias("is_test"))
     at = F.coalesce(place == F.col("_cut"), F.lit(False))
@@ -71,6 +74,11 @@ def split(
     return sure.unionByName(_divided(marked.where(at), df.columns))
 
 
+def _told(strata: DataFrame) -> DataFrame:
+    """A written table of one row a stratum, for a join with the rows: broadcast, but where strata are many and so not large."""
+    return F.broadcast(strata) if strata.count() <= _FEW_STRATA else strata
+
+
 def _divided(run: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of the key at the cut, the first ``_rest`` of each stratum for the test: counted by task, numbered
     within it, and carried on from the tasks before."""

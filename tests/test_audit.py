@@ -216,3 +216,17 @@ def test_membership_of_a_record_that_fills_a_third(spark):
     assert records.count() == 181 and records.agg(F.sum("n")).first()[0] == 240
     row = audit.membership_inference(make(members), make(rng.normal(size=(60, 2)) + 3), make(members[:120]), settings=FOREST).first()
     assert (row["n_members"], row["n_non_members"]) == (180, 60) and row["attack_auc"] > 0.9
+
+
+def test_a_split_moves_no_rows_by_their_stratum(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 < 8, "hot").otherwise("cold").alias("c"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = split(rows, ["id"], 0.3, "c")
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        counts = {r["c"]: r["n"] for r in marked.where("is_test").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # all rows of a stratum would be one key of a sorted join
+    assert "SortMergeJoin" not in plan and counts == {"hot": 720, "cold": 180}
