@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from facsimile.operators import audit, classifiers, knn, scoring, utility
@@ -230,3 +231,12 @@ def test_a_split_moves_no_rows_by_their_stratum(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     # all rows of a stratum would be one key of a sorted join
     assert "SortMergeJoin" not in plan and counts == {"hot": 720, "cold": 180}
+
+
+def test_models_are_fitted_on_every_core(spark, monkeypatch):
+    rows = spark.range(400).select(F.array((F.col("id") % 7).cast("double")).alias("x"), (F.col("id") % 2).cast("double").alias("label")).coalesce(1)
+    rows = cut_lineage(rows.select(array_to_vector("x").alias("features"), "label"))
+    seen, plain = [], classifiers.RandomForestClassifier.fit
+    monkeypatch.setattr(classifiers.RandomForestClassifier, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or plain(self, df))
+    model = classifiers.train(rows, "RandomForest", 2, FOREST)
+    assert seen == [spark.sparkContext.defaultParallelism] and classifiers.predictions(model, rows).count() == 400
