@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from facsimile.operators.freq import numeric_counts
-from facsimile.operators.moments import PAIRS_PER_SCAN, correlations
+from facsimile.operators.moments import correlations
 from facsimile.operators.prefix import ordered_totals, value_ranges
 from facsimile.session import cut_lineage, local_rows
 
@@ -101,9 +101,7 @@ def spearman(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     ranges, nulls = value_ranges(df, columns, with_nulls=True)
     beside = [c for c in columns if nulls[c]]
     ranked = with_ranks(df, columns, beside, by, ranges)
-    if len(columns) * (len(columns) - 1) // 2 > PAIRS_PER_SCAN:  # read more than once below
-        ranked = cut_lineage(ranked)
-    rank = lambda c, other: F.col(f"{c}__r{beside.index(other) if other in beside else ''}")
+    rank = lambda c, other: f"{c}__r{beside.index(other) if other in beside else ''}"
     return correlations(ranked, columns, by, values={(a, b): (rank(a, b), rank(b, a)) for a, b in combinations(columns, 2)})
 
 

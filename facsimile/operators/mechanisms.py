@@ -184,24 +184,26 @@ def protect(
             result, name, numbered_domain(real, name), domains[name], params.epsilon, seed, key
         )
 
+    draws = rng.Draws(seed)
+
     def cell(name: str) -> Column:
         value = F.col(name)
         if name in levels:
-            return randomized_response(value, name, sorted(levels[name]), params.epsilon, seed, key).alias(name)
+            return randomized_response(value, name, sorted(levels[name]), params.epsilon, draws, key).alias(name)
         if name not in open_columns:
             return value
         if df_kinds[name] == BOOLEAN:
-            return randomized_response(value, name, [True, False], params.epsilon, seed, key).alias(name)
+            return randomized_response(value, name, [True, False], params.epsilon, draws, key).alias(name)
         if name in numbers:
             return _noisy(value, name, df.schema[name].dataType, limits.get(name)).alias(name)
         return value
 
     def _noisy(value: Column, name: str, data_type, limit) -> Column:
         if params.mechanism == "laplace":
-            noisy = laplace_noise(value, sensitivity[name], params.epsilon, seed, f"noise:{name}", key)
+            noisy = laplace_noise(value, sensitivity[name], params.epsilon, draws, f"noise:{name}", key)
         else:
             noisy = gaussian_noise(
-                value, sensitivity[name], params.epsilon, params.delta, seed, f"noise:{name}", key
+                value, sensitivity[name], params.epsilon, params.delta, draws, f"noise:{name}", key
             )
         if df_kinds[name] == INTEGER:
             noisy = F.bround(noisy, 0)
@@ -211,7 +213,8 @@ def protect(
             noisy = F.when(value.isNotNull(), noisy)
         return noisy.cast(data_type)
 
-    protected = result.select(*[cell(c).alias(c) for c in df.columns])
+    cells = [cell(c).alias(c) for c in df.columns]
+    protected = draws.over(result).select(*cells)
     return protected, _metadata(df, params, columns, target, df_kinds, sensitivity, domains)
 
 

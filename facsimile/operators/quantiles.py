@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.operators.freq import numeric_counts
-from facsimile.operators.prefix import ordered_totals, value_ranges
+from facsimile.operators.prefix import long_ranges, ordered_totals
+from facsimile.session import cut_lineage
 
 
 def quantiles_of_counts(
@@ -40,5 +41,7 @@ def quantiles_of_counts(
 
 def quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]) -> DataFrame:
     """``(column, <name>...)`` for numeric columns of ``df``."""
-    totals = ordered_totals(numeric_counts(df, columns), value_ranges(df, columns), ["n"])
+    # read for the cuts, the sums of the ranges and within them
+    counts = cut_lineage(numeric_counts(df, columns))
+    totals = ordered_totals(counts, long_ranges(counts), ["n"])
     return quantiles_of_counts(totals, probabilities)

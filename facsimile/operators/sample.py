@@ -34,12 +34,13 @@ def correlation_factor(columns: list[str], corr: dict[tuple[str, str], float]) -
         return np.eye(k)
 
 
-def correlated_normals(columns: list[str], corr: dict[tuple[str, str], float]) -> dict[str, Column]:
-    """Standard normals with the given correlations, as sums over the ``_z`` columns of ``with_draws``."""
+def correlated_normals(columns: list[str], corr: dict[tuple[str, str], float], draws: rng.Draws) -> dict[str, Column]:
+    """Standard normals with the given correlations, as sums over independent ones: each is drawn once, however often it is mixed."""
+    plain = [rng.normal(draws, f"normal:{c}", ROW) for c in columns]
     factor = correlation_factor(columns, corr) if len(columns) > 1 and corr else np.eye(len(columns))
     mixed = {}
     for i, c in enumerate(columns):
-        terms = [F.lit(float(factor[i, j])) * F.col(f"_z{j}") for j in range(i + 1) if factor[i, j] != 0.0]
+        terms = [F.lit(float(factor[i, j])) * plain[j] for j in range(i + 1) if factor[i, j] != 0.0]
         total = terms[0]
         for term in terms[1:]:
             total = total + term
@@ -47,11 +48,6 @@ def correlated_normals(columns: list[str], corr: dict[tuple[str, str], float]) -
     return mixed
 
 
-def with_draws(rows: DataFrame, columns: list[str], seed) -> DataFrame:
-    """One independent normal per column as ``_z`` columns: each is drawn once, however often it is mixed."""
-    return rows.withColumns({f"_z{i}": rng.normal(seed, f"normal:{c}", ROW) for i, c in enumerate(columns)})
-
-
 def clipped(normal: Column, mean: float, std: float, low: float, high: float) -> Column:
     value = normal * F.lit(float(std)) + F.lit(float(mean))
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
@@ -165,9 +161,8 @@ def sample(model: Model, spark: SparkSession, num_rows: int, seed=None, keep_row
     for p in model.of_kind("text"):
         rows = joined_text_draw(rows, p["column"], model.pools.get(p["column"]), seed)
     spread = [p["column"] for p in model.of_kind("numeric", "datetime")]
-    if spread:
-        rows = with_draws(rows, spread, seed)
-    normals = correlated_normals(spread, model.corr)
+    draws = rng.Draws(seed)
+    normals = correlated_normals(spread, model.corr, draws)
 
     def draw(p: dict) -> Column:
         name, kind = p["column"], p["kind"]
@@ -176,15 +171,15 @@ def sample(model: Model, spark: SparkSession, num_rows: int, seed=None, keep_row
         if kind == "datetime":
             return datetime_draw(p, normals[name])
         if kind == "boolean":
-            return boolean_draw(p, seed)
+            return boolean_draw(p, draws)
         if kind == "constant":
             return constant_draw(p)
         if name in levels:
-            return inline_category_draw(name, levels[name] or [("", 1.0)], seed).cast(p["data_type"])
+            return inline_category_draw(name, levels[name] or [("", 1.0)], draws).cast(p["data_type"])
         return F.col(name).cast(p["data_type"])
 
-    cells = [with_missing(draw(by_name[c]), c, by_name[c]["missing_rate"], seed).alias(c) for c in model.columns]
-    return rows.select(*([ROW] if keep_row_id else []), *cells)
+    cells = [with_missing(draw(by_name[c]), c, by_name[c]["missing_rate"], draws).alias(c) for c in model.columns]
+    return draws.over(rows).select(*([ROW] if keep_row_id else []), *cells)
 
 
 def inject_nulls(df: DataFrame, rates: dict[str, float], seed, key: list[str]) -> DataFrame:
