@@ -69,3 +69,26 @@ def test_correlations_are_one_scan_of_small_methods(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert plan.count("MapInArrow") == 1 and "covar_samp" not in plan
+
+
+def test_rank_correlation_with_one_large_column_moves_no_row(spark, monkeypatch):
+    from facsimile.operators import association
+
+    rng_ = np.random.default_rng(12)
+    x = np.stack([rng_.integers(0, 5, 500), rng_.normal(size=500), rng_.integers(0, 4, 500), np.full(500, 7.0)], axis=1)
+    x[:, 1] += x[:, 0]
+    x[::4, 1] = x[::8, 1].repeat(2)[:125]
+    x[rng_.random((500, 4)) < np.array([0.2, 0.2, 0.0, 0.0])] = np.nan
+    side = rng_.integers(0, 2, 500)
+    rows = [("xy"[g], *[None if np.isnan(v) else float(v) for v in row]) for g, row in zip(side, x)]
+    df = spark.createDataFrame([*rows, ("z", 1.0, None, 2.0, 7.0), ("z", 2.0, None, 1.0, 7.0)], "side string, a double, b double, c double, d double")
+    order = lambda found: sorted((str(r["side"]), r["col_i"], r["col_j"], None if r["r"] is None else round(r["r"], 9)) for r in found.collect())
+    for columns in (list("abcd"), list("bac"), ["c", "b"]):
+        want = order(association.spearman(df, columns, ["side"]))
+        with monkeypatch.context() as patch:
+            patch.setattr(association, "BROADCAST_NUMBERS", 200)
+            patch.setattr(association, "with_ranks", None)
+            assert order(association.spearman(df, columns, ["side"])) == want
+            whole = association.spearman(df.drop("side"), columns).collect()
+        again = {(r["col_i"], r["col_j"]): r["r"] for r in association.spearman(df.drop("side"), columns).collect()}
+        assert len(whole) == len(again) and all(r["r"] == pytest.approx(again[r["col_i"], r["col_j"]], abs=1e-9) for r in whole)
