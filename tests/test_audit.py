@@ -240,3 +240,20 @@ def test_models_are_fitted_on_every_core(spark, monkeypatch):
     monkeypatch.setattr(classifiers.RandomForestClassifier, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or plain(self, df))
     model = classifiers.train(rows, "RandomForest", 2, FOREST)
     assert seen == [spark.sparkContext.defaultParallelism] and classifiers.predictions(model, rows).count() == 400
+
+
+def test_membership_records_are_computed_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    records = spark.createDataFrame(
+        [(str(k), float(k % 2), 2, k / 80, k / 70, 0.1, k / 60) for k in range(80)],
+        "record string, label double, n long, d_min double, d_mean double, d_std double, d_max double")
+    monkeypatch.setattr(audit, "membership_records", lambda *a: records.mapInPandas(noted, records.schema))
+    row = audit.membership_inference(records, records, records, settings=FOREST).first()
+    assert (row["n_members"], row["n_non_members"]) == (80, 80)
+    assert seen.value == 80
